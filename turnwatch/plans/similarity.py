@@ -335,9 +335,9 @@ def compare(items: DataFrame, group: list[str], look, out: str, block_rows: int
         if lo == hi:
             return look(a, a, a.similarity(a))
         b = Block(pdf[pdf["__b"] == hi].reset_index(drop=True))
-        if a.vec is None or b.vec is None:
-            return look(a, a, np.zeros((0, 0))).iloc[:0] if a.vec is not None else \
-                look(b, b, b.similarity(b)).iloc[:0]
+        if a.vec is None or b.vec is None:  # a block no row was hashed to
+            full = b if a.vec is None else a
+            return look(full, full, full.similarity(full)).iloc[:0]
         sims = a.similarity(b)
         return pd.concat([look(a, b, sims), look(b, a, sims.T)], ignore_index=True)
 

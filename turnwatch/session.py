@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables. Only a session without the
+    setting (a local test) gets one of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    # Only a session without the setting (a local test) gets a folder of its own.
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="turnwatch-ckpt-"))
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="turnwatch-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder, for a written table or a stream."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
