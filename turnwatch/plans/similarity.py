@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.session import broadcast_if_small, fits
+from turnwatch.session import broadcast_if_small, fits, spread
 
 SCALE = 1e9
 BROADCAST_VALUES = 16_000_000   # anchors x dimensions allowed in a broadcast
@@ -82,8 +82,9 @@ def best_k(msg_ids, view_rows, starts, anchors: Anchors, k: int, floor: bool, sk
             part = np.where(live, sims, lowest)[:, mask]
             side[name] = part.max(axis=1) / SCALE if mask.any() else np.full(hi - lo, np.nan)
             side[name] = np.where(side[name] <= -1.5, np.nan, side[name])
-        views = per_view[:, anchors.positive]
-        view_best = views.max(axis=1) if anchors.positive.any() else np.zeros(v1 - v0)
+        seen = np.repeat(live[:, anchors.positive], np.diff(bounds[lo:hi + 1]), axis=0)
+        view_best = np.where(seen, per_view[:, anchors.positive], lowest).max(axis=1) \
+            if anchors.positive.any() else np.zeros(v1 - v0)
         best_view = np.empty(hi - lo, np.int32)
         for m in range(lo, hi):
             mine = view_best[bounds[m] - v0:bounds[m + 1] - v0]
@@ -136,7 +137,7 @@ def search(messages: DataFrame, library: DataFrame, k: int, floor: bool = True,
     first = library.select(F.size("embedding")).first()
     width = max(1, first[0] if first else 1)
     if fits(library, broadcast_values // width):
-        return _search_broadcast(messages, library, k, floor, skip_same, prop_type)
+        return _search_broadcast(spread(messages), library, k, floor, skip_same, prop_type)
     return _search_blocks(messages, library, k, floor, skip_same, prop_type,
                           block_rows or max(1024, BLOCK_VALUES // width), own)
 
@@ -206,7 +207,8 @@ def _search_blocks(messages, library, k, floor, skip_same, prop_type, block_rows
                 cols.append(_ragged(anchors.idx[found[3]], found[4], pa.int64()))
                 # similarity of the chosen view, so that merging can compare views
                 span = slice(found[0], found[1])
-                view_sim = [best_of(view_rows, starts, j, anchors) for j in range(span.start, span.stop)]
+                view_sim = [best_of(ids[j].as_py(), view_rows, starts, j, anchors)
+                            for j in range(span.start, span.stop)]
                 cols.append(pa.array(view_sim, pa.float64()))
                 n = found[1] - found[0]
                 out.append(pa.RecordBatch.from_arrays(
@@ -214,11 +216,12 @@ def _search_blocks(messages, library, k, floor, skip_same, prop_type, block_rows
                     names=[*_NAMES, "top_idx", "view_sim"]))
         return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], schema)
 
-    def best_of(view_rows, starts, j, anchors):
-        if not anchors.positive.any():
+    def best_of(msg_id, view_rows, starts, j, anchors):
+        use = anchors.positive & (anchors.ids != msg_id) if skip_same else anchors.positive
+        if not use.any():
             return 0.0
         end = starts[j + 1] if j + 1 < len(starts) else len(view_rows)
-        sims = np.rint(view_rows[starts[j]:end] @ anchors.matrix[anchors.positive].T * SCALE)
+        sims = np.rint(view_rows[starts[j]:end] @ anchors.matrix[use].T * SCALE)
         return max(0.0, float(sims.max()) / SCALE)
 
     prop_arrow = {"int": pa.int32(), "bigint": pa.int64()}.get(prop_type, pa.string())
@@ -273,6 +276,7 @@ def view_scores(messages: DataFrame, refs: DataFrame,
             F.array_sort(F.collect_list(F.struct("id", F.col("top_sim")[0].alias("s")))).alias("l"))
         return messages.join(best.select(
             "msg_id", F.transform("l", lambda x: x["s"]).alias("view_max")), "msg_id", "left")
+    messages = spread(messages)
     matrix = units(np.stack([np.asarray(r["embedding"], np.float64)
                              for r in refs.select("embedding").collect()]))
     shared = messages.sparkSession.sparkContext.broadcast(matrix)

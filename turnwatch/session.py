@@ -45,3 +45,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to shuffle."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work to the whole cluster when the input has fewer partitions
+    than there are cores; a large input has more and is left where it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -98,8 +98,8 @@ def trace_scan(spark, sf):
 
 @query("propositions_scan", r"""SELECT doc_id AS prop_id,
  len(l) AS n_pos, array_to_string(l, '|') AS positives, 0 AS n_neg FROM (SELECT doc_id,
- list_filter(list_transform(string_split(text, chr(10)), x -> regexp_replace(x,'^\s+|\s+$','','g')),
- x -> x <> '') AS l FROM documents)""")
+ list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')),
+lambda x: x <> '') AS l FROM documents)""")
 def propositions_scan(spark, sf):
     raw = table(spark, sf, "documents").select(
         F.col("doc_id").alias("prop_id"), F.col("source").alias("description"),
