@@ -24,13 +24,17 @@ def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + F.lit(EPS)))
+    return bind(norm(a) + F.lit(EPS), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def letter_histogram(text: Column) -> Column:
     """A small deterministic text embedding for tests and demos: counts of a..z."""
-    low = F.lower(text)
     letters = F.array(*[F.lit(chr(c)) for c in range(ord("a"), ord("z") + 1)])
-    return F.transform(letters, lambda c: (
-        F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("float"))
+    return bind(F.lower(text), lambda low: F.transform(letters, lambda c: (
+        F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("float")))

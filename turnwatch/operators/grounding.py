@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwatch.functions.prompts import CONTEXT_HEAD, CONTEXT_TEMPLATE, fill, judge_fields
+from turnwatch.functions.vectors import bind
 from turnwatch.plans.similarity import search
 
 # Default vote parameters.
@@ -75,22 +76,17 @@ def top_anchors(messages: DataFrame, library: DataFrame, n: int = 3, **kw) -> Da
                 F.col("a.top_sim").alias("sim"))
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.transform(F.array(value), use)[0]
-
-
 def softmax_net(logits: Column, entail: int = 1, contra: int = 0) -> Column:
     """P(entailment) - P(contradiction) under a stable softmax."""
     def from_weights(w: Column) -> Column:
         return (w[entail] - w[contra]) / F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
 
     def from_logits(row: Column) -> Column:
-        return _bind(F.array_max(row), lambda top: from_weights_of(row, top))
+        return bind(F.array_max(row), lambda top: from_weights_of(row, top))
 
     def from_weights_of(row: Column, top: Column) -> Column:
-        return _bind(F.transform(row, lambda x: F.exp(x - top)), from_weights)
-    return _bind(logits, from_logits)
+        return bind(F.transform(row, lambda x: F.exp(x - top)), from_weights)
+    return bind(logits, from_logits)
 
 
 NetScore = Callable[[Column, Column], Column]

@@ -112,7 +112,7 @@ def _unpack_views(column: pa.ListArray):
     counts = np.diff(column.offsets.to_numpy())
     flat = column.flatten()
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return units(values.reshape(len(flat), -1)), np.append(0, np.cumsum(counts))[:-1]
+    return units(values.reshape(len(flat), len(values) // max(1, len(flat)))), np.append(0, np.cumsum(counts))[:-1]
 
 
 def search(messages: DataFrame, library: DataFrame, k: int, floor: bool = True,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,23 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
+@cache
+def _shipped(application: str, spark: SparkSession, packages: tuple[Path, ...]) -> None:
+    archive = Path(tempfile.mkdtemp(prefix="turnwatch-src-")) / "turnwatch.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in packages:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
+def ship(spark: SparkSession, *packages: Path) -> None:
+    """Hand this package (and others) to the Python workers, once per application. Not
+    needed where they are installed or passed with ``--py-files``."""
+    own = Path(__file__).resolve().parent
+    _shipped(spark.sparkContext.applicationId, spark, (own, *packages))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to shuffle."""
     return F.broadcast(df) if fits(df, max_rows) else df

@@ -134,8 +134,8 @@ def document_items(spark, sf):
 
 LETTERS_SQL = """list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z',' '),
  lambda c: (length(lower({0}))-length(replace(lower({0}),c,'')))::DOUBLE)"""
-V_SQL = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-D_SQL = f"d AS (SELECT doc_id AS id, source, lang, text, {LETTERS_SQL.format('text')} AS v FROM documents)"
+V_SQL = "v AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+D_SQL = f"d AS MATERIALIZED (SELECT doc_id AS id, source, lang, text, {LETTERS_SQL.format('text')} AS v FROM documents)"
 
 
 def _cos(a, b):

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+from turnwatch.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +19,12 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark, Path(__file__).resolve().parent)
+            return fn(spark, folder)
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
