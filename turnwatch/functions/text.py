@@ -84,6 +84,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"(?U)\s+", " ")
 
 
+def fold_case(text: Column) -> Column:
+    """Lower case for comparison; sharp s and final sigma meet their plain forms."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def natural_key(pid: Column) -> list[Column]:
     """Sort key with p2 before p10 and other ids last."""
     number = F.regexp_extract(F.lower(F.trim(pid)), r"^p(\d+)$", 1)

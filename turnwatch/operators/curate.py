@@ -77,104 +77,130 @@ def _zero(vec: str = "vec"):
     return dot(F.col(vec), F.col(vec)) == 0
 
 
-def greedy_dedup(items: DataFrame, group: list[str], threshold: float, inclusive: bool = False,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Keep the first of every run of similar items: an item is dropped when its cosine to a
-    kept earlier item exceeds the threshold. ``items(id long, pos, vec, *group)``.
+def _fields(items: DataFrame, group: list[str]) -> str:
+    return ", ".join(f"{g} {items.schema[g].dataType.simpleString()}" for g in group)
 
-    Groups within one block are settled in their task. Larger ones go through rounds: an
-    item without an undecided or kept similar predecessor is kept, one with a kept
-    predecessor is dropped; each round compares what is still open."""
-    alone = items.filter(_zero()).select(*group, "id", "pos")
-    work = _distinct_vectors(items.filter(~_zero()), group)
-    fields = ", ".join(f"{g} {items.schema[g].dataType.simpleString()}" for g in group)
-    sizes = work.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+
+def _by_size(items: DataFrame, group: list[str], block_rows: int):
+    """Rows of groups that fit a task, and rows of larger groups (None when there are none).
+    Only the group columns are read to tell them apart."""
+    big = items.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
+        F.col("__n") > block_rows).select(*group)
+    if big.isEmpty():
+        return items, None
+    big = broadcast_if_small(cut_lineage(big))
+    return items.join(big, group, "left_anti"), items.join(big, group, "left_semi")
+
+
+def _settle_in_task(items: DataFrame, group: list[str], threshold: float, inclusive: bool) -> DataFrame:
+    """Leaders of groups that fit a task: each item in order either joins the first seed that
+    reaches it or becomes a seed."""
     hit = np.greater_equal if inclusive else np.greater
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pos", "id"]).reset_index(drop=True)
         vec = units(np.stack(pdf["vec"].to_list()).astype(np.float64))
-        gone = np.zeros(len(pdf), bool)
+        lead = np.full(len(pdf), -1)
         for i in range(len(pdf)):
-            if not gone[i]:
+            if lead[i] < 0:
+                lead[i] = i
                 later = hit(np.rint(vec[i + 1:] @ vec[i] * SCALE) / SCALE, threshold)
-                gone[i + 1:] |= later
-        return pdf.loc[~gone, [*group, "id", "pos"]]
+                lead[i + 1:][later & (lead[i + 1:] < 0)] = i
+        return pdf[[*group, "id", "pos"]].assign(leader=pdf["id"].to_numpy()[lead])
 
     pos_type = items.schema["pos"].dataType.simpleString()
-    schema = f"{fields}, id long, pos {pos_type}"
-    sized = work.join(broadcast_if_small(sizes), group)
-    kept = sized.filter(F.col("__n") <= block_rows).drop("__n").groupBy(*group).applyInPandas(settle, schema)
-    big = sizes.filter(F.col("__n") > block_rows)
-    if big.isEmpty():
-        return kept.unionByName(alone)
+    return items.select(*group, "id", "pos", "vec").groupBy(*group).applyInPandas(
+        settle, f"{_fields(items, group)}, id long, pos {pos_type}, leader long")
+
+
+def _seed_rounds(items: DataFrame, group: list[str], threshold: float, inclusive: bool,
+                 block_rows: int) -> DataFrame:
+    """Seeds of large groups. An item without an open or kept similar predecessor is kept, one
+    with a kept predecessor is dropped; each round compares what is still open."""
+    hit = np.greater_equal if inclusive else np.greater
+    fields = _fields(items, group)
 
     def look(rows, others, sims):
-        earlier = (others["pos"], others["id"])
-        before = (earlier[0][None, :] < rows["pos"][:, None]) | (
-            (earlier[0][None, :] == rows["pos"][:, None]) & (earlier[1][None, :] < rows["id"][:, None]))
+        before = (others["pos"][None, :] < rows["pos"][:, None]) | (
+            (others["pos"][None, :] == rows["pos"][:, None]) & (others["id"][None, :] < rows["id"][:, None]))
         near = hit(sims, threshold) & before
-        open_ = ~rows["kept"].astype(bool)
+        kept = others["kept"].astype(bool)[None, :]
         out = pd.DataFrame({**{g: rows[g] for g in group}, "id": rows["id"],
-                            "by_kept": (near & others["kept"].astype(bool)[None, :]).any(axis=1),
-                            "by_open": (near & ~others["kept"].astype(bool)[None, :]).any(axis=1)})
-        return out[open_]
+                            "by_kept": (near & kept).any(axis=1), "by_open": (near & ~kept).any(axis=1)})
+        return out[~rows["kept"].astype(bool)]
 
-    state = cut_lineage(sized.filter(F.col("__n") > block_rows).drop("__n").withColumn("kept", F.lit(False)))
-    done = []
+    state = cut_lineage(_distinct_vectors(items.filter(~_zero()), group).withColumn("kept", F.lit(False)))
+    seeds = items.filter(_zero()).select(*group, "id", "pos")
     while not state.filter(~F.col("kept")).isEmpty():
         flags = compare(state, group, look, f"{fields}, id long, by_kept boolean, by_open boolean",
                         block_rows=block_rows)
         flags = flags.groupBy(*group, "id").agg(F.bool_or("by_kept").alias("by_kept"),
                                                 F.bool_or("by_open").alias("by_open"))
-        # Items kept in an earlier round have been compared with everything still open.
+        # Items kept in an earlier round have now met everything that is still open.
         nxt = state.filter(~F.col("kept")).join(flags, [*group, "id"], "left")
         state = cut_lineage(nxt.filter(~F.coalesce("by_kept", F.lit(False))).withColumn(
             "kept", ~F.coalesce("by_open", F.lit(False))).drop("by_kept", "by_open"))
-        done.append(state.filter("kept").select(*group, "id", "pos"))
-    for part in done:
-        kept = kept.unionByName(part)
-    return kept.unionByName(alone)
+        seeds = seeds.unionByName(state.filter("kept").select(*group, "id", "pos"))
+    return seeds
+
+
+def greedy_dedup(items: DataFrame, group: list[str], threshold: float, inclusive: bool = False,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Keep the first of every run of similar items: an item is dropped when its cosine to a
+    kept earlier item exceeds the threshold. ``items(id long, pos, vec, *group)``. Groups
+    within one block are settled in their task, larger ones in rounds."""
+    small, large = _by_size(items, group, block_rows)
+    kept = _settle_in_task(small, group, threshold, inclusive).filter(
+        F.col("leader") == F.col("id")).select(*group, "id", "pos")
+    if large is None:
+        return kept
+    return kept.unionByName(_seed_rounds(large, group, threshold, inclusive, block_rows))
 
 
 def leader_clusters(items: DataFrame, group: list[str], threshold: float = 0.85,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every item with the lowest seed it reaches (itself when it is a seed) and the size of
     that cluster. Seeds are the items greedy deduplication keeps."""
-    seeds = greedy_dedup(items, group, threshold, inclusive=True, block_rows=block_rows)
+    small, large = _by_size(items, group, block_rows)
+    members = _settle_in_task(small, group, threshold, True).select(*group, "id", "leader")
+    if large is not None:
+        members = members.unionByName(_large_leaders(large, group, threshold, block_rows))
+    counts = members.groupBy(*group, "leader").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return members.join(counts, [*group, "leader"])
+
+
+def _large_leaders(items: DataFrame, group: list[str], threshold: float, block_rows: int) -> DataFrame:
+    seeds = cut_lineage(_seed_rounds(items, group, threshold, True, block_rows))
     marked = items.join(seeds.select(*group, "id", F.lit(True).alias("seed")), [*group, "id"], "left") \
         .withColumn("seed", F.coalesce("seed", F.lit(False)))
-    fields = ", ".join(f"{g} {items.schema[g].dataType.simpleString()}" for g in group)
     # Copies of a vector share its leader, so only distinct vectors and seeds are compared.
-    reps = marked.groupBy(*group, "vec").agg(
+    reps = cut_lineage(marked.filter(~_zero()).groupBy(*group, "vec").agg(
         F.min(F.struct("pos", "id")).alias("f"), F.bool_or("seed").alias("seed")).select(
-        *group, "vec", "f.id", "f.pos", "seed")
+        *group, "vec", "f.id", "f.pos", "seed"))
 
     def look(rows, others, sims):
         reach = (sims >= threshold) & others["seed"].astype(bool)[None, :]
-        order = np.argsort(others["pos"], kind="stable")
-        any_ = reach.any(axis=1)
+        order = np.lexsort((others["id"], others["pos"]))
         first = order[reach[:, order].argmax(axis=1)]
         out = pd.DataFrame({**{g: rows[g] for g in group}, "id": rows["id"],
                             "lead_pos": others["pos"][first].astype(np.int64), "lead": others["id"][first]})
-        return out[any_ & ~rows["seed"].astype(bool)]
+        return out[reach.any(axis=1) & ~rows["seed"].astype(bool)]
 
-    found = compare(reps, group, look, f"{fields}, id long, lead_pos long, lead long",
+    found = compare(reps, group, look, f"{_fields(items, group)}, id long, lead_pos long, lead long",
                     block_rows=block_rows)
     found = found.groupBy(*group, "id").agg(F.min(F.struct("lead_pos", "lead")).alias("l"))
     leaders = reps.join(found, [*group, "id"], "left").select(
         *group, "vec", F.coalesce("l.lead", "id").alias("leader"))
     zero = marked.filter(_zero()).select(*group, "id", F.col("id").alias("leader"))
-    members = marked.filter(~_zero()).select(*group, "id", "vec").join(
+    return marked.filter(~_zero()).select(*group, "id", "vec").join(
         leaders, [*group, "vec"]).select(*group, "id", "leader").unionByName(zero)
-    counts = members.groupBy(*group, "leader").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return members.join(counts, [*group, "leader"])
 
 
 def drop_if_earlier_similar(items: DataFrame, group: list[str], threshold: float = 0.75,
                             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Axis rule: an item goes if any earlier item, kept or not, is too similar."""
-    fields = ", ".join(f"{g} {items.schema[g].dataType.simpleString()}" for g in group)
+    """Axis rule: an item goes if any earlier item, kept or not, is too similar. ``pos`` is
+    unique in its group."""
+    fields = _fields(items, group)
     work = _distinct_vectors(items.filter(~_zero()), group)
 
     def look(rows, others, sims):

@@ -1,6 +1,6 @@
 """Every registered query with the SQL that checks it."""
 
-from workload import evaluation, grounding, temporal, text  # noqa: F401
+from workload import curation, evaluation, grounding, temporal, text  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

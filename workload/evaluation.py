@@ -8,6 +8,7 @@ from turnwatch.functions.vectors import letter_histogram
 from turnwatch.operators import evaluate as E
 from turnwatch.operators import grounding as G
 from turnwatch.plans.similarity import search
+from turnwatch.session import cut_lineage, spread
 from workload.grounding import (
     KNN_SQL, LIB_SQL, MODES_SQL, SIM1_SQL, SOFT_SQL, searched, vector_library, vector_messages, voters)
 from workload.registry import query, table
@@ -127,9 +128,9 @@ def vector_items(spark, sf):
 
 
 def document_items(spark, sf):
-    """Documents with their letter histograms."""
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), "source", "lang", letter_histogram(F.col("text")).alias("vec"), "text")
+    """Documents with their letter histograms, embedded once and kept as a written table."""
+    return cut_lineage(spread(table(spark, sf, "documents")).select(
+        F.col("doc_id").alias("id"), "source", "lang", letter_histogram(F.col("text")).alias("vec"), "text"))
 
 
 LETTERS_SQL = """list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z',' '),
