@@ -102,8 +102,8 @@ def library_rows(docs: DataFrame) -> DataFrame:
     return rows.select(*base, "category_idx", "category", F.posexplode("texts").alias("idx", "text"))
 
 
-def read_anchor_library(spark: SparkSession, path: str) -> DataFrame:
-    return library_rows(spark.read.schema(_LIBRARY).json(path, multiLine=True))
+def read_anchor_library(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return library_rows(spark.read.schema(_LIBRARY).json(path, multiLine=multi_line))
 
 
 def with_optimised_vectors(library: DataFrame, optimised: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every registered query with the SQL that checks it."""
 
-from workload import curation, evaluation, grounding, temporal, text  # noqa: F401
+from workload import (  # noqa: F401
+    curation, evaluation, grounding, sources, streaming, temporal, text)
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
