@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwatch.functions.vectors import bind
+
 # Fixed values of message extraction.
 MIN_WORDS, RELEVANCE, MIN_SELECTED, MAX_WINDOW = 30, 0.18, 1, 3
 # Fixed patterns: sentence end before a capital, clause breaks, short fragments.
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 CLAUSE_BREAK = (r"(?U);\s+|(?<=\.)\s+(?:Also|Separately|Additionally|Furthermore|Moreover),?\s+")
-SHORT_FRAGMENT_WORDS = 3
+FRAGMENT = r"(?U)^\s*\S+(?:\s+\S+)?\s*$"  # fewer than three words
+# Every white space character.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                           0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 _JOIN = "\u0001"
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def word_count(text: Column) -> Column:
-    s = strip(text)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, r"(?U)\s+")))
+    return bind(strip(text), lambda s: F.when(s == "", 0).otherwise(F.size(F.split(s, r"(?U)\s+"))))
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text; fragments below three words join the sentence before them."""
-    whole = strip(text)
+    return bind(strip(text), lambda whole: bind(_clauses(whole), lambda parts: _glue(whole, parts)))
+
+
+def _clauses(whole: Column) -> Column:
     parts = F.flatten(F.transform(F.split(whole, SENTENCE_END), lambda p: F.split(strip(p), CLAUSE_BREAK)))
-    parts = F.filter(F.transform(parts, strip), lambda p: p != "")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
+
+
+def _glue(whole: Column, parts: Column) -> Column:
     # A short fragment is glued with a blank, anything else starts a new sentence.
     glued = F.array_join(F.transform(parts, lambda p, i: F.when(
-        (i > 0) & (word_count(p) < SHORT_FRAGMENT_WORDS), F.concat(F.lit(" "), p)).otherwise(
-        F.when(i > 0, F.concat(F.lit(_JOIN), p)).otherwise(p))), "")
+        i == 0, p).when(p.rlike(FRAGMENT), F.concat(F.lit(" "), p)).otherwise(F.concat(F.lit(_JOIN), p))), "")
     return F.when(whole == "", F.array().cast("array<string>")).when(
         F.size(parts) == 0, F.array(whole)).otherwise(F.split(glued, _JOIN))
 
@@ -116,16 +123,10 @@ def json_list_text(items: Column) -> Column:
 
 def spell_changes(original: Column, corrected: Column) -> Column:
     """Words that differ between two texts, aligned by position, ignoring case."""
-    a, b = (F.split(strip(c), r"(?U)\s+") for c in (original, corrected))
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n),
-                       lambda x, y: F.struct(x.alias("was"), y.alias("now")))
-    return F.filter(pairs, lambda p: F.lower(p["was"]) != F.lower(p["now"]))
-
-
-Embedder = Callable[[Column], Column]
-
-
-def embed_all(texts: Column, embed: Embedder) -> Column:
-    """Embed every text of an array with a column embedder."""
-    return F.transform(texts, embed)
+    def differ(a: Column, b: Column) -> Column:
+        n = F.least(F.size(a), F.size(b))
+        pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n),
+                           lambda x, y: F.struct(x.alias("was"), y.alias("now")))
+        return F.filter(pairs, lambda p: F.lower(p["was"]) != F.lower(p["now"]))
+    words = [F.split(strip(c), r"(?U)\s+") for c in (original, corrected)]
+    return bind(words[0], lambda a: bind(words[1], lambda b: differ(a, b)))

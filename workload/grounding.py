@@ -10,7 +10,7 @@ from turnwatch.functions.prompts import (
 from turnwatch.functions.vectors import cosine as cosine_column
 from turnwatch.operators import grounding as G
 from turnwatch.plans.similarity import search
-from workload.registry import query, table
+from workload.registry import documents, query, table
 from workload.temporal import conversations, region_propositions
 
 # -- inputs: every embedding is a message with two views, and an anchor of two propositions ----
@@ -334,7 +334,7 @@ def example_parse(spark, sf):
     answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(
         lines.alias("positive_examples"), F.reverse(lines).alias("negative_examples"))), F.lit("\n```"))
     f = example_fields(F.col("answer"))
-    return table(spark, sf, "documents").select("doc_id", answer.alias("answer")).select(
+    return documents(spark, sf).select("doc_id", answer.alias("answer")).select(
         "doc_id", *[F.array_join(f[c], "|").alias(c) for c in ("positive", "negative")])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnwatch.session import new_folder
 from turnwatch.sources import readers, sinks
 from workload.grounding import vector_library
-from workload.registry import query, table
+from workload.registry import documents, query, table
 
 # -- labelled text ------------------------------------------------------------------------
 
@@ -16,7 +16,7 @@ def labelled_content(spark, sf):
     """Every document as labelled text; its language decides the style of the labels."""
     mark = (F.when(F.col("lang") == "en", "\n### MATCH\n").when(F.col("lang") == "de", " ### clean ### ")
             .when(F.col("lang") == "fr", "\n### Warning\n### no match\n").otherwise(" ### "))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("file"), F.replace(F.col("text"), F.lit("\n"), mark).alias("content"))
 
 

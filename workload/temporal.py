@@ -9,7 +9,7 @@ from turnwatch.plans.formula import read_formula
 from turnwatch.plans.layout import TraceLayout
 from turnwatch.session import new_folder
 from turnwatch.sources import readers, sinks
-from workload.registry import query, table
+from workload.registry import documents, query, table
 
 # -- inputs --------------------------------------------------------------------------------
 
@@ -101,7 +101,7 @@ def trace_scan(spark, sf):
  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')),
 lambda x: x <> '') AS l FROM documents)""")
 def propositions_scan(spark, sf):
-    raw = table(spark, sf, "documents").select(
+    raw = documents(spark, sf).select(
         F.col("doc_id").alias("prop_id"), F.col("source").alias("description"),
         F.lit("user").alias("role"), F.to_json(F.split("text", "\n")).alias("few_shot_positive"),
         F.concat(F.lit("no list: "), "lang").alias("few_shot_negative"))
