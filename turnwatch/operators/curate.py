@@ -165,6 +165,7 @@ def leader_clusters(items: DataFrame, group: list[str], threshold: float = 0.85,
     members = _settle_in_task(small, group, threshold, True).select(*group, "id", "leader")
     if large is not None:
         members = members.unionByName(_large_leaders(large, group, threshold, block_rows))
+    members = cut_lineage(members)  # ids only, used twice
     counts = members.groupBy(*group, "leader").agg(F.count(F.lit(1)).alias("cluster_size"))
     return members.join(counts, [*group, "leader"])
 
@@ -201,7 +202,7 @@ def drop_if_earlier_similar(items: DataFrame, group: list[str], threshold: float
     """Axis rule: an item goes if any earlier item, kept or not, is too similar. ``pos`` is
     unique in its group."""
     fields = _fields(items, group)
-    work = _distinct_vectors(items.filter(~_zero()), group)
+    work = cut_lineage(_distinct_vectors(items.filter(~_zero()), group))
 
     def look(rows, others, sims):
         before = (others["pos"][None, :] < rows["pos"][:, None])
@@ -407,9 +408,8 @@ def weak_zones(low: DataFrame, texts: DataFrame, per_zone: int = 6) -> DataFrame
     return sizes.join(shown, "cluster").withColumn("add", need)
 
 
-def hard_mining(found: DataFrame, labels: DataFrame, k: int = 20, level: float = 0.50) -> DataFrame:
-    """Labelled queries the vote gets wrong, with their scores."""
-    scored = knn_vote(found, k).join(labels, ["msg_id", "prop"])
+def hard_mining(scored: DataFrame, level: float = 0.50) -> DataFrame:
+    """Labelled queries the vote gets wrong: ``scored(msg_id, prop, score, label 0/1)``."""
     hit = F.col("score") > level
     kind = F.when(hit & (F.col("label") == 0), "false_positive").when(
         ~hit & (F.col("label") == 1), "false_negative")

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwatch.functions.vectors import cosine, dot, norm, unit
+from turnwatch.functions.vectors import cosine, unit
 from turnwatch.operators.grounding import verdict
 from turnwatch.plans.similarity import compare, search
+from turnwatch.session import cut_lineage
 
 VERDICTS = ("MATCH", "WARNING", "NO MATCH", "ERROR")
 
@@ -69,7 +70,8 @@ def calibrate_thresholds(scores: DataFrame, min_rows: int = 10, min_class: int =
     """Thresholds with the best F1 per proposition from ``(prop, score, label 0/1)``. Scores
     are counted first; only the few distinct scores meet the grid. The first grid point that
     reaches the best F1 wins; too little data gives no row."""
-    counts = scores.groupBy("prop", "score", "label").agg(F.count(F.lit(1)).alias("n"))
+    # A handful of rows used twice: kept so that the scoring behind it runs once.
+    counts = cut_lineage(scores.groupBy("prop", "score", "label").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("prop").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"))
     totals = totals.filter((F.col("rows") >= min_rows) & (F.col("pos") >= min_class)
@@ -132,12 +134,12 @@ def dataset_profile(rows: DataFrame) -> DataFrame:
 def mean_similarity(items: DataFrame, group: list[str]) -> DataFrame:
     """Mean pairwise cosine per group with a zero diagonal over n squared cells. The sum of
     all pairs is the squared length of the summed unit vectors, so one pass suffices."""
-    u = items.select(*group, unit(F.col("vec")).alias("u"))
-    sizes = u.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(dot(F.col("u"), F.col("u"))).alias("diag"))
-    dims = (u.select(*group, F.posexplode("u").alias("d", "x"))
-            .groupBy(*group, "d").agg(F.sum("x").alias("s")))
-    total = dims.groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("total"))
-    return sizes.join(total, group).select(
+    dims = (items.select(*group, F.posexplode(unit(F.col("vec"))).alias("d", "x"))
+            .groupBy(*group, "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"),
+                                      F.count(F.lit(1)).alias("n")))
+    sums = dims.groupBy(*group).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("total"),
+                                    F.sum("s2").alias("diag"))
+    return sums.select(
         *group, "n", ((F.col("total") - F.col("diag")) / (F.col("n") * F.col("n"))).alias("mean_sim"))
 
 
@@ -221,8 +223,8 @@ def class_similarity_histogram(items: DataFrame, bins: int = 40, **kw) -> tuple[
         return pd.concat(out)
 
     cells = compare(flat, ["g"], look, "kind string, bin int, n long, s double, s2 double", **kw)
-    hist = cells.groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"),
-                                            F.sum("s2").alias("s2"))
+    hist = cut_lineage(cells.groupBy("kind", "bin").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")))
     stats = {r["kind"]: r for r in hist.groupBy("kind").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).collect()}
     pp = stats.get("pp")
@@ -268,22 +270,21 @@ def subtopic_coverage(assigned: DataFrame, subtopics: DataFrame) -> DataFrame:
     counts = assigned.groupBy("prop", "subtopic_idx").agg(F.count(F.lit(1)).alias("n"))
     every = subtopics.select("prop", "subtopic_idx").join(counts, ["prop", "subtopic_idx"], "left") \
         .withColumn("n", F.coalesce("n", F.lit(0)))
-    totals = every.groupBy("prop").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("subtopics"))
-    equal = F.col("total") / F.col("subtopics")
+    own = Window.partitionBy("prop")  # one row per subtopic here
+    total = F.sum("n").over(own)
+    equal = total / F.count(F.lit(1)).over(own)
     status = F.when(F.col("n") < equal * 0.6, "UNDERREPRESENTED").when(
         F.col("n") < equal * 0.9, "LOW").otherwise("OK")
-    return every.join(totals, "prop").select(
-        "prop", "subtopic_idx", "n", _share(F.col("n"), F.col("total")).alias("share"),
-        status.alias("status"))
+    return every.select("prop", "subtopic_idx", "n", _share(F.col("n"), total).alias("share"),
+                        status.alias("status"))
 
 
 def subtopic_shortfall(coverage: DataFrame, target_n: int, floor: int) -> DataFrame:
     """Missing examples up to the fixed target max(floor, target_n // subtopics)."""
-    sizes = coverage.groupBy("prop").agg(F.count(F.lit(1)).alias("k"))
-    target = F.greatest(F.lit(floor), F.floor(F.lit(target_n) / F.col("k")).cast("int"))
-    return coverage.join(sizes, "prop").select(
-        "prop", "subtopic_idx", "n", target.alias("target"),
-        F.greatest(F.lit(0), target - F.col("n")).alias("shortfall"))
+    k = F.count(F.lit(1)).over(Window.partitionBy("prop"))
+    target = F.greatest(F.lit(floor), F.floor(F.lit(target_n) / k).cast("int"))
+    return coverage.select("prop", "subtopic_idx", "n", target.alias("target")).withColumn(
+        "shortfall", F.greatest(F.lit(0), F.col("target") - F.col("n")))
 
 
 def boundary_quality(hard_pos: DataFrame, hard_neg: DataFrame, std_neg: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnwatch.operators import curate as C
 from turnwatch.operators import evaluate as E
-from workload.evaluation import D_SQL, V_SQL, _cos, document_items, vector_items
+from workload.evaluation import D_SQL, V_SQL, _cos, document_items, knn_scores, vector_items
 from workload.grounding import (
     KNN_SQL, LIB_SQL, SIM1_SQL, searched, vector_library)
 from workload.registry import query, table
@@ -172,23 +172,14 @@ def weak_zones(spark, sf):
  SELECT msg_id, prop, round(score,6) AS score, CASE WHEN pos THEN 'false_negative' ELSE 'false_positive' END AS failure FROM s
  WHERE (score>0.50) <> pos""")
 def hard_mining(spark, sf):
-    return _failures(spark, sf).withColumn("score", F.round("score", 6))
-
-
-def _failures(spark, sf):
-    found = searched(spark, sf, 20, views=1, floor=False)
-    props = table(spark, sf, "embeddings").select(F.col("label").alias("prop")).distinct()
-    truth = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), F.col("label").alias("own"))
-    labels = found.select("msg_id", "prop").join(truth, "msg_id").select(
-        "msg_id", "prop", (F.col("own") == F.col("prop")).cast("int").alias("label"))
-    return C.hard_mining(found, labels.join(F.broadcast(props), "prop", "left_semi"))
+    return C.hard_mining(knn_scores(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("fix_budget", f"""WITH {SIM1_SQL}, {KNN_SQL}, s AS (SELECT prop, score>0.50 AS hit, label=prop AS pos FROM knn JOIN q USING (msg_id))
  SELECT prop, CASE WHEN pos THEN 'false_negative' ELSE 'false_positive' END AS failure, least(15, 3*count(*)) AS budget FROM s
  WHERE hit <> pos GROUP BY ALL""")
 def fix_budget(spark, sf):
-    return C.fix_budget(_failures(spark, sf))
+    return C.fix_budget(C.hard_mining(knn_scores(spark, sf)))
 
 
 @query("adversarial_rank", f"""WITH {SIM1_SQL}, {KNN_SQL} SELECT msg_id, prop, round(score,6) AS score, max_pos,

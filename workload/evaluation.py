@@ -280,7 +280,7 @@ def boundary_quality(spark, sf):
 
     def found(prop):
         return search(own.select("msg_id", "views", prop.alias("prop")), library, 1, floor=False, skip_same=True)
-    negatives = found((F.col("label") + 1) % 10)
+    negatives = cut_lineage(found((F.col("label") + 1) % 10))  # used twice
     return E.boundary_quality(found(F.col("label")), negatives, negatives)
 
 

@@ -10,6 +10,7 @@ from turnwatch.functions.prompts import (
 from turnwatch.functions.vectors import cosine as cosine_column
 from turnwatch.operators import grounding as G
 from turnwatch.plans.similarity import search
+from turnwatch.session import cut_lineage
 from workload.registry import documents, query, table
 from workload.temporal import conversations, region_propositions
 
@@ -347,7 +348,7 @@ def example_parse(spark, sf):
     "context": "chr(10) || chr(10) || 'Closest anchors by similarity:' || chr(10) || lines"})}) AS prompt FROM ctx""")
 def judge_with_context(spark, sf):
     library = anchor_library(spark, sf)
-    top = G.top_anchors(vector_messages(spark, sf), library, 5, skip_same=True)
+    top = cut_lineage(G.top_anchors(vector_messages(spark, sf), library, 5, skip_same=True))  # used twice
     texts = library.filter("is_positive").select(
         "prop", "anchor_id", "text", F.concat(F.lit("c"), F.col("prop").cast("string")).alias("category"))
     pairs = top.select("msg_id", "prop").distinct().select(
