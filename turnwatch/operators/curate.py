@@ -33,23 +33,29 @@ def too_close_filter(candidates: DataFrame, positives: DataFrame, limit: float =
     return best.filter(F.coalesce(F.col("max_sim") <= limit, F.lit(True)))
 
 
-def _best_match(items: DataFrame, refs: DataFrame, **kw) -> DataFrame:
-    """Add the best similarity of ``items(id, prop, embedding)`` to ``refs(prop, id,
-    embedding)`` of the same proposition."""
+def _best_only(items: DataFrame, refs: DataFrame, **kw) -> DataFrame:
+    """Best similarity of each of ``items(id, prop, embedding)`` to ``refs(prop, id,
+    embedding)`` of the same proposition: ``(id, prop, max_sim, match_id)``."""
     found = search(
         items.select(F.col("id").alias("msg_id"), F.array("embedding").alias("views"), "prop"),
         refs.select("prop", F.lit(True).alias("is_positive"), F.col("id").alias("idx"),
                     F.col("id").alias("anchor_id"), "embedding"), 1, floor=False, **kw)
-    best = found.select(F.col("msg_id").alias("id"), "prop", F.col("max_pos").alias("max_sim"),
+    return found.select(F.col("msg_id").alias("id"), "prop", F.col("max_pos").alias("max_sim"),
                         F.col("top_id")[0].alias("match_id"))
-    return items.join(best, ["id", "prop"], "left")
+
+
+def _best_match(items: DataFrame, refs: DataFrame, **kw) -> DataFrame:
+    """The items with their best similarity; null where a proposition has no refs."""
+    return items.join(_best_only(items, refs, **kw), ["id", "prop"], "left")
 
 
 def novel_only(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates whose exact text is new; of equal candidates the lowest id stays. Copies are
     folded before the join, so a much repeated text is one row there."""
-    firsts = candidates.groupBy("text").agg(F.min("id").alias("id"))
-    return firsts.join(existing.select("text").distinct(), "text", "left_anti")
+    key = F.sha2("text", 256).alias("key")  # digests travel, texts stay in the scan
+    firsts = candidates.select(key, "id").groupBy("key").agg(F.min("id").alias("id"))
+    new = firsts.join(existing.select(key).distinct(), "key", "left_anti")
+    return candidates.join(new.select("id"), "id", "left_semi").select("text", "id")
 
 
 def cross_dedup(candidates: DataFrame, existing: DataFrame, limit: float = 0.85, **kw) -> DataFrame:
@@ -58,7 +64,7 @@ def cross_dedup(candidates: DataFrame, existing: DataFrame, limit: float = 0.85,
 
 def nearest_opposite(items: DataFrame, opposite: DataFrame, n: int = 10, **kw) -> DataFrame:
     """The ``n`` items of each proposition closest to the opposite class."""
-    best = _best_match(items, opposite, **kw)
+    best = _best_only(items, opposite, **kw)
     rank = F.row_number().over(Window.partitionBy("prop").orderBy(F.desc("max_sim"), "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= n).select(
         "prop", "id", "max_sim", "match_id", "rank")

@@ -110,6 +110,33 @@ def nli_voters(found: DataFrame, forward: NetScore, backward: NetScore,
     return found.withColumn("nli_top", F.slice(F.array_sort(scored), 1, vote_k))
 
 
+def candidate_pairs(found: DataFrame, retrieve_k: int = NLI_RETRIEVE_K) -> DataFrame:
+    """The (message, anchor) pairs worth a pair model's time: ``retrieve_k`` rows per message
+    and proposition. Score them with any DataFrame function, e.g. a pandas UDF."""
+    entries = F.slice(short_list(found), 1, retrieve_k) if retrieve_k else short_list(found)
+    return found.select("msg_id", "prop", "max_pos", "max_neg", F.explode(entries).alias("c")).select(
+        "msg_id", "prop", "max_pos", "max_neg", "c.*")
+
+
+def voters_from_pairs(scored: DataFrame, vote_k: int = NLI_VOTE_K,
+                      forward_weight: float = FORWARD_WEIGHT) -> DataFrame:
+    """Voters from scored candidate pairs (``candidate_pairs`` plus ``net_fwd``, ``net_bwd``).
+    A message has at most ``retrieve_k`` pairs, so its lists stay short."""
+    net = F.col("net_fwd") * forward_weight + F.col("net_bwd") * (1 - forward_weight)
+    entry = F.struct("rank", "sim", "is_positive", "anchor_id", "voter_key", (-net).alias("order_by"))
+    rows = scored.groupBy("msg_id", "prop").agg(
+        F.array_sort(F.collect_list(entry)).alias("l"), F.first("max_pos").alias("max_pos"),
+        F.first("max_neg").alias("max_neg"))
+    ranked_ = F.array_sort(F.transform("l", lambda x: F.struct(
+        x["order_by"].alias("order_by"), x["rank"].alias("rank"), x["sim"].alias("sim"),
+        x["is_positive"].alias("is_positive"), x["anchor_id"].alias("anchor_id"),
+        x["voter_key"].alias("voter_key"))))
+    arrays = [F.col(f"l.{field}").alias(name) for name, field in (
+        ("top_sim", "sim"), ("top_pos", "is_positive"), ("top_id", "anchor_id"), ("top_key", "voter_key"))]
+    return rows.select("msg_id", "prop", *arrays, "max_pos", "max_neg",
+                       F.slice(ranked_, 1, vote_k).alias("nli_top"))
+
+
 def nli_vote(voters: DataFrame, match: float = MATCH, warning: float = WARNING,
              margin: float = ABSTAIN_MARGIN) -> DataFrame:
     rows = voters.select("msg_id", "prop", _positives(F.col("nli_top")).alias("pos_in_k"),

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwatch.functions.text import strip
 from turnwatch.plans.formula import (
     RESERVED, Formula, FormulaError, read_formula, weak_yesterday)
 from turnwatch.plans.layout import TraceLayout, snapshot_nodes
@@ -47,7 +48,7 @@ def check_policies(policies: list[Policy]) -> None:
 def valid_messages(messages: DataFrame) -> DataFrame:
     """Messages with visible text of at most 51,200 UTF-8 bytes."""
     return messages.filter(
-        F.col("text").rlike(r"(?U)\S") & (F.octet_length("text") <= MAX_MESSAGE_BYTES))
+        (strip(F.col("text")) != "") & (F.octet_length("text") <= MAX_MESSAGE_BYTES))
 
 
 def route_roles(messages: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def needed_propositions(propositions: DataFrame, policies: DataFrame) -> DataFra
 def policy_refs(policies: DataFrame) -> DataFrame:
     """(policy_id, prop_id) links read from each formula, sorted, built-ins left out."""
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(
-        "formula_str", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))))
+        "formula_str", F.lit(r"(?U)([\p{L}_]\w*)"), F.lit(1))))
     known = F.array_except(words, F.array(*[F.lit(w) for w in (*RESERVED, "user_turn")]))
     return policies.select("policy_id", F.explode(known).alias("prop_id"))
 
@@ -221,7 +222,7 @@ def conversation_validity(messages: DataFrame, layout: TraceLayout) -> DataFrame
     """Whether a conversation can be replayed, and why not. Only user and assistant turns
     with text count. Positions come from a running count, so length does not matter."""
     role = F.lower(F.trim("role"))
-    kept = role.isin("user", "assistant") & F.col("text").rlike(r"(?U)\S")
+    kept = role.isin("user", "assistant") & (strip(F.col("text")) != "")
     rows = layout.running_sum(messages.withColumn("kept", F.coalesce(kept, F.lit(False)).cast("int")),
                               {"nth": F.col("kept")})
     expected = F.when(F.col("nth") % 2 == 1, "user").otherwise("assistant")

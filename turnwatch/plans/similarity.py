@@ -138,6 +138,8 @@ def search(messages: DataFrame, library: DataFrame, k: int, floor: bool = True,
     width = max(1, first[0] if first else 1)
     if fits(library, broadcast_values // width):
         return _search_broadcast(spread(messages), library, k, floor, skip_same, prop_type)
+    if messages.isStreaming:
+        raise ValueError("a stream needs a library that fits a broadcast; search it in parts")
     return _search_blocks(messages, library, k, floor, skip_same, prop_type,
                           block_rows or max(1024, BLOCK_VALUES // width), own)
 

@@ -178,6 +178,19 @@ def nli_rerank_vote(spark, sf):
         "msg_id", "prop", "pos_in_k", "neg_in_k", F.round("score", 6).alias("score"), "abstain", "action")
 
 
+@query("nli_from_pairs", f"""WITH {NLI_SQL} SELECT msg_id, prop, count_if(is_positive AND nrk<=20) AS pos_in_k,
+ count_if(nrk<=20) AS vote_k, count_if(is_positive AND rk<=20) AS cosine_pos FROM nli GROUP BY ALL""")
+def nli_from_pairs(spark, sf):
+    """The same vote with the pair scores as a table, as a pair model would give them."""
+    pairs = G.candidate_pairs(searched(spark, sf, 40))
+    m, a = F.col("msg_id"), F.col("anchor_id")
+    scored = pairs.withColumn("net_fwd", _net(FORWARD)(m, a)).withColumn("net_bwd", _net(BACKWARD)(m, a))
+    voters_ = cut_lineage(G.voters_from_pairs(scored))  # used twice
+    return G.nli_vote(voters_).join(G.knn_vote(voters_).select(
+        "msg_id", "prop", F.col("pos_in_k").alias("cosine_pos")), ["msg_id", "prop"]).select(
+        "msg_id", "prop", "pos_in_k", "vote_k", "cosine_pos")
+
+
 @query("best_view", f"""WITH {SIM2_SQL}, b AS (SELECT msg_id, prop, max(s0) AS m0, max(s1) AS m1 FROM sims
  WHERE is_positive GROUP BY ALL) SELECT msg_id, prop, CASE WHEN greatest(m0,m1)<=0 OR m0>=m1 THEN 0 ELSE 1 END AS best_view FROM b""")
 def best_view(spark, sf):
