@@ -3,8 +3,6 @@
 import random
 import time
 
-from pyspark.sql import functions as F
-
 from turnwatch.operators import monitor as M
 from turnwatch.plans.layout import TraceLayout
 from turnwatch.session import new_folder

@@ -128,7 +128,7 @@ def labelled_pool(spark, sf):
 
 @query("mmr_quotas", """WITH s AS (SELECT label AS prop, CASE WHEN embedding[1]>0 THEN 'right' ELSE 'left' END AS category, count(*) AS n,
  min(vec_id) AS first FROM embeddings GROUP BY ALL), t AS (SELECT *, n <= 45//count(*) OVER w AS whole, sum(n) OVER w AS total FROM s WINDOW w AS (PARTITION BY prop)),
- u AS (SELECT *, 45-sum(CASE WHEN whole THEN n ELSE 0 END) OVER w AS rest, greatest(1,count_if(NOT whole) OVER w) AS k,
+ u AS (SELECT *, 45-sum(CASE WHEN whole THEN n ELSE 0 END) OVER w AS rest, greatest(1,count(nullif(NOT whole, false)) OVER w) AS k,
  row_number() OVER (PARTITION BY prop ORDER BY whole, n DESC, first) AS place FROM t WINDOW w AS (PARTITION BY prop))
  SELECT prop, category, n, CASE WHEN total<=45 OR whole THEN n ELSE rest//k + CASE WHEN place <= rest%k THEN 1 ELSE 0 END END::INT AS quota FROM u""")
 def mmr_quotas(spark, sf):

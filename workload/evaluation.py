@@ -8,7 +8,7 @@ from turnwatch.functions.vectors import letter_histogram
 from turnwatch.operators import evaluate as E
 from turnwatch.operators import grounding as G
 from turnwatch.plans.similarity import search
-from turnwatch.session import cut_lineage, spread
+from turnwatch.session import broadcast_if_small, cut_lineage, spread
 from workload.grounding import (
     KNN_SQL, LIB_SQL, MODES_SQL, SIM1_SQL, SOFT_SQL, searched, vector_library, vector_messages, voters)
 from workload.registry import query, table
@@ -34,15 +34,15 @@ T_SQL = f"""{MODES_SQL}, tm AS (SELECT modes.*, verdict IN ('MATCH','WARNING') A
  FROM modes JOIN q USING (msg_id))"""
 
 
-@query("verdict_counts", f"""WITH {MODES_SQL} SELECT mode, count_if(verdict='MATCH') AS match,
- count_if(verdict='WARNING') AS warning, count_if(verdict='NO MATCH') AS no_match, count_if(verdict='ERROR') AS error
+@query("verdict_counts", f"""WITH {MODES_SQL} SELECT mode, count(nullif(verdict='MATCH', false)) AS match,
+ count(nullif(verdict='WARNING', false)) AS warning, count(nullif(verdict='NO MATCH', false)) AS no_match, count(nullif(verdict='ERROR', false)) AS error
  FROM modes GROUP BY mode""")
 def verdict_counts(spark, sf):
     return E.verdict_counts(G.score_all_modes(voters(spark, sf)))
 
 
-@query("confusion_metrics", f"""WITH {T_SQL}, c AS (SELECT mode, count_if(hit AND want) AS tp, count_if(hit AND NOT want) AS fp,
- count_if(NOT hit AND NOT want) AS tn, count_if(NOT hit AND want) AS fn FROM tm GROUP BY mode),
+@query("confusion_metrics", f"""WITH {T_SQL}, c AS (SELECT mode, count(nullif(hit AND want, false)) AS tp, count(nullif(hit AND NOT want, false)) AS fp,
+ count(nullif(NOT hit AND NOT want, false)) AS tn, count(nullif(NOT hit AND want, false)) AS fn FROM tm GROUP BY mode),
  pr AS (SELECT *, CASE WHEN tp+fp>0 THEN tp/(tp+fp) ELSE 0.0 END AS p, CASE WHEN tp+fn>0 THEN tp/(tp+fn) ELSE 0.0 END AS r FROM c)
  SELECT mode, tp, fp, tn, fn, round(p,6) AS precision, round(r,6) AS recall,
  round(CASE WHEN p+r>0 THEN 2*p*r/(p+r) ELSE 0.0 END,6) AS f1, round((tp+tn)/(tp+fp+tn+fn),6) AS accuracy FROM pr""")
@@ -52,7 +52,7 @@ def confusion_metrics(spark, sf):
                       *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
-@query("mode_agreement", f"""WITH {MODES_SQL} SELECT count(*) AS total, count_if(n=1) AS agree FROM
+@query("mode_agreement", f"""WITH {MODES_SQL} SELECT count(*) AS total, count(nullif(n=1, false)) AS agree FROM
  (SELECT msg_id, prop, count(DISTINCT verdict) AS n FROM modes GROUP BY ALL)""")
 def mode_agreement(spark, sf):
     return E.mode_agreement(G.score_all_modes(voters(spark, sf)), ["msg_id", "prop"])
@@ -94,9 +94,9 @@ def score_distribution(spark, sf):
 
 
 @query("file_summary", f"""WITH {SIM1_SQL}, {KNN_SQL}, s AS (SELECT score, CASE WHEN label=prop THEN 'MATCH' ELSE 'NO MATCH' END AS lab
- FROM knn JOIN q USING (msg_id)) SELECT count(*) AS total, count_if(score>=0.55) AS matches,
- count_if(score>=0.45 AND score<0.55) AS warnings, count_if(score<0.45) AS clean, count(lab) AS labelled,
- count_if((score>=0.45)=(lab='MATCH')) AS correct FROM s""")
+ FROM knn JOIN q USING (msg_id)) SELECT count(*) AS total, count(nullif(score>=0.55, false)) AS matches,
+ count(nullif(score>=0.45 AND score<0.55, false)) AS warnings, count(nullif(score<0.45, false)) AS clean, count(lab) AS labelled,
+ count(nullif((score>=0.45)=(lab='MATCH'), false)) AS correct FROM s""")
 def file_summary(spark, sf):
     label = F.when(F.col("label") == 1, "MATCH").otherwise("NO MATCH")
     return E.file_summary(knn_scores(spark, sf).withColumn("label", label), 0.55, 0.45)
@@ -110,7 +110,7 @@ def soft_knn_eval(spark, sf):
 
 
 @query("dataset_profile", """SELECT source AS proposition_id, min(lang) AS role, min(source) AS proposition,
- count_if(n_chars>1000) AS positives, count_if(n_chars<=1000) AS negatives, min(lang)=max(lang) AS consistent
+ count(nullif(n_chars>1000, false)) AS positives, count(nullif(n_chars<=1000, false)) AS negatives, min(lang)=max(lang) AS consistent
  FROM documents GROUP BY source""")
 def dataset_profile(spark, sf):
     rows = table(spark, sf, "documents").select(
@@ -154,7 +154,7 @@ def similarity_stats(spark, sf):
 
 @query("pairwise_self_join", f"""WITH {V_SQL}, p AS (SELECT a.label, a.id, b.id AS nn, round({_cos('a.v','b.v')},9) AS s
  FROM v a JOIN v b ON a.label=b.label AND a.id<>b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, nn) AS rk FROM p)
- SELECT label, id, max(CASE WHEN rk=1 THEN nn END) AS nearest_id, max(s) AS nearest_sim, count_if(s>=0.2) AS n_close FROM r GROUP BY label, id""")
+ SELECT label, id, max(CASE WHEN rk=1 THEN nn END) AS nearest_id, max(s) AS nearest_sim, count(nullif(s>=0.2, false)) AS n_close FROM r GROUP BY label, id""")
 def pairwise_self_join(spark, sf):
     return E.neighbour_stats(vector_items(spark, sf), ["label"], 0.2)
 
@@ -172,7 +172,7 @@ def with_proposition(spark, sf):
     """Each class takes the embedding with its own number as its proposition."""
     props = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("label"),
                                                   F.col("embedding").alias("prop_vec"))
-    return vector_items(spark, sf).join(F.broadcast(props.filter(F.col("label").between(0, 9))), "label")
+    return vector_items(spark, sf).join(broadcast_if_small(props.filter(F.col("label").between(0, 9))), "label")
 
 
 PV_SQL = f"{V_SQL}, pv AS (SELECT v.id, v.label, v.v, p.v AS pvec FROM v JOIN v p ON p.id=v.label)"
@@ -213,7 +213,7 @@ def class_similarity_hist(spark, sf):
 @query("class_similarity_summary", f"""WITH {KIND_SQL}, e AS (SELECT avg(s)-stddev_pop(s) AS edge, stddev_pop(s) AS sd FROM pr WHERE kind='pp')
  SELECT round(avg(CASE WHEN kind='pp' THEN s END),6)+0.0 AS pp_mean, round(avg(CASE WHEN kind='pn' THEN s END),6)+0.0 AS pn_mean,
  round(avg(CASE WHEN kind='nn' THEN s END),6)+0.0 AS nn_mean, round(any_value(sd),6) AS pp_std,
- round(count_if(kind='pn' AND s>edge)/count_if(kind='pn'),6) AS overlap FROM pr, e""")
+ round(count(nullif(kind='pn' AND s>edge, false))/count(nullif(kind='pn', false)),6) AS overlap FROM pr, e""")
 def class_similarity_summary(spark, sf):
     out = E.class_similarity_histogram(class_items(spark, sf))[1]
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
@@ -271,8 +271,8 @@ def subtopic_shortfall(spark, sf):
  max(CASE WHEN NOT is_positive THEN round(list_cosine_similarity(q.v,lib.v),9) END) AS mn
  FROM q JOIN lib ON lib.anchor_id<>q.msg_id AND (label=prop OR (label+1)%10=prop) GROUP BY ALL),
  lv AS (SELECT prop, avg(mp) AS level FROM f WHERE NOT is_pos GROUP BY prop)
- SELECT prop, count_if(is_pos) AS hard_pos, count_if(is_pos AND mn>=mp-0.05::DOUBLE) AS boundary_pos, count_if(NOT is_pos) AS hard_neg,
- count_if(NOT is_pos AND mp>level) AS boundary_neg FROM f JOIN lv USING (prop) GROUP BY prop""")
+ SELECT prop, count(nullif(is_pos, false)) AS hard_pos, count(nullif(is_pos AND mn>=mp-0.05::DOUBLE, false)) AS boundary_pos, count(nullif(NOT is_pos, false)) AS hard_neg,
+ count(nullif(NOT is_pos AND mp>level, false)) AS boundary_neg FROM f JOIN lv USING (prop) GROUP BY prop""")
 def boundary_quality(spark, sf):
     own = vector_messages(spark, sf, 1).join(
         table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "label"), "msg_id")

@@ -9,6 +9,7 @@ from turnwatch.functions.prompts import (
     judge_fields, judge_prompt as prompt_column)
 from turnwatch.functions.vectors import cosine as cosine_column
 from turnwatch.operators import grounding as G
+from turnwatch.operators.monitor import role_filter
 from turnwatch.plans.similarity import search
 from turnwatch.session import cut_lineage
 from workload.registry import documents, query, table
@@ -85,8 +86,8 @@ SIM1_SQL = f"""{LIB_SQL}, sims AS (SELECT msg_id, prop, is_positive, anchor_id,
  round(list_cosine_similarity(q.v, lib.v),9) AS sim FROM q JOIN lib ON lib.anchor_id <> q.msg_id),
  pool AS (SELECT *, row_number() OVER (PARTITION BY msg_id, prop
  ORDER BY sim DESC, is_positive DESC, anchor_id) AS rk FROM sims)"""
-KNN_SQL = """knn AS (SELECT msg_id, prop, count_if(is_positive AND rk<=20)/count_if(rk<=20) AS score,
- count_if(is_positive AND rk<=20) AS pos_in_k, count_if(rk<=20) AS k,
+KNN_SQL = """knn AS (SELECT msg_id, prop, count(nullif(is_positive AND rk<=20, false))/count(nullif(rk<=20, false)) AS score,
+ count(nullif(is_positive AND rk<=20, false)) AS pos_in_k, count(nullif(rk<=20, false)) AS k,
  max(CASE WHEN is_positive THEN sim END) AS max_pos, max(CASE WHEN NOT is_positive THEN sim END) AS max_neg
  FROM pool GROUP BY ALL)"""
 
@@ -106,8 +107,8 @@ NLI_SQL = f"""{POOL_SQL}, lg AS (SELECT *, {_logit_sql(FORWARD)} AS f, {_logit_s
  nli AS (SELECT *, row_number() OVER (PARTITION BY msg_id, prop ORDER BY net DESC, rk) AS nrk FROM nt)"""
 HYB_SQL = f"""{NLI_SQL}, vt AS (SELECT msg_id, prop, voter_key, is_positive, bool_or(rk<=20) AS in_cosine,
  bool_or(nrk<=20) AS in_nli FROM nli WHERE rk<=20 OR nrk<=20 GROUP BY ALL),
- pts AS (SELECT msg_id, prop, count_if(is_positive AND in_cosine) AS cos_pos, count_if(is_positive AND in_nli) AS nli_pos,
- count_if(is_positive AND in_cosine AND in_nli) AS dup_pos, count_if(NOT is_positive AND in_cosine AND in_nli) AS dup_neg
+ pts AS (SELECT msg_id, prop, count(nullif(is_positive AND in_cosine, false)) AS cos_pos, count(nullif(is_positive AND in_nli, false)) AS nli_pos,
+ count(nullif(is_positive AND in_cosine AND in_nli, false)) AS dup_pos, count(nullif(NOT is_positive AND in_cosine AND in_nli, false)) AS dup_neg
  FROM vt GROUP BY ALL)"""
 
 
@@ -167,8 +168,8 @@ def softmax_net(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(G.softmax_net(logits), 6).alias("net"))
 
 
-@query("nli_rerank_vote", f"""WITH {NLI_SQL}, n AS (SELECT msg_id, prop, count_if(is_positive) AS pos_in_k,
- count_if(NOT is_positive) AS neg_in_k FROM nli WHERE nrk<=20 GROUP BY ALL), z AS (SELECT *,
+@query("nli_rerank_vote", f"""WITH {NLI_SQL}, n AS (SELECT msg_id, prop, count(nullif(is_positive, false)) AS pos_in_k,
+ count(nullif(NOT is_positive, false)) AS neg_in_k FROM nli WHERE nrk<=20 GROUP BY ALL), z AS (SELECT *,
  pos_in_k/(pos_in_k+neg_in_k) AS score, abs(pos_in_k-neg_in_k)/(pos_in_k+neg_in_k) AS vote_margin FROM n)
  SELECT msg_id, prop, pos_in_k, neg_in_k, round(score,6) AS score, vote_margin < 0.15 AS abstain,
  CASE WHEN vote_margin < 0.15 THEN 'abstain' WHEN score>0.55 THEN 'match' WHEN score>0.45 THEN 'warning'
@@ -178,8 +179,8 @@ def nli_rerank_vote(spark, sf):
         "msg_id", "prop", "pos_in_k", "neg_in_k", F.round("score", 6).alias("score"), "abstain", "action")
 
 
-@query("nli_from_pairs", f"""WITH {NLI_SQL} SELECT msg_id, prop, count_if(is_positive AND nrk<=20) AS pos_in_k,
- count_if(nrk<=20) AS vote_k, count_if(is_positive AND rk<=20) AS cosine_pos FROM nli GROUP BY ALL""")
+@query("nli_from_pairs", f"""WITH {NLI_SQL} SELECT msg_id, prop, count(nullif(is_positive AND nrk<=20, false)) AS pos_in_k,
+ count(nullif(nrk<=20, false)) AS vote_k, count(nullif(is_positive AND rk<=20, false)) AS cosine_pos FROM nli GROUP BY ALL""")
 def nli_from_pairs(spark, sf):
     """The same vote with the pair scores as a table, as a pair model would give them."""
     pairs = G.candidate_pairs(searched(spark, sf, 40))
@@ -216,7 +217,7 @@ def hybrid_vote(spark, sf):
 
 VERDICT_SQL = "CASE WHEN score>0.55 THEN 'MATCH' WHEN score>0.45 THEN 'WARNING' ELSE 'NO MATCH' END"
 MODES_SQL = f"""{HYB_SQL}, {KNN_SQL}, md AS (SELECT msg_id, prop, 'cosine' AS mode, score FROM knn UNION ALL
- SELECT msg_id, prop, 'nli', count_if(is_positive)/count(*) FROM nli WHERE nrk<=20 GROUP BY ALL UNION ALL
+ SELECT msg_id, prop, 'nli', count(nullif(is_positive, false))/count(*) FROM nli WHERE nrk<=20 GROUP BY ALL UNION ALL
  SELECT msg_id, prop, 'hybrid', greatest(0.0, (cos_pos+nli_pos+dup_pos-dup_neg)/40) FROM pts),
  modes AS (SELECT *, {VERDICT_SQL} AS verdict FROM md)"""
 
@@ -284,7 +285,7 @@ PROMPT_SQL = f"""SELECT conv_id, turn, prop_id, text, CASE WHEN role='assistant'
 
 def prompts(spark, sf):
     df, _ = conversations(spark, sf)
-    pairs = df.join(F.broadcast(region_propositions(spark, sf)), "role")
+    pairs = role_filter(df, region_propositions(spark, sf))
     none = few_shot_block(F.array().cast("array<string>"), F.array().cast("array<string>"), F.col("role"))
     return pairs.select("conv_id", "turn", "prop_id", "text", prompt_column(
         F.col("role"), F.col("role"), F.col("prop_id"), F.col("text"), none).alias("prompt"))

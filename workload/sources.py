@@ -28,7 +28,7 @@ def labelled_content(spark, sf):
  FROM t WHERE part<>''), x AS (SELECT doc_id, pos, 0 AS sub, CASE WHEN head IN ('MATCH','WARNING','NO MATCH','CLEAN') THEN head ELSE part END AS piece FROM h
  UNION ALL SELECT doc_id, pos, 1, rest FROM h WHERE head IN ('MATCH','WARNING','NO MATCH','CLEAN') AND rest<>''),
  l AS (SELECT *, CASE WHEN upper(piece) IN ('MATCH','WARNING') THEN 'MATCH' WHEN upper(piece) IN ('NO MATCH','CLEAN') THEN 'NO MATCH' END AS label FROM x),
- n AS (SELECT *, count_if(label IS NULL) OVER (PARTITION BY doc_id ORDER BY pos, sub ROWS UNBOUNDED PRECEDING) AS n FROM l)
+ n AS (SELECT *, count(nullif(label IS NULL, false)) OVER (PARTITION BY doc_id ORDER BY pos, sub ROWS UNBOUNDED PRECEDING) AS n FROM l)
  SELECT doc_id, n-1 AS msg_idx, md5(max(CASE WHEN label IS NULL THEN piece END)) AS text,
  arg_min(label, pos*2+sub) FILTER (WHERE label IS NOT NULL) AS label FROM n WHERE n>0 GROUP BY doc_id, n""")
 def labeled_text_scan(spark, sf):
@@ -37,7 +37,7 @@ def labeled_text_scan(spark, sf):
         F.col("file").alias("doc_id"), "msg_idx", F.md5("text").alias("text"), "label")
 
 
-@query("labeled_text_files", r"""SELECT count(*) AS messages, count_if(length(t)>200) AS long_messages FROM
+@query("labeled_text_files", r"""SELECT count(*) AS messages, count(nullif(length(t)>200, false)) AS long_messages FROM
  (SELECT regexp_replace(unnest(string_split(text,'###')),'^\s+|\s+$','','g') AS t FROM documents) WHERE t<>''""")
 def labeled_text_files(spark, sf):
     """Write documents as separated text files and read them back split by separator."""

@@ -415,9 +415,9 @@ REPLAY_SQL = f"""WITH {V_SQL}, o AS (SELECT conv_id, bool_or(NOT ok_a) AS act, c
  min_by(length(text), turn) > 150 AS want FROM vv GROUP BY conv_id)"""
 
 
-@query("policy_replay_eval", f"""{REPLAY_SQL} SELECT count(*) AS total, count_if(act=want) AS success_count,
- round(count_if(act=want)/count(*),6) AS success_rate, count_if(want) AS expected_violate,
- count_if(NOT want) AS expected_satisfy, count_if(act) AS actual_violate FROM o""")
+@query("policy_replay_eval", f"""{REPLAY_SQL} SELECT count(*) AS total, count(nullif(act=want, false)) AS success_count,
+ round(count(nullif(act=want, false))/count(*),6) AS success_rate, count(nullif(want, false)) AS expected_violate,
+ count(nullif(NOT want, false)) AS expected_satisfy, count(nullif(act, false)) AS actual_violate FROM o""")
 def policy_replay_eval(spark, sf):
     return M.replay_summary(replay(spark, sf))
 
