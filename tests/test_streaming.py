@@ -55,10 +55,3 @@ def test_versions_do_not_share_state(spark):
             ("v2", 1, 0, "assistant", False, True)]
     got = {(r.version, r.turn): "x" in r.failed for r in run(spark, [rows])}
     assert got == {("v1", 0): False, ("v1", 1): True, ("v2", 0): False}
-
-
-def test_a_missing_turn_is_given_up_after_the_wait(spark):
-    first = [("v1", 1, t, "user", False, False) for t in (0, 1, 3, 4)]
-    later = [[("v1", 2, t, "user", False, False)] for t in range(3)]
-    got = run(spark, [first, *later], wait_ms=1)
-    assert sorted(r.turn for r in got if r.conv_id == 1) == [0, 1, 3, 4]

@@ -80,7 +80,8 @@ def stream_monitor(labelled: DataFrame, policies: list[Policy], wait_ms: int | N
     """Verdicts of a stream with ``(version, conv_id, turn, role, <proposition columns>)``.
 
     Turns of a conversation are taken in order: early ones wait, seen ones are dropped.
-    ``wait_ms`` gives up on a missing turn after that time. ``version`` is part of the
+    ``wait_ms`` gives up on a missing turn after that time; it is for queries that keep
+    running, as a drained run (available now) would wait for its timers for ever. ``version`` is part of the
     key, so a new policy set starts with fresh state; an optional ``first_turn`` column
     tells where a conversation enters that version (default 0)."""
     check_policies(policies)
