@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwatch.llm import bpe, language_id, line_dedup
+from turnwatch.llm import bpe, language_id, line_dedup, substring_dedup, topk_search, vptree
 from turnwatch.llm.rows import table
 from turnwatch.session import ship
 
@@ -48,6 +48,27 @@ def op3(spark, folder):
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op4_topk_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2]))::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op4(spark, folder):
+    """The five vectors of highest quantised inner product for every fiftieth vector."""
+    rows = topk_search.quantised(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    found = topk_search.topk_search(rows.filter(F.col("id") % 50 == 0), rows, 5)
+    return found.withColumnRenamed("item_id", "vec_id")
+
+
+@query("op5_nearest")
+def op5(spark, folder):
+    """The ten nearest vectors found for every hundredth vector."""
+    rows = vptree.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return vptree.nearest(rows.filter(F.col("id") % 100 == 0), rows, 10).withColumnRenamed("item_id", "vec_id")
+
+
 @query("op6_language_id")
 def op6(spark, folder):
     """Language of every document, by a model that never sees the held-out fifth."""
@@ -61,3 +82,10 @@ def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
                             digests=True)
+
+
+@query("op10_substring_dedup")
+def op10(spark, folder):
+    """Every document without the words of windows of twenty words that also start earlier."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
