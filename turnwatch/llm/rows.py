@@ -5,12 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.pandas.types import to_arrow_schema
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(),
+          "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    """The Arrow schema of a list of plain columns; workers have no session that could parse it."""
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(","))])
 
 
 def arrow_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -88,19 +88,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def level(table: pa.Table) -> Level:
         return Level(part_rows(table)[2], size)
 
-    keys = found = None
+    def first_level(length: int):
+        def count(key, table):
+            return key_rows(key[0].as_py(), level(table).keys(length), parts)
+        return source.groupBy("part").applyInArrow(count, KEYS_DDL)
+
+    def next_level(length: int, shorter: int, found: DataFrame):
+        def extend(key, table, repeated):
+            state = level(table)
+            state.keep(shorter, known(repeated))
+            return key_rows(key[0].as_py(), state.keys(length), parts)
+        return source.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, KEYS_DDL)
+
+    found = None
     for step, length in enumerate(steps):
-        if step == 0:
-            def count(key, table, length=length):
-                return key_rows(key[0].as_py(), level(table).keys(length), parts)
-            keys = source.groupBy("part").applyInArrow(count, KEYS_DDL)
-        else:
-            def extend(key, table, repeated, length=length, shorter=steps[step - 1]):
-                state = level(table)
-                state.keep(shorter, known(repeated))
-                return key_rows(key[0].as_py(), state.keys(length), parts)
-            keys = source.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(
-                extend, KEYS_DDL)
+        keys = next_level(length, steps[step - 1], found) if step else first_level(length)
         found = repeated_keys(keys)
 
     schema = arrow_schema(WINDOWS_DDL)

@@ -30,7 +30,7 @@ def _pack(rows: DataFrame, blocks: int, key: str) -> DataFrame:
     ddl = f"{key} int, {key}_ids binary, {key}_terms binary, {key}_rows binary, {key}_weights binary"
     schema = arrow_schema(ddl)
 
-    def pack(group, table: pa.Table) -> pa.Table:
+    def pack(group, table):
         terms = table["terms"].combine_chunks()
         n = np.asarray(terms.value_lengths())
         t = np.asarray(terms.flatten(), np.int32)
