@@ -59,6 +59,11 @@ def span_hash(sums: np.ndarray, starts, ends, seed: int) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(seed, len(sums), True)[starts])
 
 
+def byte_running(data: np.ndarray, seed: int) -> np.ndarray:
+    """Running sums over bytes, for ``span_hash``."""
+    return running(_base(seed)[0][data], seed)
+
+
 class Words:
     """The words of a batch of texts: ``start`` and ``end`` bytes in ``buf``, ``doc`` index, and
     ``first[d]:first[d + 1]``, the range of words of document ``d``. A null text has no words."""
@@ -79,7 +84,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(raw)), self.count)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hash(running(_base(seed)[0][self.buf], seed), self.start, self.end, seed)
+        return span_hash(byte_running(self.buf, seed), self.start, self.end, seed)
 
     def windows(self, size: int) -> np.ndarray:
         """Words at which a window of ``size`` words of one document starts."""

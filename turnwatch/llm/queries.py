@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwatch.llm import bpe, language_id, line_dedup, substring_dedup, topk_search, vptree
+from turnwatch.llm import bpe, jaccard_join, language_id, line_dedup, substring_dedup, suffix_dedup, topk_search, vptree
 from turnwatch.llm.rows import table
 from turnwatch.session import ship
 
@@ -28,6 +28,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1(spark, folder):
+    """Every document without the bytes of 200-byte strings that start twice or more in the corpus."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.suffix_dedup(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_jaccard_join")
+def op2(spark, folder):
+    """Shingle count and component of every document."""
+    return jaccard_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op3_line_dedup", r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS w

@@ -24,8 +24,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def parts_of(spark: SparkSession) -> int:
-    """How many key ranges to deal work to: twice the session's shuffle partitions."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """How many key ranges to deal work to: twice the session's shuffle partitions, and some more
+    where those are few, so that the arrays of a range stay small."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 64
 
 
 def part_of(column: str, parts: int) -> Column:
