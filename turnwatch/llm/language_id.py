@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.rows import arrow_batch, arrow_schema
+from turnwatch.llm.rows import arrow_batch, arrow_schema, fresh
 
 #: The model is fitted on about this many labelled rows, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -166,19 +168,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(out)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``, one row per row of ``docs``, whatever repeats in it.
-    Only the text decides. A null text and one without letters are ``und`` with score 0."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    ddl = f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    schema = arrow_schema(ddl)
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``. Only the text decides; a null text and one without
+    letters are ``und`` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = fresh(docs, "found")
 
-    def run(batches):
+    @F.pandas_udf("lang string, score double")
+    def find(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(2)]
-            yield arrow_batch({"doc_id": batch.column(0), "held_out": batch.column(1),
-                               "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}, schema)
+        for texts in series:
+            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.select(F.col(id_col), held_out(id_col), F.col(text_col)).mapInArrow(run, ddl)
+    found = docs.withColumn(out, find(F.col(text_col)))
+    return found.select(*docs.columns, F.col(out)["lang"].alias("lang_pred"), F.col(out)["score"].alias("score"))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, lang_pred, score)``, one row per row of ``docs``, whatever repeats in it."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return identified(rows, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwatch.llm import bpe, jaccard_join, language_id, line_dedup, substring_dedup, suffix_dedup, topk_search, vptree
+from turnwatch.llm import (
+    bpe, jaccard_join, language_id, line_dedup, mixing, substring_dedup, suffix_dedup, token_order, topk_search, vptree)
 from turnwatch.llm.rows import table
-from turnwatch.session import ship
+from turnwatch.session import new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +99,61 @@ def op7(spark, folder):
                             digests=True)
 
 
+# Shares of sources and languages are flattened by these exponents, topics are made equal.
+MIX_TARGETS = {"source": 0.7, "lang": 0.5, "topic": 0.0}
+MIX_KEEP = 0.5
+
+
+def mix_dims() -> dict:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.form("text")}
+
+
+def _mix_sql() -> str:
+    """The same fit as a chain of tables, a step per round and dimension; the scale that keeps the
+    wanted share of tokens is found over the cells in order of their rate."""
+    ctes = [r"""d AS (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang,
+               CASE WHEN contains(text, '|') THEN 'table' WHEN length(text) >= 2000 THEN 'long' ELSE 'prose' END AS topic,
+               coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents)""",
+            """c0 AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight
+               FROM d GROUP BY ALL HAVING sum(tokens) > 0)"""]
+    for dim, power in MIX_TARGETS.items():
+        ctes.append(f"""goal_{dim} AS (SELECT {dim}, r / sum(r) OVER () * sum(t) OVER () AS goal FROM
+                    (SELECT {dim}, sum(tokens) AS t, pow(sum(tokens), {power}) AS r FROM c0 GROUP BY 1))""")
+    at = 0
+    for _ in range(mixing.ROUNDS):
+        for dim in MIX_TARGETS:
+            ctes.append(f"""c{at + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * (goal / have) AS weight FROM c{at}
+                        JOIN (SELECT {dim}, sum(weight) AS have FROM c{at} GROUP BY 1) USING ({dim}) JOIN goal_{dim} USING ({dim}))""")
+            at += 1
+    return "WITH " + ",\n".join(ctes) + f""",
+ranked AS (SELECT *, weight / tokens AS rate, row_number() OVER o AS r,
+                  coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+                  sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+           FROM c{at} WINDOW o AS (ORDER BY weight / tokens DESC, source, lang, topic)),
+scale AS (SELECT ({MIX_KEEP} * (SELECT sum(tokens) FROM c0) - fixed) / free AS s FROM ranked
+          WHERE ({MIX_KEEP} * (SELECT sum(tokens) FROM c0) - fixed) / free * rate < 1 ORDER BY r LIMIT 1),
+p AS (SELECT source, lang, topic, least(1.0, rate * (SELECT s FROM scale)) AS probability FROM ranked),
+m AS (SELECT doc_id, tokens, CASE WHEN tokens = 0 THEN 1.0 ELSE coalesce(probability, 1.0) END AS probability
+      FROM d LEFT JOIN p USING (source, lang, topic))
+SELECT doc_id, tokens, round(probability, 6) AS probability,
+       ('0x' || substr(md5(doc_id || '|0'), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled FROM m"""
+
+
+@query("op8_mixing", _mix_sql())
+def op8(spark, folder):
+    """Every document's chance under the raked weights, and whether it is drawn."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mix_dims(), MIX_TARGETS, mixing.word_count("text"), MIX_KEEP)
+    return mixed.select("doc_id", "tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
+@query("op9_token_order")
+def op9(spark, folder):
+    """Every document's byte tokens written in training order, and where each sequence stands."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_order.materialise(docs, token_order.byte_tokens("text"), new_folder(spark, "shards"), key=20240229)
+
+
 @query("op10_substring_dedup")
 def op10(spark, folder):
     """Every document without the words of windows of twenty words that also start earlier."""
