@@ -156,61 +156,67 @@ def entries(docs: DataFrame, id_col: str, text_col: str, representatives: DataFr
     return source.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(emit, ddl)
 
 
-def _survivors(doc, n, pos, ranges, comp, left, right, percent: int):
-    """Pairs ``(i, j, excess)`` of two entries of one shingle that pass the length, positional and
-    suffix filters and belong to different components; ``excess`` is a bound on what only one set has."""
-    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    small, big = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    ok = (comp[i] != comp[j]) & (100 * small >= percent * big)
+def _survivors(e: dict, i: np.ndarray, j: np.ndarray, percent: int):
+    """Pairs ``(i, j, excess)`` of entries of one shingle that pass the length, positional and suffix
+    filters and belong to different components; ``excess`` is a bound on what only one set has."""
+    n, pos, ranges = e["n"], e["pos"], e["ranges"]
+    ok = e["comp"][i] != e["comp"][j]
+    # Two blocks of one shingle are compared with each other here, each with itself elsewhere.
+    ok &= (e["low"][i] == e["high"][i]) | (e["mine"][i] != e["mine"][j])
+    ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
     i, j = i[ok], j[ok]
-    most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
     ok = most >= needed(n[i], n[j], percent)
     i, j = i[ok], j[ok]
-    excess = np.zeros(len(i), np.int64)
-    for s in range(0, len(i), 200_000):
-        part = slice(s, s + 200_000)
-        excess[part] = np.abs(ranges[i[part]] - ranges[j[part]]).sum(axis=1)
+    excess = np.abs(ranges[i] - ranges[j]).sum(axis=1, dtype=np.int64)
     ok = (n[i] + n[j] - excess) // 2 >= needed(n[i], n[j], percent)
     return i[ok], j[ok], excess[ok]
 
 
-def proposals(rows: DataFrame, nearest: bool, percent: int, block: int = BLOCK) -> DataFrame:
+def proposals(rows: DataFrame, nearest: bool, percent: int, parts: int, block: int = BLOCK) -> DataFrame:
     """Distinct ``(a, b)``, a < b, from rows of ``(token, doc, n, pos, ranges, comp)``: all pairs that
-    share a shingle, pass the filters and lie in different components, or of each entry only the ``nearest`` by
-    the suffix filter's bound. A shingle with many entries is cut into blocks and each pair of blocks is a group of its own."""
-    counts = rows.groupBy("token").agg(F.count("*").alias("m"), F.countDistinct("comp").alias("c")).filter("c > 1")
+    share a shingle, pass the filters and lie in different components, or only the ``nearest`` of each document by
+    the suffix filter's bound. A task takes many shingles; one with many entries is cut into blocks, and each pair of its
+    blocks is a shingle of its own."""
+    counts = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d")
     cut = rows.join(counts.select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "token")
-    mine = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
-    cut = (cut.withColumn("mine", mine)
+    cut = (cut.withColumn("mine", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")))
+           .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+           .withColumn("bucket", F.pmod(F.xxhash64("token", "low", "high"), F.lit(parts))))
     schema = arrow_schema("a long, b long")
 
-    def compare(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        doc, comp, n, pos, mine = (np.asarray(table[c], np.int64) for c in ("doc", "comp", "n", "pos", "mine"))
-        ranges = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
-        rows_, cols = np.flatnonzero(mine == low), np.flatnonzero(mine == high)
-        found_i, found_j, found_x = [], [], []
-        for s in range(0, len(rows_), 256):
-            i, j, x = _survivors(doc, n, pos, ranges, comp, rows_[s:s + 256], cols, percent)
-            if low == high:
-                keep = i < j
-                i, j, x = i[keep], j[keep], x[keep]
-            found_i.append(i)
-            found_j.append(j)
-            found_x.append(x)
-        i, j, x = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_i, found_j, found_x))
-        if nearest and len(i):
-            me, you, gap = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([x, x])
-            gap = gap / (n[me] + n[you])
-            order = np.lexsort((doc[you], gap, me))
+    def compare(table: pa.Table) -> pa.Table:
+        e = {c: np.asarray(table[c], np.int64) for c in ("token", "low", "high", "mine", "doc", "comp", "n", "pos")}
+        e["ranges"] = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        order = np.lexsort((e["doc"], e["high"], e["low"], e["token"]))
+        e = {c: v[order] for c, v in e.items()}
+        new = np.ones(len(order), bool)
+        for c in ("token", "low", "high"):
+            new[1:] &= e[c][1:] == e[c][:-1]
+        new[1:] = ~new[1:]
+        run = np.cumsum(new)
+        found = [(np.zeros(0, np.int64),) * 3]
+        i, step = np.arange(len(run)), 1
+        while True:  # every entry with the one ``step`` places on, while that is of the same shingle
+            i = i[i + step < len(run)]
+            i = i[run[i + step] == run[i]]
+            if not len(i):
+                break
+            for s in range(0, len(i), 100_000):
+                found.append(_survivors(e, i[s:s + 100_000], i[s:s + 100_000] + step, percent))
+            step += 1
+        i, j, x = (np.concatenate(f) for f in zip(*found))
+        a, b = e["doc"][i], e["doc"][j]
+        if nearest and len(a):
+            me, you, gap = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([x, x]) / np.tile(e["n"][i] + e["n"][j], 2)
+            order = np.lexsort((you, gap, me))
             head = np.append(True, me[order][1:] != me[order][:-1])
-            i, j = me[order][head], you[order][head]
-        a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-        return pa.table({"a": a, "b": b}, schema=schema)
+            a, b = me[order][head], you[order][head]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=schema)
 
-    return cut.groupBy("token", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return cut.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,7 +248,7 @@ class Join:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  percent: int = PERCENT, parts: int | None = None, block: int = BLOCK):
         parts = parts or parts_of(docs.sparkSession)
-        self.percent, self.block = percent, block
+        self.percent, self.block, self.parts = percent, block, parts
         rows = cut_lineage(summaries(docs, id_col, text_col, words))
         self.sizes = rows.filter("slice IS NULL").select("doc", "n", "h1", "h2")
         full = self.sizes.filter("n > 0 AND doc IS NOT NULL")
@@ -250,7 +256,7 @@ class Join:
         chosen = self.classes.select(F.col("representative").alias("doc")).distinct()
         every = cut_lineage(entries(docs, id_col, text_col, chosen, frequency_table(rows), words, percent, parts))
         alone = every.withColumn("comp", F.col("doc"))
-        self.first = cut_lineage(proposals(alone, True, percent, block))
+        self.first = cut_lineage(proposals(alone, True, percent, parts, block))
         # Who passes the filters with no one needs no further look.
         partners = self.first.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         self.entries = cut_lineage(every.join(partners, "doc", "left_semi"))
@@ -273,7 +279,7 @@ class Join:
     def links(self) -> DataFrame:
         """All linked pairs ``(a, b)`` of representatives."""
         alone = self.entries.withColumn("comp", F.col("doc"))
-        return verified(proposals(alone, False, self.percent, self.block), self.sets, self.percent)
+        return verified(proposals(alone, False, self.percent, self.parts, self.block), self.sets, self.percent)
 
     def components(self, rounds: int = ROUNDS) -> DataFrame:
         """``(doc, component)`` of linked representatives. A few rounds verify each document's likeliest
@@ -284,7 +290,7 @@ class Join:
         labels = components(links.toDF("u", "v"))
         for step in range(1, rounds + 1):
             marked = self.entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-            pairs = proposals(marked.drop("component"), step < rounds, self.percent, self.block)
+            pairs = proposals(marked.drop("component"), step < rounds, self.percent, self.parts, self.block)
             pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
             tried = tried.union(pairs)
             more = verified(pairs, self.sets, self.percent)
