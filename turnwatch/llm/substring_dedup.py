@@ -6,13 +6,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from turnwatch.llm.hashing import Words, window_hash
+from turnwatch.llm.hashing import Words, batches, window_hash
 from turnwatch.llm.repeats import (
     KEYS_DDL, anchors, key_rows, known, member, part_rows, parted, repeated_keys, slices)
 from turnwatch.llm.rows import arrow_schema, parts_of
 
 SIZE = 20
 SEED = 10
+#: Bytes of texts hashed together.
+BATCH_BYTES = 1_000_000
 WINDOWS_DDL = "bucket int, part int, own boolean, h1 binary, h2 binary, doc binary, at binary, row binary"
 GONE_DDL = "part int, row binary, at binary"
 
@@ -28,7 +30,7 @@ def lengths(seed: int, size: int) -> list[int]:
 
 
 class Level:
-    """The words of a part and, at each length, the shorter window that stands for a full one.
+    """The words of some texts and, at each length, the shorter window that stands for a full one.
 
     Two equal windows hold the same shorter windows at the same places, so the one with the least
     hash stands for the full window: if that one occurs once in the corpus, so does the full window."""
@@ -85,19 +87,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = lengths(seed, size)
     steps = levels[:-1]
 
-    def level(table: pa.Table) -> Level:
-        return Level(part_rows(table)[2], size)
+    def levels_of(texts: list[bytes], shorter: int | None, repeated):
+        """Each batch of a part, its first text's place and the windows that the shorter length leaves."""
+        for a, b in batches(texts, BATCH_BYTES):
+            state = Level(texts[a:b], size)
+            if shorter is not None:
+                state.keep(shorter, repeated)
+            yield a, state
+
+    def keys_of(key, table, length: int, shorter: int | None, repeated):
+        found = [state.keys(length) for _, state in levels_of(part_rows(table)[2], shorter, repeated)]
+        return key_rows(key[0].as_py(), np.concatenate([np.zeros(0, np.uint64), *found]), parts)
 
     def first_level(length: int):
         def count(key, table):
-            return key_rows(key[0].as_py(), level(table).keys(length), parts)
+            return keys_of(key, table, length, None, None)
         return source.groupBy("part").applyInArrow(count, KEYS_DDL)
 
     def next_level(length: int, shorter: int, found: DataFrame):
         def extend(key, table, repeated):
-            state = level(table)
-            state.keep(shorter, known(repeated))
-            return key_rows(key[0].as_py(), state.keys(length), parts)
+            return keys_of(key, table, length, shorter, known(repeated))
         return source.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(extend, KEYS_DDL)
 
     found = None
@@ -114,12 +123,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return schema.empty_table()
         part = key[0].as_py()
         _, ids, texts = part_rows(table)
-        state = Level(texts, size)
-        if steps:
-            state.keep(steps[-1], known(repeated))
-        h1, h2 = state.full()
-        row = state.words.doc[state.starts].astype(np.int32)
-        at = (state.starts - state.words.first[row]).astype(np.int32)
+        found = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2]
+        for a, state in levels_of(texts, steps[-1] if steps else None, known(repeated) if steps else None):
+            doc = state.words.doc[state.starts]
+            found.append((*state.full(), (a + doc).astype(np.int32), (state.starts - state.words.first[doc]).astype(np.int32)))
+        h1, h2, row, at = (np.concatenate(c) for c in zip(*found))
         order, later = _first_of(h1, h2, ids[row], at)
         h1, h2, row, at = h1[order], h2[order], row[order], at[order]
         out = {name: [] for name in schema.names}

@@ -15,7 +15,7 @@ from turnwatch.llm.rows import arrow_schema, parts_of
 
 SIZE, GRAM, STEP = 200, 128, 25
 #: Bytes of a shard, of the texts merged together, and of texts hashed together.
-SHARD_BYTES, MERGE_BYTES, BATCH_BYTES = 250_000, 1_000_000, 1_000_000
+SHARD_BYTES, MERGE_BYTES, BATCH_BYTES = 125_000, 500_000, 400_000
 CONTEXTS_DDL = "bucket int, part int, ids binary, keys binary, many binary, lengths binary, data binary"
 FLAGS_DDL = "part int, ids binary, flags binary"
 
