@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwatch.llm.components import components
 from turnwatch.llm.hashing import Words, batches, mix, window_hash
 from turnwatch.llm.repeats import KEYS_DDL, key_rows, known, member, part_rows, parted, repeated_keys
-from turnwatch.llm.rows import arrow_batch, arrow_schema, part_of, parts_of
-from turnwatch.session import cut_lineage
+from turnwatch.llm.rows import arrow_batch, arrow_schema, part_of, parts_of, written
+from turnwatch.session import broadcast_if_small, cut_lineage
 
 WORDS, PERCENT = 4, 85
 #: Cells of the frequency table that orders shingles from rare to frequent, whatever the corpus.
@@ -56,13 +56,30 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def spread_of(shingles: np.ndarray) -> bytes:
-    """How many shingles lie in each of a few ranges of hashes, 255 at most. The differences of two
+def spread_of(shingles: np.ndarray, ranges: int = RANGES) -> bytes:
+    """How many shingles lie in each of 2^k ranges of hashes, 255 at most. The differences of two
     such rows sum up to no more than the shingles that only one of the two sets has."""
-    counts = np.bincount((shingles >> np.uint64(59)).astype(np.int64), minlength=RANGES)
+    counts = np.bincount((shingles >> np.uint64(65 - ranges.bit_length())).astype(np.int64), minlength=ranges)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def fine_ranges(n: int) -> int:
+    """Ranges for a closer look at a set of n shingles: about thirty shingles in each."""
+    return min(1 << 16, max(RANGES, 1 << (n // 30).bit_length()))
+
+
+def finely_apart(x: bytes, y: bytes) -> int:
+    """The bound of the suffix filter from two rows of fine ranges."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a.reshape(len(b), -1).sum(axis=1)
+        # What was cut off at 255 may be missing in either.
+        a, b = np.minimum(a, 255), np.minimum(b, 255)
+    return int(np.abs(a - b).sum())
+
+
 def summaries(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Two kinds of rows from one scan: each document's set size and 128-bit digest of its set, and
     each task's share of the frequency table (``slice``, ``counts``)."""
@@ -112,7 +129,8 @@ def frequency_table(rows: DataFrame) -> np.ndarray:
 def entries(docs: DataFrame, id_col: str, text_col: str, representatives: DataFrame, table: np.ndarray, size: int,
             percent: int, parts: int) -> DataFrame:
     """``(token, doc, n, pos, ranges)`` of the representatives: each prefix shingle that another
-    prefix has too, with its place in the set's rare-first order."""
+    prefix has too, with its place in the set's rare-first order; and, without a token, a row with the fine ranges of
+    each set that has such a shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     source = parted(docs, id_col, text_col, parts)
     chosen = representatives.select(part_of("doc", parts).alias("part"), "doc")
@@ -146,11 +164,14 @@ def entries(docs: DataFrame, id_col: str, text_col: str, representatives: DataFr
                     continue
                 prefix = s[rare_first(s, shared.value)[:prefix_length(len(s), percent)]]
                 pos = np.flatnonzero(member(prefix, repeated))
-                out["token"] += prefix[pos].view(np.int64).tolist()
-                out["pos"] += pos.tolist()
-                out["doc"] += [doc] * len(pos)
-                out["n"] += [len(s)] * len(pos)
-                out["ranges"] += [spread_of(s)] * len(pos)
+                if not len(pos):
+                    continue
+                rows_ = len(pos) + 1
+                out["token"] += [*prefix[pos].view(np.int64).tolist(), None]
+                out["pos"] += [*pos.tolist(), None]
+                out["doc"] += [doc] * rows_
+                out["n"] += [len(s)] * rows_
+                out["ranges"] += [spread_of(s)] * len(pos) + [spread_of(s, fine_ranges(len(s)))]
         return pa.table(out, schema=schema)
 
     return source.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(emit, ddl)
@@ -219,26 +240,38 @@ def proposals(rows: DataFrame, nearest: bool, percent: int, parts: int, block: i
     return cut.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, counted on the whole sets."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
+    """``(doc, shingles)`` of the documents in ``wanted``."""
+    schema = arrow_schema("doc long, shingles binary")
+
+    def run(batches_):
+        for batch in batches_:
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            yield arrow_batch({"doc": batch.column(0), "shingles": [s.tobytes() for s in sets]}, schema)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return texts.join(broadcast_if_small(wanted), "doc", "left_semi").mapInArrow(run, "doc long, shingles binary")
+
+
+def _filtered(pairs: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """The pairs whose two rows of ``(doc, value)`` pass ``keep(value of a, value of b)``."""
     schema = arrow_schema("a long, b long")
 
     def run(batches_):
         for batch in batches_:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int(member(x, y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
-            yield arrow_batch({"a": batch.column(0).take(pa.array(keep, pa.int64())),
-                               "b": batch.column(1).take(pa.array(keep, pa.int64()))}, schema)
-
-    first = sets.toDF("a", "set_a")
-    second = sets.toDF("b", "set_b")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+            good = pa.array([k for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if keep(x.as_py(), y.as_py())], pa.int64())
+            yield arrow_batch({"a": batch.column(0).take(good), "b": batch.column(1).take(good)}, schema)
+
+    both = pairs.join(rows.toDF("a", "value_a"), "a").join(rows.toDF("b", "value_b"), "b")
+    return both.select("a", "b", "value_a", "value_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    common = int(member(a, b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 class Join:
@@ -247,55 +280,54 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  percent: int = PERCENT, parts: int | None = None, block: int = BLOCK):
-        parts = parts or parts_of(docs.sparkSession)
-        self.percent, self.block, self.parts = percent, block, parts
-        rows = cut_lineage(summaries(docs, id_col, text_col, words))
+        self.docs, self.id_col, self.text_col, self.words = docs, id_col, text_col, words
+        self.percent, self.block, self.parts = percent, block, parts or parts_of(docs.sparkSession)
+        rows = written(summaries(docs, id_col, text_col, words), "summaries")
         self.sizes = rows.filter("slice IS NULL").select("doc", "n", "h1", "h2")
         full = self.sizes.filter("n > 0 AND doc IS NOT NULL")
         self.classes = full.groupBy("n", "h1", "h2").agg(F.min("doc").alias("representative"))
         chosen = self.classes.select(F.col("representative").alias("doc")).distinct()
-        every = cut_lineage(entries(docs, id_col, text_col, chosen, frequency_table(rows), words, percent, parts))
-        alone = every.withColumn("comp", F.col("doc"))
-        self.first = cut_lineage(proposals(alone, True, percent, parts, block))
+        every = written(entries(docs, id_col, text_col, chosen, frequency_table(rows), words, percent, self.parts), "entries")
+        self.fine = every.filter("token IS NULL").select("doc", F.struct("n", "ranges").alias("value"))
+        every = every.filter("token IS NOT NULL")
+        self.first = cut_lineage(self._proposals(every.withColumn("comp", F.col("doc")), True))
         # Who passes the filters with no one needs no further look.
         partners = self.first.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        self.entries = cut_lineage(every.join(partners, "doc", "left_semi"))
-        self.sets = cut_lineage(self._sets(docs, id_col, text_col, partners, words))
+        self.entries = written(every.join(broadcast_if_small(partners), "doc", "left_semi"), "partners")
+
+    def _proposals(self, rows: DataFrame, nearest: bool) -> DataFrame:
+        return proposals(rows, nearest, self.percent, self.parts, self.block)
 
-    @staticmethod
-    def _sets(docs, id_col, text_col, wanted: DataFrame, words: int) -> DataFrame:
-        schema = arrow_schema("doc long, shingles binary")
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough, counted on the whole sets; a closer suffix filter goes first."""
+        percent = self.percent
 
-        def run(batches_):
-            for batch in batches_:
-                sets = shingle_sets(batch.column(1).to_pylist(), words)
-                yield arrow_batch({"doc": batch.column(0), "shingles": [s.tobytes() for s in sets]}, schema)
+        def near(x, y):
+            total = x["n"] + y["n"]
+            return (total - finely_apart(x["ranges"], y["ranges"])) // 2 >= needed(x["n"], y["n"], percent)
 
-        ids: Column = F.col(id_col).cast("long")
-        texts = docs.select(ids.alias("doc"), F.col(text_col).alias("text"))
-        return (texts.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles binary")
-                .dropDuplicates(["doc", "shingles"]))
+        close = cut_lineage(_filtered(pairs, self.fine, near))
+        wanted = close.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        sets = written(_sets(self.docs, self.id_col, self.text_col, wanted, self.words), "sets")
+        return _filtered(close, sets, lambda x, y: _similar(x, y, percent))
 
     def links(self) -> DataFrame:
         """All linked pairs ``(a, b)`` of representatives."""
-        alone = self.entries.withColumn("comp", F.col("doc"))
-        return verified(proposals(alone, False, self.percent, self.parts, self.block), self.sets, self.percent)
+        return self._verified(self._proposals(self.entries.withColumn("comp", F.col("doc")), False))
 
     def components(self, rounds: int = ROUNDS) -> DataFrame:
         """``(doc, component)`` of linked representatives. A few rounds verify each document's likeliest
         partner outside its component; then every pair left between two components is verified. Pairs inside a component
         cannot change it, so a large group of near copies costs no pair of its own for each two of them."""
-        tried = pairs = self.first
-        links = cut_lineage(verified(pairs, self.sets, self.percent))
-        labels = components(links.toDF("u", "v"))
+        tried = self.first
+        labels = components(self._verified(tried).toDF("u", "v"))
         for step in range(1, rounds + 1):
             marked = self.entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-            pairs = proposals(marked.drop("component"), step < rounds, self.percent, self.parts, self.block)
+            pairs = self._proposals(marked.drop("component"), step < rounds)
             pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
             tried = tried.union(pairs)
-            more = verified(pairs, self.sets, self.percent)
-            links = cut_lineage(labels.select("doc", "component").union(more).toDF("a", "b"))
-            labels = components(links.toDF("u", "v"))
+            links = labels.select("doc", "component").union(self._verified(pairs)).toDF("u", "v")
+            labels = components(links)
         return labels
 
 

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwatch.session import new_folder
+
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(),
           "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
@@ -23,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: later plans start there."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def parts_of(spark: SparkSession) -> int:
     """How many key ranges to deal work to: twice the session's shuffle partitions, and some more
     where those are few, so that the arrays of a range stay small."""
