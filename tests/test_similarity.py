@@ -107,3 +107,32 @@ def test_verdict_bounds(spark):
     got = df.select(G.verdict(F.col("s")), G.verdict(F.col("s"), inclusive=True)).collect()
     assert [tuple(r) for r in got] == [("WARNING", "MATCH"), ("MATCH", "MATCH"), ("NO MATCH", "WARNING"),
                                       ("WARNING", "WARNING"), ("NO MATCH", "NO MATCH")]
+
+
+@pytest.mark.parametrize("values", [10**9, 0])
+def test_messages_without_views_and_ids_of_any_kind(spark, values):
+    """An empty view list is an empty pool, and text ids pass through, in one block and in many."""
+    library = spark.createDataFrame(
+        [("p", True, 0, 1, [1.0, 0.0]), ("p", False, 1, 2, [0.0, 1.0])],
+        "prop string, is_positive boolean, idx long, anchor_id long, embedding array<double>")
+    messages = spark.createDataFrame(
+        [("session-1", [[1.0, 0.0]]), ("none", []), ("session-2", [[0.0, 2.0], [3.0, 0.0]]), ("last", [])],
+        "msg_id string, views array<array<double>>").coalesce(1)
+    got = {r["msg_id"]: r for r in search(messages, library, 2, broadcast_values=values, block_rows=1).collect()}
+    assert set(got) == {"session-1", "none", "session-2", "last"}
+    assert got["none"]["pool"] == got["last"]["pool"] == 0 and not got["last"]["top_id"]
+    assert list(got["session-1"]["top_id"]) == [1, 2] and got["session-2"]["best_view"] == 1
+    views = view_scores(messages, library.select(F.col("anchor_id").alias("id"), "embedding"), broadcast_values=values)
+    best = {r["msg_id"]: r["view_max"] for r in views.collect()}
+    assert list(best["none"]) == [] and list(best["session-2"]) == [1.0, 1.0]
+
+
+def test_thousands_of_small_propositions(spark):
+    library = spark.range(12_000).select(
+        F.col("id").cast("string").alias("prop"), (F.col("id") % 2 == 0).alias("is_positive"), F.lit(0).alias("idx"),
+        F.col("id").alias("anchor_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    messages = spark.createDataFrame([(2**44, [[1.0, 0.0]]), (7, [[0.0, 1.0]])], "msg_id long, views array<array<double>>")
+    many = search(messages, library, 1, broadcast_values=0, block_rows=4000)
+    one = search(messages, library, 1)
+    key = ["msg_id", "prop", "top_sim", "top_id", "pool"]
+    assert many.count() == 24_000 and many.select(key).exceptAll(one.select(key)).count() == 0

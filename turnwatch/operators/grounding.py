@@ -92,15 +92,22 @@ def softmax_net(logits: Column, entail: int = 1, contra: int = 0) -> Column:
 NetScore = Callable[[Column, Column], Column]
 
 
+def _retrieved(found: DataFrame, retrieve_k: int) -> Column:
+    """The short list cut to ``retrieve_k``. For 0 it must hold the whole pool; one that a smaller search cut off is an error."""
+    entries = short_list(found)
+    if retrieve_k:
+        return F.slice(entries, 1, retrieve_k)
+    whole = F.size("top_id") >= F.col("pool")
+    return F.when(whole, entries).otherwise(F.raise_error(F.lit("retrieve_k = 0 needs a search with k = 0")))
+
+
 def nli_voters(found: DataFrame, forward: NetScore, backward: NetScore,
                retrieve_k: int = NLI_RETRIEVE_K, vote_k: int = NLI_VOTE_K,
                forward_weight: float = FORWARD_WEIGHT) -> DataFrame:
     """Re-rank each message's short list by the weighted pair scores. The expensive scorer
-    sees only the ``retrieve_k`` nearest anchors (0: all that were searched). Ties keep the
+    sees only the ``retrieve_k`` nearest anchors (0: every anchor of the pool, so search with k = 0). Ties keep the
     cosine order."""
-    entries = short_list(found)
-    if retrieve_k:
-        entries = F.slice(entries, 1, retrieve_k)
+    entries = _retrieved(found, retrieve_k)
     msg = F.col("msg_id")
     scored = F.transform(entries, lambda x: F.struct(
         (-(forward(msg, x["anchor_id"]) * forward_weight
@@ -113,7 +120,7 @@ def nli_voters(found: DataFrame, forward: NetScore, backward: NetScore,
 def candidate_pairs(found: DataFrame, retrieve_k: int = NLI_RETRIEVE_K) -> DataFrame:
     """The (message, anchor) pairs worth a pair model's time: ``retrieve_k`` rows per message
     and proposition. Score them with any DataFrame function, e.g. a pandas UDF."""
-    entries = F.slice(short_list(found), 1, retrieve_k) if retrieve_k else short_list(found)
+    entries = _retrieved(found, retrieve_k)
     return found.select("msg_id", "prop", "max_pos", "max_neg", F.explode(entries).alias("c")).select(
         "msg_id", "prop", "max_pos", "max_neg", "c.*")
 

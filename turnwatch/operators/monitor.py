@@ -231,10 +231,10 @@ def conversation_validity(messages: DataFrame, layout: TraceLayout) -> DataFrame
         F.coalesce(F.bool_and(F.when(F.col("kept") == 1, role == expected)), F.lit(True)).alias("alternates"),
         F.coalesce(F.bool_or(F.when((F.col("kept") == 1) & (F.col("nth") == 1), role == "user")),
                    F.lit(False)).alias("starts_user"))
-    reason = (F.when(F.col("turns") < 4, "need at least 4 valid turns")
-              .when(~F.col("starts_user"), "must start with user")
-              .when(F.col("turns") % 2 != 0, "need an even number of turns")
-              .when(~F.col("alternates"), "roles must alternate")
+    reason = (F.when(F.col("turns") < 4, "short")
+              .when(~F.col("starts_user"), "opening")
+              .when(F.col("turns") % 2 != 0, "unanswered")
+              .when(~F.col("alternates"), "order")
               .otherwise("ok"))
     return stats.select(*layout.key, "turns", reason.alias("reason"))
 

@@ -57,43 +57,50 @@ class Formula:
         return below + (self.op in ("Y", "Z", "P", "H", "S"))
 
 
-def _spell(piece: str) -> str:
-    if piece in _PYTHON:
-        return _PYTHON[piece]
-    if piece in "YPH":
-        return f"op_{piece}"
-    return f"id_{piece}" if re.match(r"[^\W\d]", piece) else piece
-
-
-def _build(tree: ast.AST) -> Formula:
+def _spell(pieces: list[str]) -> tuple[str, dict[str, str]]:
+    """The text as an expression Python can read, and what its placeholders stand for. Names are
+    numbered, so that Python neither folds nor reserves any."""
+    names: dict[str, str] = {}
+
+    def spell(piece: str) -> str:
+        if piece in _PYTHON:
+            return _PYTHON[piece]
+        if piece in ("Y", "P", "H"):
+            return f"op_{piece}"
+        return names.setdefault(piece, f"id_{len(names)}") if re.match(r"[^\W\d]", piece) else piece
+    source = " ".join(spell(p) for p in pieces)
+    return source, {v: k for k, v in names.items()}
+
+
+def _build(tree: ast.AST, names: dict[str, str]) -> Formula:
     match tree:
-        case ast.Name(id=name) if name.startswith("id_"):
-            return Formula("atom", name=name[3:])
+        case ast.Name(id=name) if name in names:
+            return Formula("atom", name=names[name])
         case ast.UnaryOp(op=ast.Invert(), operand=x):
-            return Formula("!", (_build(x),))
+            return Formula("!", (_build(x, names),))
         case ast.BinOp(left=a, op=ast.BitAnd() | ast.BitOr() as op, right=b):
-            return Formula("&" if isinstance(op, ast.BitAnd) else "|", (_build(a), _build(b)))
+            return Formula("&" if isinstance(op, ast.BitAnd) else "|", (_build(a, names), _build(b, names)))
         case ast.Compare(left=first, comparators=rest):
-            *heads, out = [_build(x) for x in (first, *rest)]
+            *heads, out = [_build(x, names) for x in (first, *rest)]
             for head in reversed(heads):
                 out = Formula("->", (head, out))
             return out
         case ast.BoolOp(values=values):
-            out, *tail = [_build(x) for x in values]
+            out, *tail = [_build(x, names) for x in values]
             for nxt in tail:
                 out = Formula("S", (out, nxt))
             return out
-        case ast.Call(func=ast.Name(id=name), args=[x], keywords=[]) if name.startswith("op_"):
-            return Formula(name[3:], (_build(x),))
+        case ast.Call(func=ast.Name(id="op_Y" | "op_P" | "op_H" as name), args=[x], keywords=[]):
+            return Formula(name[3:], (_build(x, names),))
     raise FormulaError(f"not a formula: {ast.unparse(tree)}")
 
 
 def read_formula(text: str) -> Formula:
     if not _SHAPE.fullmatch(text or ""):
         raise FormulaError(f"unexpected character in {text!r}")
-    source = " ".join(_spell(p) for p in _PIECE.findall(text))
+    source, names = _spell(_PIECE.findall(text))
     try:
-        return _build(ast.parse(source, mode="eval").body)
+        return _build(ast.parse(source, mode="eval").body, names)
     except (SyntaxError, RecursionError, MemoryError) as err:
         raise FormulaError(f"cannot read {text!r}") from err
 

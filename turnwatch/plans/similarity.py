@@ -17,14 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.session import broadcast_if_small, fits, spread
+from turnwatch.session import broadcast_if_small
 
 SCALE = 1e9
 BROADCAST_VALUES = 16_000_000   # anchors x dimensions allowed in a broadcast
 CELLS = 4_000_000               # similarity cells a task holds at a time
 BLOCK_ROWS = 4096
 BLOCK_VALUES = 4_000_000        # values of one side of a block pair
-MAX_PROPOSITIONS = 10_000
 
 _FOUND = ("top_sim array<double>, top_pos array<boolean>, top_id array<long>, "
           "top_key array<long>, max_pos double, max_neg double, best_view int, pool long")
@@ -60,14 +59,18 @@ def best_k(msg_ids, view_rows, starts, anchors: Anchors, k: int, floor: bool, sk
     for lo in range(0, len(msg_ids), step):
         hi = min(lo + step, len(msg_ids))
         v0, v1 = bounds[lo], bounds[hi]
-        per_view = np.rint(view_rows[v0:v1] @ anchors.matrix.T * SCALE).astype(np.int64)
-        sims = np.maximum.reduceat(per_view, bounds[lo:hi] - v0, axis=0)
+        lowest = -int(2 * SCALE)
+        some = bounds[lo:hi] < bounds[lo + 1:hi + 1]   # a message without views has an empty pool
+        per_view = np.zeros((0, len(anchors.ids)), np.int64)
+        sims = np.full((hi - lo, len(anchors.ids)), lowest)
+        if some.any():
+            per_view = np.rint(view_rows[v0:v1] @ anchors.matrix.T * SCALE).astype(np.int64)
+            sims[some] = np.maximum.reduceat(per_view, bounds[lo:hi][some] - v0, axis=0)
         if floor:
             sims = np.maximum(sims, 0)
-        live = np.ones(sims.shape, bool)
+        live = np.repeat(some[:, None], sims.shape[1], axis=1)
         if skip_same:
-            live = msg_ids[lo:hi, None] != anchors.ids[None, :]
-        lowest = -int(2 * SCALE)
+            live &= msg_ids[lo:hi, None] != anchors.ids[None, :]
         key = np.where(live, sims, lowest) * len(anchors.ids) + order_code
         n = min(k, sims.shape[1])
         if n < sims.shape[1]:
@@ -85,12 +88,13 @@ def best_k(msg_ids, view_rows, starts, anchors: Anchors, k: int, floor: bool, sk
         seen = np.repeat(live[:, anchors.positive], np.diff(bounds[lo:hi + 1]), axis=0)
         view_best = np.where(seen, per_view[:, anchors.positive], lowest).max(axis=1) \
             if anchors.positive.any() else np.zeros(v1 - v0)
-        best_view = np.empty(hi - lo, np.int32)
-        for m in range(lo, hi):
-            mine = view_best[bounds[m] - v0:bounds[m + 1] - v0]
-            best_view[m - lo] = int(mine.argmax()) if mine.max() > 0 else 0
+        best_view, view_sim = np.zeros(hi - lo, np.int32), np.zeros(hi - lo)
+        for m in np.flatnonzero(some):
+            mine = view_best[bounds[lo + m] - v0:bounds[lo + m + 1] - v0]
+            if mine.max() > 0:
+                best_view[m], view_sim[m] = mine.argmax(), mine.max() / SCALE
         yield (lo, hi, np.take_along_axis(sims, pick, 1) / SCALE, pick, kept, side["max_pos"], side["max_neg"], best_view,
-               live.sum(axis=1))
+               live.sum(axis=1), view_sim)
 
 
 def _ragged(values: np.ndarray, kept: np.ndarray, kind) -> pa.ListArray:
@@ -99,7 +103,7 @@ def _ragged(values: np.ndarray, kept: np.ndarray, kind) -> pa.ListArray:
 
 
 def _found_columns(found, anchors: Anchors) -> list[pa.Array]:
-    _, _, sim, pick, kept, max_pos, max_neg, best_view, pool = found
+    _, _, sim, pick, kept, max_pos, max_neg, best_view, pool, _ = found
     return [_ragged(sim, kept, pa.float64()), _ragged(anchors.positive[pick], kept, pa.bool_()),
             _ragged(anchors.ids[pick], kept, pa.int64()),
             _ragged(anchors.keys[pick], kept, pa.int64()),
@@ -120,28 +124,30 @@ def search(messages: DataFrame, library: DataFrame, k: int, floor: bool = True,
            block_rows: int | None = None) -> DataFrame:
     """Nearest anchors of every message for every proposition of the library.
 
-    ``messages(msg_id long, views array<array<float>>)``, ``library(prop, is_positive, idx,
+    ``messages(msg_id, views array<array<float>>)``, ``library(prop, is_positive, idx,
     anchor_id long, embedding)``. Gives one row per (message, proposition): the best ``k``
     in vote order (similarity, positives first, position), the best similarity of either
     class, the view closest to a positive, and the pool size. ``skip_same`` leaves out the
     anchor that carries the message's own id. An optional ``voter_key`` column of the library
     is handed through as ``top_key`` (default: the anchor id). Messages with a ``prop`` column
-    meet only the anchors of that proposition."""
+    meet only the anchors of that proposition. ``k`` 0 keeps every anchor. A message without views has an empty pool."""
+    k = k or np.iinfo(np.int32).max
     if "voter_key" not in library.columns:
         library = library.withColumn("voter_key", F.col("anchor_id"))
     own = ["prop"] if "prop" in messages.columns else []
-    messages = messages.select(F.col("msg_id").cast("long").alias("msg_id"), "views", *own)
+    whole = messages.schema["msg_id"].dataType.simpleString() in ("tinyint", "smallint", "int")
+    messages = messages.select((F.col("msg_id").cast("long") if whole else F.col("msg_id")).alias("msg_id"), "views", *own)
     library = library.select("prop", "is_positive", F.col("idx").cast("long").alias("idx"),
                              F.col("anchor_id").cast("long").alias("anchor_id"), "voter_key", "embedding")
     prop_type = library.schema["prop"].dataType.simpleString()
-    first = library.select(F.size("embedding")).first()
-    width = max(1, first[0] if first else 1)
-    if fits(library, broadcast_values // width):
-        return _search_broadcast(spread(messages), library, k, floor, skip_same, prop_type)
+    rows, width = library.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    width = max(1, width or 1)
+    if rows * width <= broadcast_values:
+        return _search_broadcast(messages, library, k, floor, skip_same, prop_type)
+    block_rows = block_rows or max(1024, BLOCK_VALUES // width)
     if messages.isStreaming:
-        raise ValueError("a stream needs a library that fits a broadcast; search it in parts")
-    return _search_blocks(messages, library, k, floor, skip_same, prop_type,
-                          block_rows or max(1024, BLOCK_VALUES // width), own)
+        raise ValueError("a stream needs a library that fits a broadcast: use foreachBatch, which searches a large one in blocks")
+    return _search_blocks(messages, library, k, floor, skip_same, prop_type, rows, block_rows, own)
 
 
 def _search_broadcast(messages, library, k, floor, skip_same, prop_type) -> DataFrame:
@@ -161,7 +167,7 @@ def _search_broadcast(messages, library, k, floor, skip_same, prop_type) -> Data
                     continue
                 ids = part.column(0)
                 view_rows, starts = _unpack_views(part.column(1))
-                for found in best_k(ids.to_numpy(), view_rows, starts, anchors, k, floor,
+                for found in best_k(ids.to_numpy(zero_copy_only=False), view_rows, starts, anchors, k, floor,
                                     skip_same):
                     rows = ids.slice(found[0], found[1] - found[0])
                     props = pa.array([prop] * len(rows), {"int": pa.int32(), "bigint": pa.int64()}.get(
@@ -169,72 +175,54 @@ def _search_broadcast(messages, library, k, floor, skip_same, prop_type) -> Data
                     yield pa.RecordBatch.from_arrays(
                         [rows, props, *_found_columns(found, anchors)], names=_NAMES)
 
-    return messages.mapInArrow(scan, f"msg_id long, prop {prop_type}, {_FOUND}")
+    return messages.mapInArrow(scan, f"msg_id {messages.schema['msg_id'].dataType.simpleString()}, prop {prop_type}, {_FOUND}")
 
 
 _NAMES = ["msg_id", "prop", "top_sim", "top_pos", "top_id", "top_key", "max_pos", "max_neg",
           "best_view", "pool"]
 
 
-def _search_blocks(messages, library, k, floor, skip_same, prop_type, block_rows, own) -> DataFrame:
-    """Both sides in blocks: every anchor block meets every message block once, only the
-    best k of a block pair leave it, and the partial lists are merged per message."""
-    sizes = library.groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
-    if not fits(sizes, MAX_PROPOSITIONS):
-        raise ValueError(f"more than {MAX_PROPOSITIONS} propositions: search them in parts")
-    blocks = [(r["prop"], -(-r["n"] // block_rows)) for r in sizes.collect()]
-    plan = F.array(*[F.struct(F.lit(p).alias("prop"), F.lit(n).alias("anchor_blocks"))
-                     for p, n in blocks])
+def _search_blocks(messages, library, k, floor, skip_same, prop_type, rows, block_rows, own) -> DataFrame:
+    """Both sides in blocks: every anchor block meets every message block once, only the best k of
+    a block pair leave it, and the partial lists are merged per message. A block holds the anchors of many
+    small propositions; one with more rows than a block is dealt over all of them."""
+    anchor_blocks = max(1, -(-rows // block_rows))
     message_blocks = max(1, -(-messages.count() // block_rows))
+    sizes = library.groupBy("prop").agg((F.count(F.lit(1)) > block_rows).alias("large")).filter("large")
+    home = F.when(F.col("large"), F.xxhash64("anchor_id", "is_positive")).otherwise(F.xxhash64("prop"))
     left = (messages.withColumn("mb", F.pmod(F.xxhash64("msg_id"), F.lit(message_blocks)).cast("int"))
-            .select("msg_id", "views", "mb", *[F.col(c).alias("own") for c in own],
-                    F.explode(plan).alias("p"))
-            .filter(F.col("own") == F.col("p.prop") if own else F.lit(True))
-            .select("msg_id", "views", "mb", "p.*")
-            .withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("anchor_blocks") - 1))))
-    count_of = F.create_map(*[F.lit(x) for pair in blocks for x in pair])
-    right = (library.withColumn("ab", F.pmod(F.xxhash64("anchor_id", "is_positive"),
-                                             count_of[F.col("prop")]).cast("int"))
+            .withColumn("ab", F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1)))))
+    right = (library.join(broadcast_if_small(sizes), "prop", "left")
+             .withColumn("ab", F.pmod(home, F.lit(anchor_blocks)).cast("int")).drop("large")
              .withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(message_blocks - 1)))))
 
     def meet(m: pa.Table, a: pa.Table) -> pa.Table:
         out = []
         if m.num_rows and a.num_rows:
-            anchors = Anchors.from_pandas(a.to_pandas())
-            ids = m["msg_id"].combine_chunks()
-            view_rows, starts = _unpack_views(m["views"].combine_chunks())
-            props = m["prop"].combine_chunks()
-            for found in best_k(ids.to_numpy(), view_rows, starts, anchors, k, floor, skip_same):
-                cols = _found_columns(found, anchors)
-                cols.append(_ragged(anchors.idx[found[3]], found[4], pa.int64()))
-                # similarity of the chosen view, so that merging can compare views
-                span = slice(found[0], found[1])
-                view_sim = [best_of(ids[j].as_py(), view_rows, starts, j, anchors)
-                            for j in range(span.start, span.stop)]
-                cols.append(pa.array(view_sim, pa.float64()))
-                n = found[1] - found[0]
-                out.append(pa.RecordBatch.from_arrays(
-                    [ids.slice(found[0], n), props.slice(found[0], n), *cols],
-                    names=[*_NAMES, "top_idx", "view_sim"]))
-        return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], schema)
-
-    def best_of(msg_id, view_rows, starts, j, anchors):
-        use = anchors.positive & (anchors.ids != msg_id) if skip_same else anchors.positive
-        if not use.any():
-            return 0.0
-        end = starts[j + 1] if j + 1 < len(starts) else len(view_rows)
-        sims = np.rint(view_rows[starts[j]:end] @ anchors.matrix[use].T * SCALE)
-        return max(0.0, float(sims.max()) / SCALE)
+            for prop, part in a.to_pandas().groupby("prop", sort=False):
+                mine = m.filter(pc.equal(m["prop"], pa.scalar(prop, m.schema.field("prop").type))) if own else m
+                if not mine.num_rows:
+                    continue
+                anchors = Anchors.from_pandas(part)
+                ids = mine["msg_id"].combine_chunks()
+                view_rows, starts = _unpack_views(mine["views"].combine_chunks())
+                for found in best_k(ids.to_numpy(zero_copy_only=False), view_rows, starts, anchors, k, floor, skip_same):
+                    n = found[1] - found[0]
+                    out.append(pa.RecordBatch.from_arrays(
+                        [ids.slice(found[0], n), pa.array([prop] * n, prop_arrow), *_found_columns(found, anchors),
+                         _ragged(anchors.idx[found[3]], found[4], pa.int64()), pa.array(found[-1], pa.float64())],
+                        names=[*_NAMES, "top_idx", "view_sim"]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], pa.schema([m.schema.field("msg_id"), *rest]))
 
     prop_arrow = {"int": pa.int32(), "bigint": pa.int64()}.get(prop_type, pa.string())
-    schema = pa.schema([
-        ("msg_id", pa.int64()), ("prop", prop_arrow), ("top_sim", pa.list_(pa.float64())),
+    rest = [pa.field(name, kind) for name, kind in (
+        ("prop", prop_arrow), ("top_sim", pa.list_(pa.float64())),
         ("top_pos", pa.list_(pa.bool_())), ("top_id", pa.list_(pa.int64())), ("top_key", pa.list_(pa.int64())),
         ("max_pos", pa.float64()), ("max_neg", pa.float64()), ("best_view", pa.int32()),
-        ("pool", pa.int64()), ("top_idx", pa.list_(pa.int64())), ("view_sim", pa.float64())])
-    tile = ["prop", "ab", "mb"]
-    parts = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
-        meet, f"msg_id long, prop {prop_type}, {_FOUND}, top_idx array<long>, view_sim double")
+        ("pool", pa.int64()), ("top_idx", pa.list_(pa.int64())), ("view_sim", pa.float64()))]
+    msg_type = messages.schema["msg_id"].dataType.simpleString()
+    parts = left.groupBy("ab", "mb").cogroup(right.groupBy("ab", "mb")).applyInArrow(
+        meet, f"msg_id {msg_type}, prop {prop_type}, {_FOUND}, top_idx array<long>, view_sim double")
     entries = F.transform(
         F.arrays_zip("top_sim", "top_pos", "top_idx", "top_id", "top_key"),
         lambda x: F.struct((-x["top_sim"]).alias("s"), (~x["top_pos"]).alias("n"),
@@ -269,18 +257,16 @@ def view_scores(messages: DataFrame, refs: DataFrame,
                 broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """Add ``view_max``: for each view of a message its best similarity to any of
     ``refs(id, embedding)``, in view order."""
-    first = refs.select(F.size("embedding")).first()
-    if not fits(refs, broadcast_values // max(1, first[0] if first else 1)):
-        rows = messages.select("msg_id", F.posexplode("views").alias("v", "embedding"))
-        wide = rows.select((F.col("msg_id") * (1 << 20) + F.col("v")).alias("id"), "embedding")
-        best = nearest(wide, refs).groupBy(
-            F.floor(F.col("id") / (1 << 20)).cast("long").alias("msg_id")).agg(
-            F.array_sort(F.collect_list(F.struct("id", F.col("top_sim")[0].alias("s")))).alias("l"))
-        return messages.join(best.select(
-            "msg_id", F.transform("l", lambda x: x["s"]).alias("view_max")), "msg_id", "left")
-    messages = spread(messages)
-    matrix = units(np.stack([np.asarray(r["embedding"], np.float64)
-                             for r in refs.select("embedding").collect()]))
+    rows, width = refs.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if rows * max(1, width or 1) > broadcast_values:
+        views = messages.select("msg_id", F.posexplode("views").alias("v", "embedding"))
+        best = nearest(views.select(F.struct("msg_id", "v").alias("id"), "embedding"), refs).groupBy("id.msg_id").agg(
+            F.array_sort(F.collect_list(F.struct("id.v", F.col("top_sim")[0].alias("s")))).alias("l"))
+        none = F.when(F.col("views").isNotNull(), F.array().cast("array<double>"))
+        return messages.join(best.select("msg_id", F.transform("l", lambda x: x["s"]).alias("view_max")), "msg_id", "left") \
+            .select(*messages.columns, F.coalesce("view_max", none).alias("view_max"))
+    vectors = refs.select("embedding").toArrow()["embedding"].combine_chunks()  # size checked above
+    matrix = units(np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1))
     shared = messages.sparkSession.sparkContext.broadcast(matrix)
     at = messages.columns.index("views")
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables. Only a session without the
-    setting (a local test) gets one of its own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder the cluster names for intermediate tables. Only a local session without the
+    setting (a test) gets one of its own; elsewhere executors could not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own_folder()
 
 
 @cache
@@ -40,13 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when the frame has at most ``max_rows`` rows; reads no more than needed."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """True when the frame has at most ``max_rows`` rows. A plain count is combined in the tasks."""
+    return df.count() <= max_rows
 
 
 @cache
 def _shipped(application: str, spark: SparkSession, packages: tuple[Path, ...]) -> None:
-    archive = Path(tempfile.mkdtemp(prefix="turnwatch-src-")) / "turnwatch.zip"
+    archive = Path(tempfile.mkdtemp(prefix="turnwatch-src-")) / f"{'-'.join(p.name for p in packages)}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for package in packages:
             for path in sorted(package.rglob("*.py")):
@@ -61,14 +66,33 @@ def ship(spark: SparkSession, *packages: Path) -> None:
     _shipped(spark.sparkContext.applicationId, spark, (own, *packages))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64_000_000) -> DataFrame:
+    """Hint a broadcast only after its rows and the size of their values were summed up; otherwise
+    leave the join to shuffle."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType | MapType):
+            return F.coalesce(F.aggregate(F.transform(column, lambda x: _width(x, kind.elementType).cast("long")), F.lit(0).cast("long"),
+                                          lambda a, x: a + x), F.lit(0))
+        return F.coalesce(F.size(column), F.lit(0)) * 8
+    if isinstance(kind, MapType):
+        return _width(F.map_keys(column), ArrayType(kind.keyType)) + _width(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind), F.lit(0))
+    return F.lit(8)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work to the whole cluster when the input has fewer partitions
-    than there are cores; a large input has more and is left where it is."""
+    """Give costly per-row work to the whole cluster when a table comes in fewer partitions than
+    there are cores. Only for frames that are a plain read: counting the partitions of anything with a shuffle would run it."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwatch.plans.layout import ranked
-from turnwatch.session import fits
-
-MAX_LIBRARY_ANCHORS = 1_000_000
 
 
 def write_verdicts(verdicts: DataFrame, path: str, mode: str = "append") -> None:
@@ -23,12 +20,13 @@ def write_replay_json(summary: DataFrame, outcomes: DataFrame, path: str) -> Non
 
 
 def library_documents(library: DataFrame) -> DataFrame:
-    """Long anchors ``(name, proposition, role, is_positive, category_idx, category, idx, text)``
-    as one nested document per proposition with totals. A library is a document people
-    read; its size is checked, larger sets stay in the long form."""
-    if not fits(library, MAX_LIBRARY_ANCHORS):
-        raise ValueError("too many anchors for documents; write the long rows instead")
-    ident = ["name", "proposition", "role"]
+    """Long anchors ``(name, proposition, role, match_threshold, warning_threshold, is_positive,
+    category_idx, category, idx, text)`` as one nested document per proposition with its thresholds and
+    totals. A document gathers the anchors of one proposition; for sets that nobody would read as a document the
+    long rows are the better form."""
+    thresholds = ["match_threshold", "warning_threshold"]
+    library = library.withColumns({c: F.lit(None).cast("double") for c in thresholds if c not in library.columns})
+    ident = ["name", "proposition", "role", *thresholds]
     lists = library.groupBy(*ident, "is_positive", "category_idx", "category").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("texts"))
     entry = F.struct("category_idx", "category", "texts")

@@ -11,7 +11,7 @@ from turnwatch.functions.vectors import cosine as cosine_column
 from turnwatch.operators import grounding as G
 from turnwatch.operators.monitor import role_filter
 from turnwatch.plans.similarity import search
-from turnwatch.session import cut_lineage
+from turnwatch.session import cut_lineage, spread
 from workload.registry import documents, query, table
 from workload.temporal import conversations, region_propositions
 
@@ -43,7 +43,7 @@ def vector_library(spark, sf):
 
 def vector_messages(spark, sf, views=2):
     cols = ["embedding", F.reverse("embedding")][:views]
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), F.array(*cols).alias("views"))
+    return spread(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("msg_id"), F.array(*cols).alias("views"))
 
 
 def searched(spark, sf, k, views=2, floor=True):
@@ -112,14 +112,14 @@ HYB_SQL = f"""{NLI_SQL}, vt AS (SELECT msg_id, prop, voter_key, is_positive, boo
  FROM vt GROUP BY ALL)"""
 
 
-@query("cosine", """SELECT d.doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6)+0.0 AS sim
- FROM documents d JOIN embeddings a ON a.vec_id=d.doc_id JOIN embeddings b ON b.vec_id=d.n_chars""")
+@query("cosine", """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6)+0.0 AS sim
+ FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1""")
 def cosine(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    a = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a"))
-    b = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n_chars"), F.col("embedding").alias("b"))
-    return d.join(a, "doc_id").join(b, "n_chars").select(
-        "doc_id", F.round(cosine_column(F.col("a"), F.col("b")), 6).alias("sim"))
+    """Every vector beside the next one."""
+    e = table(spark, sf, "embeddings")
+    a = e.select("vec_id", F.col("embedding").alias("a"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", F.round(cosine_column(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
 @query("similarity_join", f"""WITH {SIM1_SQL} SELECT msg_id, prop, rk-1 AS rank, anchor_id, is_positive,

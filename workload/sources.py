@@ -72,11 +72,13 @@ ANCHOR_SQL = """SELECT doc_id::VARCHAR AS name, 'yes' AS side, 'lines' AS catego
  0.55::DOUBLE AS match_threshold FROM (SELECT doc_id, string_split(text,chr(10)) AS l FROM documents)
  UNION ALL SELECT doc_id::VARCHAR, 'no', 'source', 0, md5(source), 0.55 FROM documents
  UNION ALL SELECT doc_id::VARCHAR, 'neutral', 'NEUTRAL', 0, md5(lang), 0.55 FROM documents"""
+SINK_SQL = f"""SELECT name, side, category, idx, text, coalesce((5 + name::BIGINT % 4) / 10.0, 0.55)::DOUBLE AS match_threshold,
+ ((1 + name::BIGINT % 3) / 10.0)::DOUBLE AS warning_threshold FROM ({ANCHOR_SQL})"""
 
 
-def _side(df):
+def _side(df, *more):
     side = F.when(F.col("is_positive"), "yes").when(~F.col("is_positive"), "no").otherwise("neutral")
-    return df.select("name", side.alias("side"), "category", "idx", F.md5("text").alias("text"), "match_threshold")
+    return df.select("name", side.alias("side"), "category", "idx", F.md5("text").alias("text"), "match_threshold", *more)
 
 
 @query("anchor_library_scan", ANCHOR_SQL)
@@ -90,11 +92,14 @@ def anchor_library_scan(spark, sf):
     return _side(readers.library_rows(docs))
 
 
-@query("anchor_library_sink", ANCHOR_SQL)
+@query("anchor_library_sink", SINK_SQL)
 def anchor_library_sink(spark, sf):
+    """Libraries with thresholds of their own, written and read back."""
     path = new_folder(spark, "library")
-    sinks.write_anchor_library(library_long(spark, sf), path)
-    return _side(readers.read_anchor_library(spark, path, multi_line=False))
+    name = F.col("name").cast("long")
+    sinks.write_anchor_library(library_long(spark, sf).withColumn("match_threshold", (F.lit(5) + name % 4) / 10)
+                               .withColumn("warning_threshold", (F.lit(1) + name % 3) / 10), path)
+    return _side(readers.read_anchor_library(spark, path, multi_line=False), "warning_threshold")
 
 
 @query("optimized_vectors_scan", """SELECT label AS prop, true AS is_positive, vec_id AS idx, label<=4 AS optimised,

@@ -212,9 +212,9 @@ def visible_history(spark, sf):
  WHERE role IN ('user','assistant') AND regexp_matches(text,'\S')),
  s AS (SELECT conv_id, count(*) AS n, bool_and(role = CASE WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END) AS alt,
  bool_or(nth=1 AND role='user') AS st FROM k GROUP BY conv_id)
- SELECT c.conv_id, coalesce(n,0) AS turns, CASE WHEN coalesce(n,0) < 4 THEN 'need at least 4 valid turns'
- WHEN NOT st THEN 'must start with user' WHEN n % 2 <> 0 THEN 'need an even number of turns'
- WHEN NOT alt THEN 'roles must alternate' ELSE 'ok' END AS reason
+ SELECT c.conv_id, coalesce(n,0) AS turns, CASE WHEN coalesce(n,0) < 4 THEN 'short'
+ WHEN NOT st THEN 'opening' WHEN n % 2 <> 0 THEN 'unanswered'
+ WHEN NOT alt THEN 'order' ELSE 'ok' END AS reason
  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s USING (conv_id)""")
 def conversation_validity(spark, sf):
     df, layout = conversations(spark, sf)
