@@ -20,6 +20,8 @@ CELLS, SLICE = 1 << 20, 1 << 16
 #: Ranges of a set that the suffix filter compares, entries of a shingle compared in one task,
 #: and rounds that link each document to its likeliest partner before all pairs left are verified.
 RANGES, BLOCK, ROUNDS = 32, 2048, 2
+#: Bits that tell whether an even or odd number of shingles fell on each of as many places.
+PARITIES = 512
 BATCH_BYTES = 1_000_000
 
 
@@ -63,6 +65,13 @@ def spread_of(shingles: np.ndarray, ranges: int = RANGES) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def parity_of(shingles: np.ndarray) -> bytes:
+    """For each place, whether an odd number of shingles fall on it. Two such rows differ in no more
+    places than there are shingles that only one set has; for small sets in nearly as many."""
+    counts = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def fine_ranges(n: int) -> int:
     """Ranges for a closer look at a set of n shingles: about thirty shingles in each."""
     return min(1 << 16, max(RANGES, 1 << (n // 30).bit_length()))
@@ -171,7 +180,7 @@ def entries(docs: DataFrame, id_col: str, text_col: str, representatives: DataFr
                 out["pos"] += [*pos.tolist(), None]
                 out["doc"] += [doc] * rows_
                 out["n"] += [len(s)] * rows_
-                out["ranges"] += [spread_of(s)] * len(pos) + [spread_of(s, fine_ranges(len(s)))]
+                out["ranges"] += [spread_of(s) + parity_of(s)] * len(pos) + [spread_of(s, fine_ranges(len(s)))]
         return pa.table(out, schema=schema)
 
     return source.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(emit, ddl)
@@ -190,6 +199,8 @@ def _survivors(e: dict, i: np.ndarray, j: np.ndarray, percent: int):
     ok = most >= needed(n[i], n[j], percent)
     i, j = i[ok], j[ok]
     excess = np.abs(ranges[i] - ranges[j]).sum(axis=1, dtype=np.int64)
+    odd = np.bitwise_count(e["parity"][i] ^ e["parity"][j]).sum(axis=1, dtype=np.int64)
+    excess = np.maximum(excess, odd)
     ok = (n[i] + n[j] - excess) // 2 >= needed(n[i], n[j], percent)
     return i[ok], j[ok], excess[ok]
 
@@ -209,7 +220,8 @@ def proposals(rows: DataFrame, nearest: bool, percent: int, parts: int, block: i
 
     def compare(table: pa.Table) -> pa.Table:
         e = {c: np.asarray(table[c], np.int64) for c in ("token", "low", "high", "mine", "doc", "comp", "n", "pos")}
-        e["ranges"] = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16)
+        marks = np.frombuffer(b"".join(table["ranges"].to_pylist()), np.uint8).reshape(-1, RANGES + PARITIES // 8)
+        e["ranges"], e["parity"] = marks[:, :RANGES].astype(np.int16), marks[:, RANGES:].copy().view(np.uint64)
         order = np.lexsort((e["doc"], e["high"], e["low"], e["token"]))
         e = {c: v[order] for c, v in e.items()}
         new = np.ones(len(order), bool)
