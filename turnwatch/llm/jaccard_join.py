@@ -8,7 +8,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.components import components
+from turnwatch.llm.components import components, stars
 from turnwatch.llm.hashing import Words, batches, mix, window_hash
 from turnwatch.llm.repeats import KEYS_DDL, key_rows, known, member, part_rows, parted, repeated_keys
 from turnwatch.llm.rows import arrow_batch, arrow_schema, part_of, parts_of, written
@@ -332,15 +332,17 @@ class Join:
         partner outside its component; then every pair left between two components is verified. Pairs inside a component
         cannot change it, so a large group of near copies costs no pair of its own for each two of them."""
         tried = self.first
-        labels = components(self._verified(tried).toDF("u", "v"))
+        links = self._verified(tried).toDF("u", "v")
         for step in range(1, rounds + 1):
-            marked = self.entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-            pairs = self._proposals(marked.drop("component"), step < rounds)
+            # Two documents of one label are connected; that two others are may show only at the end.
+            links = stars(links, 2)
+            labels = links.groupBy(F.col("u").alias("doc")).agg(F.min("v").alias("label"))
+            marked = self.entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("label", "doc"))
+            pairs = self._proposals(marked.drop("label"), step < rounds)
             pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
             tried = tried.union(pairs)
-            links = labels.select("doc", "component").union(self._verified(pairs)).toDF("u", "v")
-            labels = components(links)
-        return labels
+            links = links.union(self._verified(pairs))
+        return components(links)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
