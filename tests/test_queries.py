@@ -4,8 +4,7 @@ import pytest
 
 import oracle
 from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from workload import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +22,7 @@ def test_query(spark, small, con, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_registered():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())

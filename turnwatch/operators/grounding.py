@@ -119,10 +119,11 @@ def nli_voters(found: DataFrame, forward: NetScore, backward: NetScore,
 
 def candidate_pairs(found: DataFrame, retrieve_k: int = NLI_RETRIEVE_K) -> DataFrame:
     """The (message, anchor) pairs worth a pair model's time: ``retrieve_k`` rows per message
-    and proposition. Score them with any DataFrame function, e.g. a pandas UDF."""
+    and proposition, with the view that came closest to a positive anchor. Score them with any
+    DataFrame function, e.g. a pandas UDF."""
     entries = _retrieved(found, retrieve_k)
-    return found.select("msg_id", "prop", "max_pos", "max_neg", F.explode(entries).alias("c")).select(
-        "msg_id", "prop", "max_pos", "max_neg", "c.*")
+    side = ["msg_id", "prop", "max_pos", "max_neg", "best_view"]
+    return found.select(*side, F.explode(entries).alias("c")).select(*side, "c.*")
 
 
 def voters_from_pairs(scored: DataFrame, vote_k: int = NLI_VOTE_K,
