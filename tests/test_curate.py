@@ -161,3 +161,33 @@ def test_gradient_matches_differences(spark):
         down[i, j] -= 1e-5
         lo = [C._pass(examples, {-1: x}, None, labels, 6, 0.5)[1][-1][2] for x in (down, up)]
         assert abs((lo[1] - lo[0]) / 2e-5 - grads[-1][i, j]) < 1e-4
+
+
+def test_few_shot_sample_takes_leaders_first(spark):
+    items = spark.range(40).withColumn("vec", F.array(F.lit(1.0)))
+    clusters = spark.createDataFrame([(i, i // 10 * 10, 10 if i < 30 else 1) for i in range(40)], "id long, leader long, cluster_size long")
+    got = C.few_shot_sample(items, clusters, n=8).collect()
+    assert {r["id"] for r in got if r["is_leader"]} == {0, 10, 20}
+    assert len(got) == len({r["id"] for r in got}) == 8
+    assert sorted(got) == sorted(C.few_shot_sample(items, clusters, n=8).collect())
+    assert sorted(r["id"] for r in C.few_shot_sample(items, clusters, n=8, seed=1).collect()) != sorted(r["id"] for r in got)
+    whole = C.few_shot_sample(items, clusters, n=40).collect()
+    assert len(whole) == 40 and not any(r["is_leader"] for r in whole)
+
+
+def test_cluster_capped_selection(spark, pool):
+    vec, df = pool
+    items = df.withColumn("category", F.col("g"))
+    picks = C.mmr_cluster(items, vec[1].tolist(), 12, cap=2).collect()
+    assert sorted(r["pick"] for r in picks) == list(range(12)) and len({r["id"] for r in picks}) == 12
+    small = C.mmr_cluster(items.filter("id < 5"), vec[1].tolist(), 12).collect()
+    assert sorted((r["id"], r["pick"]) for r in small) == [(i, i) for i in range(5)]
+
+
+def test_both_ways_use_one_unit_length(spark):
+    """Short vectors that point the same way are as similar in the large-group way as in a task."""
+    tiny = [5e-4, 0.0]
+    rows = [(i, i, 0, tiny if i < 3 else [0.0, 1.0 + i], 1.0 - i / 10, 3, 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, pos long, g int, vec array<double>, relevance double, quota int, cluster int")
+    one, many = (sorted(map(tuple, C.diverse_picks(df, ["g"], task_rows=n).collect())) for n in (1000, 1))
+    assert one == many

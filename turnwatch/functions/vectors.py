@@ -33,6 +33,11 @@ def unit(a: Column) -> Column:
     return bind(norm(a) + F.lit(EPS), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
+def exact_unit(a: Column) -> Column:
+    """Unit vector without a guard in the norm, as the in-task way computes it; zero vectors stay zero."""
+    return bind(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
+
+
 def letter_histogram(text: Column) -> Column:
     """A small deterministic text embedding for tests and demos: counts of a..z."""
     letters = F.array(*[F.lit(chr(c)) for c in range(ord("a"), ord("z") + 1)])

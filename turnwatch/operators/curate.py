@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwatch.functions.vectors import cosine, dot, unit
+from turnwatch.functions.vectors import cosine, dot, exact_unit
 from turnwatch.operators.grounding import knn_vote
 from turnwatch.plans.layout import SEGMENT_ROWS, ranked
 from turnwatch.plans.similarity import (
@@ -304,7 +304,7 @@ def diverse_picks(pool: DataFrame, group: list[str], base: float = 0.5, anneal:
 
 def _pick_rounds(pool: DataFrame, group: list[str], base: float, anneal: bool, cap: int | None) -> DataFrame:
     state = cut_lineage(pool.select(
-        *group, "id", "pos", unit(F.col("vec")).alias("u"), "relevance", "quota", "cluster",
+        *group, "id", "pos", exact_unit(F.col("vec")).alias("u"), "relevance", "quota", "cluster",
         F.lit(None).cast("double").alias("near"), F.lit(0).alias("used"),
         F.lit(None).cast("int").alias("pick")))
     rounds = state.agg(F.max("quota")).first()[0] or 0
@@ -400,8 +400,11 @@ def low_margin(items: DataFrame, share: float = 0.25, min_class: int = 10, min_h
 
 def weak_zones(low: DataFrame, texts: DataFrame, per_zone: int = 6) -> DataFrame:
     """Clusters of low-margin items: size, the first examples and the class to add."""
-    n = low.count()
-    zones = kmeans(low, min(5, max(2, n // 5)), max_iter=300)
+    return zone_report(kmeans(low, min(5, max(2, low.count() // 5)), max_iter=300), texts, per_zone)
+
+
+def zone_report(zones: DataFrame, texts: DataFrame, per_zone: int = 6) -> DataFrame:
+    """What ``weak_zones`` says of given zones ``(id, label, cluster)``."""
     sizes = zones.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= 2)
     head = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
     first = (zones.withColumn("nth", head).filter(F.col("nth") <= per_zone)
@@ -463,9 +466,14 @@ def replace_low_variance(originals: DataFrame, replacements: DataFrame) -> DataF
         F.col("position") < F.col("n") + 2).select("category", "text", "part", "position")
 
 
+def _shuffled(id_col: str, seed: int) -> Column:
+    """A key to shuffle by that other engines can compute too."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def stratified_folds(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Fold number per item: position modulo k in a seeded shuffle of its class."""
-    mixed = items.withColumn("__h", F.xxhash64("id", F.lit(seed)))
+    mixed = items.withColumn("__h", _shuffled("id", seed))
     return ranked(mixed, ["label"], ["__h", "id"]).withColumn(
         "fold", (F.col("position") % k).cast("int")).drop("__h", "position")
 
@@ -487,7 +495,7 @@ def few_shot_sample(items: DataFrame, clusters: DataFrame, n: int = 100, seed: i
         .select("id", F.lit(True).alias("is_leader"))
     need = max(0, n - leaders.count())
     rest = items.join(leaders, "id", "left_anti").select("id", F.lit(False).alias("is_leader")) \
-        .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(need)
+        .orderBy(_shuffled("id", seed), "id").limit(need)
     return leaders.unionByName(rest)
 
 

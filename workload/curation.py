@@ -165,7 +165,22 @@ def low_margin(spark, sf):
 @query("weak_zones")
 def weak_zones(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return C.weak_zones(C.low_margin(binary_items(spark, sf)), texts).drop("texts")
+    return C.weak_zones(C.low_margin(binary_items(spark, sf)), texts)
+
+
+@query("zone_report", """WITH d AS (SELECT doc_id AS id, (quality=1)::INT AS label, doc_id%7 AS cluster FROM labels),
+ r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS nth FROM d),
+ s AS (SELECT cluster, count(nullif(label=1,false)) AS n_pos, count(nullif(label=0,false)) AS n_neg,
+ md5(string_agg(text, '|' ORDER BY nth)) AS shown FROM r JOIN documents ON doc_id=id WHERE nth<=6 GROUP BY cluster)
+ SELECT cluster, count(*) AS size, any_value(n_pos) AS n_pos, any_value(n_neg) AS n_neg, any_value(shown) AS shown,
+ CASE WHEN any_value(n_pos)<any_value(n_neg) THEN 'positive' WHEN any_value(n_neg)<any_value(n_pos) THEN 'negative' ELSE 'both' END AS "add"
+ FROM d JOIN s USING (cluster) GROUP BY cluster HAVING count(*)>=2""")
+def zone_report(spark, sf):
+    """The report on given zones, with the texts it shows."""
+    zones = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"), (F.col("doc_id") % 7).alias("cluster"))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return C.zone_report(zones, texts).withColumn("shown", F.md5(F.array_join("texts", "|"))).drop("texts")
 
 
 @query("hard_mining", f"""WITH {SIM1_SQL}, {KNN_SQL}, s AS (SELECT msg_id, prop, score, label=prop AS pos FROM knn JOIN q USING (msg_id))
@@ -214,7 +229,8 @@ def replace_low_variance(spark, sf):
         "category", "part", "position", F.col("text").cast("long").alias("id"))
 
 
-@query("stratified_folds")
+@query("stratified_folds", """SELECT doc_id AS id, quality AS label, ((row_number() OVER (PARTITION BY quality
+ ORDER BY md5(doc_id || '|42'), doc_id) - 1) % 5)::INT AS fold FROM labels""")
 def stratified_folds(spark, sf):
     items = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return C.stratified_folds(items, 5)
