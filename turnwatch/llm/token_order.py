@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +92,9 @@ def materialise(docs: DataFrame, tokens: Column, folder: str, key: int, id_col:
         first[r["part"]] = (total, r["n"] or 0)
         total += r["n"] or 0
     order = Permutation(total, key)
-    ddl = "shard long, slot long, doc_id long, k int, n_tokens int, ids binary"
-    schema = arrow_schema(ddl)
+    ddl = "shard long, slot array<long>, doc_id array<long>, k array<int>, n_tokens array<int>, ids binary"
+    schema = pa.schema([("shard", pa.int64()), ("slot", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())),
+                        ("k", pa.list_(pa.int32())), ("n_tokens", pa.list_(pa.int32())), ("ids", pa.binary())])
 
     def cut(batches):
         start, expected = first.get(TaskContext.get().partitionId(), (0, 0))
@@ -105,12 +107,24 @@ def materialise(docs: DataFrame, tokens: Column, folder: str, key: int, id_col:
                     doc.append(d)
                     k.append(at // stride)
                     n.append(len(piece) // width)
-                    ids.append(piece.ljust(stride, pad) if width == 1 else piece + pad * (length - n[-1]))
+                    ids.append(piece + pad * (length - n[-1]))
             if done + len(doc) > expected:
                 break
             slot = order.slots(np.arange(start + done, start + done + len(doc))) if doc else np.zeros(0, np.int64)
             done += len(doc)
-            yield arrow_batch({"shard": slot // per_shard, "slot": slot, "doc_id": doc, "k": k, "n_tokens": n, "ids": ids}, schema)
+            # Sequences for one shard travel together, compressed.
+            by_shard = np.argsort(slot, kind="stable")
+            shards = slot[by_shard] // per_shard
+            edges = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if doc else []
+            out = {name: [] for name in schema.names}
+            for s, e in zip(edges, [*edges[1:], len(doc)]):
+                pick = by_shard[s:e]
+                out["shard"].append(int(shards[s]))
+                out["slot"].append(slot[pick])
+                for name, values in (("doc_id", doc), ("k", k), ("n_tokens", n)):
+                    out[name].append([values[i] for i in pick])
+                out["ids"].append(zstandard.compress(b"".join(ids[i] for i in pick)))
+            yield arrow_batch(out, schema)
         else:
             if done == expected:
                 return
@@ -121,22 +135,23 @@ def materialise(docs: DataFrame, tokens: Column, folder: str, key: int, id_col:
 
     def write(key_, table):
         shard = key_[0].as_py()
-        table = table.sort_by("slot")
-        slots = np.asarray(table["slot"], np.int64)
         begin = shard * per_shard
-        if not np.array_equal(slots, np.arange(begin, min(begin + per_shard, total))):
+        slots, doc, k, n = (np.asarray(table[c].combine_chunks().flatten().to_pylist(), object) for c in ("slot", "doc_id", "k", "n_tokens"))
+        data = b"".join(zstandard.decompress(x) for x in table["ids"].to_pylist())
+        pick = np.argsort(slots.astype(np.int64), kind="stable")
+        if not np.array_equal(slots[pick].astype(np.int64), np.arange(begin, min(begin + per_shard, total))):
             raise RuntimeError(f"shard {shard} is not complete")
-        ids = table["ids"].to_pylist()
+        ids = [data[i * stride:(i + 1) * stride] for i in pick]
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
         with fs.open_output_stream(own) as out:
-            for piece in ids:
-                out.write(piece)
+            out.write(b"".join(ids))
         fs.move(own, shard_path(path, shard))
-        return pa.table({"slot": slots, "shard": [shard] * len(ids), "at": (slots - begin) * stride,
-                         "doc_id": table["doc_id"], "k": table["k"], "n_tokens": table["n_tokens"],
-                         "sha256": [hashlib.sha256(p).hexdigest() for p in ids]}, schema=out_schema)
+        at = np.arange(len(ids)) * stride
+        return pa.table({"slot": begin + np.arange(len(ids)), "shard": [shard] * len(ids), "at": at, "doc_id": doc[pick].tolist(),
+                         "k": k[pick].tolist(), "n_tokens": n[pick].tolist(), "sha256": [hashlib.sha256(p).hexdigest() for p in ids]},
+                        schema=out_schema)
 
     return rows.mapInArrow(cut, ddl).groupBy("shard").applyInArrow(write, out_ddl)
 
