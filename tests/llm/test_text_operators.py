@@ -124,7 +124,8 @@ def test_language_of_held_out_rows(spark, small):
 
 
 def test_language_of_odd_texts(spark, messy):
-    model = language_id.Model([("en", 0, "house", 9), ("de", 0, "haus", 9), ("de", 2, "ha", 5), ("en", 2, "ho", 5), ("en", 1, "a", 1)])
+    model = language_id.Model(["en", "de"])
+    model.learn(0, ["en", "de"], ["house", "haus"], [9, 9]).learn(2, ["de", "en"], ["ha", "ho"], [5, 5]).learn(1, ["en"], ["a"], [1])
     scorer = language_id.Scorer(model)
     assert scorer.predict("Haus") [0] == "de" and scorer.predict("HOUSE, house!")[0] == "en"
     assert scorer.predict("hotel")[0] == "en"           # by its letters
@@ -143,4 +144,4 @@ def test_language_of_odd_texts(spark, messy):
 def test_language_learns_from_a_bounded_sample(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = language_id.fit(docs, fit_rows=40, max_words=50, max_grams=30)
-    assert len(model.tables[0]) <= 50 and all(len(model.tables[n]) <= 30 for n in language_id.LENGTHS)
+    assert len(model.tables[0][0]) <= 50 and all(len(model.tables[n][0]) <= 30 for n in language_id.LENGTHS)

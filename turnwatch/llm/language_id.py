@@ -46,31 +46,30 @@ def held_out(id_col: str) -> Column:
 
 
 class Model:
-    """Log frequencies per language of known words and n-grams."""
-
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
-        """``counts``: (language, n-gram length or 0 for a word, entry, count)."""
-        self.langs = sorted({c[0] for c in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        tables: dict[int, dict[str, np.ndarray]] = defaultdict(dict)
-        for lang, n, entry, count in counts:
-            row = tables[n].get(entry)
-            if row is None:
-                row = tables[n][entry] = np.zeros(len(at))
-            row[at[lang]] += count
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for n, table in tables.items():
-            matrix = np.array(list(table.values())) + SMOOTH
-            logs = np.log(matrix / matrix.sum(axis=0))
-            self.tables[n] = dict(zip(table, logs))
+    """Log frequencies per language of known words and n-grams: per length (0 for words) the place
+    of each entry and a matrix with a row per entry and a column per language."""
+
+    def __init__(self, langs: list[str]):
+        self.langs = sorted(langs)
+        self.tables: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+
+    def learn(self, n: int, langs: list[str], entries: list[str], counts: list[int]) -> "Model":
+        """Take over the counts of one length."""
+        column = {lang: i for i, lang in enumerate(self.langs)}
+        place: dict[str, int] = {}
+        rows = [place.setdefault(e, len(place)) for e in entries]
+        matrix = np.full((len(place), len(column)), SMOOTH)
+        np.add.at(matrix, (rows, [column[x] for x in langs]), counts)
+        self.tables[n] = place, np.log(matrix / matrix.sum(axis=0))
+        return self
 
     def backoff(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the word's longest n-grams that are known; null if none is."""
         for n in LENGTHS:
-            known = self.tables.get(n, {})
-            rows = [known[g] for g in grams(word, n) if g in known]
+            place, logs = self.tables.get(n, ({}, None))
+            rows = [place[g] for g in grams(word, n) if g in place]
             if rows:
-                return sum(rows) / len(rows)
+                return logs[rows].mean(axis=0)
         return None
 
 
@@ -84,13 +83,12 @@ class Scorer:
     def _start(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.langs)))
-        self.known = self.model.tables.get(0, {})
+        self.known, self.logs = self.model.tables.get(0, ({}, None))
         self.used = 1  # row 0: a word that says nothing
 
     def _add(self, word: str) -> int:
-        row = self.known.get(word)
-        if row is None:
-            row = self.model.backoff(word)
+        known = self.known.get(word)
+        row = self.model.backoff(word) if known is None else self.logs[known]
         at = 0
         if row is not None:
             if self.used == len(self.rows):
@@ -159,13 +157,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = _counts(sample)
     total = (counts.groupBy("n", "entry").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
              .filter("total > 1 or n > 0").persist())
-    kept = [total.filter("n = 0").orderBy(F.desc("total"), "entry").limit(max_words)]
-    kept += [total.filter(F.col("n") == n).orderBy(F.desc("total"), "entry").limit(max_grams) for n in LENGTHS]
-    out = []
-    for frame in kept:
-        out += [(x["lang"], r["n"], r["entry"], x["count"]) for r in frame.collect() for x in r["by"]]
+    model = Model([r["lang"] for r in total.select(F.explode("by.lang").alias("lang")).distinct().collect()])
+    for n in (0, *LENGTHS):
+        kept = (total.filter(F.col("n") == n).orderBy(F.desc("total"), "entry").limit(max_words if n == 0 else max_grams)
+                .select("entry", F.explode("by").alias("b")).select("b.lang", "entry", "b.count").toArrow())
+        model.learn(n, *(kept[c].to_pylist() for c in ("lang", "entry", "count")))
     total.unpersist()
-    return Model(out)
+    return model
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
