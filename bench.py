@@ -23,7 +23,7 @@ HEADLINE = [
     "ltl_nested", "policy_replay_eval", "knn_vote", "similarity_join", "nli_rerank_vote", "hybrid_vote",
     "score_all_modes", "soft_knn", "confusion_metrics", "calibrate_thresholds", "similarity_stats",
     "pairwise_self_join", "greedy_dedup", "leader_clusters", "mmr_balanced", "hard_mining", "sentences",
-    "relevant_chunks", "judge_parse", "stream_monitor",
+    "relevant_chunks", "score_messages", "judge_parse", "stream_monitor",
 ]
 
 
