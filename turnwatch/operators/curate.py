@@ -433,11 +433,14 @@ def fix_budget(failures: DataFrame) -> DataFrame:
 
 
 def adversarial_rank(found: DataFrame, k: int = 20) -> DataFrame:
-    """Candidates with the share of positives among their neighbours and a risk band. Order by
-    ``score desc, max_pos desc`` for the most dangerous first."""
+    """Candidates with the share of positives among their neighbours, a risk band, and ``rank``: 0 for
+    the most dangerous of a proposition (share, then best similarity, then id)."""
     s = F.col("score")
     risk = F.when(s >= 0.7, "high").when(s >= 0.4, "medium").otherwise("low")
-    return knn_vote(found, k).select("msg_id", "prop", "score", "max_pos", risk.alias("risk"))
+    rows = knn_vote(found, k).select("msg_id", "prop", "score", "max_pos", risk.alias("risk"))
+    order = rows.withColumn("__share", -F.col("score")).withColumn("__best", -F.col("max_pos"))
+    return ranked(order, ["prop"], ["__share", "__best", "msg_id"], "rank").select(
+        *rows.columns, F.col("rank").cast("int").alias("rank"))
 
 
 # -- merging and sampling ----------------------------------------------------------------------------

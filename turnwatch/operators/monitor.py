@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnwatch.functions.text import strip
 from turnwatch.plans.formula import (
     RESERVED, Formula, FormulaError, read_formula, weak_yesterday)
-from turnwatch.plans.layout import TraceLayout, snapshot_nodes
+from turnwatch.plans.layout import TraceLayout, ranked, snapshot_nodes
 from turnwatch.session import broadcast_if_small
 
 # Fixed limits and roles of the message model.
@@ -264,7 +264,13 @@ def replay_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def session_summary(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions with their message counts; sessions without messages count zero."""
+    """Sessions with their message counts; sessions without messages count zero. Sessions that carry
+    ``updated_at`` also get their place in the list, ``rank`` 0 for the latest (ties by id, unknown times last)."""
     counts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("message_count"))
-    return sessions.join(counts, "conv_id", "left").withColumn(
+    out = sessions.join(counts, "conv_id", "left").withColumn(
         "message_count", F.coalesce("message_count", F.lit(0)))
+    if "updated_at" not in sessions.columns:
+        return out
+    late = out.withColumn("__one", F.lit(1)).withColumn(
+        "__late", F.coalesce(-F.unix_micros("updated_at"), F.lit(2**62)))
+    return ranked(late, ["__one"], ["__late", "conv_id"], "rank").drop("__one", "__late")

@@ -198,7 +198,8 @@ def fix_budget(spark, sf):
 
 
 @query("adversarial_rank", f"""WITH {SIM1_SQL}, {KNN_SQL} SELECT msg_id, prop, round(score,6) AS score, max_pos,
- CASE WHEN score>=0.7 THEN 'high' WHEN score>=0.4 THEN 'medium' ELSE 'low' END AS risk FROM knn""")
+ CASE WHEN score>=0.7 THEN 'high' WHEN score>=0.4 THEN 'medium' ELSE 'low' END AS risk,
+ (row_number() OVER (PARTITION BY prop ORDER BY score DESC, max_pos DESC, msg_id) - 1)::INT AS rank FROM knn""")
 def adversarial_rank(spark, sf):
     return C.adversarial_rank(searched(spark, sf, 20, views=1, floor=False)).withColumn("score", F.round("score", 6))
 

@@ -428,12 +428,15 @@ def policy_replay_outcomes(spark, sf):
     return replay(spark, sf).drop("target")
 
 
-@query("session_summary", """SELECT c_custkey AS conv_id, count(o_orderkey) AS message_count
- FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY ALL""")
+@query("session_summary", """WITH s AS (SELECT c_custkey AS conv_id, count(o_orderkey) AS message_count
+ FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY ALL)
+ SELECT *, row_number() OVER (ORDER BY conv_id*7919%1000 DESC, conv_id)-1 AS rank FROM s""")
 def session_summary(spark, sf):
-    sessions = table(spark, sf, "customer").select(F.col("c_custkey").alias("conv_id"))
+    """Sessions in the order of their last change, here a time made from the id."""
+    sessions = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("conv_id"), F.timestamp_seconds(F.col("c_custkey") * 7919 % 1000).alias("updated_at"))
     messages = table(spark, sf, "orders").select(F.col("o_custkey").alias("conv_id"))
-    return M.session_summary(messages, sessions)
+    return M.session_summary(messages, sessions).drop("updated_at")
 
 
 # -- sinks ----------------------------------------------------------------------------------------
