@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +52,22 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("language_id", language), ("line_dedup", lines), ("jaccard_join", near_copies), ("mixing", mixture), ("bpe", tokens)]
+def _shipped(stage):
+    """The stage, with the package handed to the Python workers first."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _shipped(stage)) for name, stage in (
+    ("language_id", language), ("line_dedup", lines), ("jaccard_join", near_copies), ("mixing", mixture), ("bpe", tokens))]
 #: No SQL for a trained model: ``run`` is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
