@@ -52,11 +52,16 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Rows handed to a Python worker at a time: documents are long, and the workers of all stages share an executor.
+BATCH_ROWS = 1000
+
+
 def _shipped(stage):
-    """The stage, with the package handed to the Python workers first."""
+    """The stage, with the package handed to the Python workers and their batches kept small."""
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         return stage(spark, docs, sf_dir)
     return run_stage
 
