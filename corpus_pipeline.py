@@ -41,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by calibrated probabilities."""
-    mixed = mixing.mix(docs, mix_dims(), TARGETS, mixing.word_count("text"), KEEP)
+    """A sample by raked probabilities; a category too rare for its target stays whole."""
+    mixed = mixing.mix(docs, mix_dims(), TARGETS, mixing.word_count("text"), KEEP, bounded=True)
     return mixed.filter("sampled").select(*docs.columns)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ ROUNDS = 6
 #: How a missing category is named.
 MISSING = "<null>"
 Target = float | dict[str, float]
+#: Bounded raking ends when no category is off its goal by more than this share of all tokens, or after so many passes.
+TOLERANCE, BOUNDED_ROUNDS = 1e-5, 1000
+#: Rows times columns of a cell table that the driver may hold.
+MAX_VALUES = 1_000_000
 
 
 def category(column: Column) -> Column:
@@ -74,6 +80,80 @@ def calibrate(fitted: DataFrame, keep: float) -> DataFrame:
     return fitted.withColumn("probability", p)
 
 
+def _allowed(cells: DataFrame, dim: str, target: Target, keep: float) -> DataFrame:
+    """``(dim, target, goal)``: the share a category should have, and the tokens of it to keep. A category with fewer tokens
+    than its share of the sample is kept whole, and the others of the dimension share what is left as their targets stand."""
+    have = cells.groupBy(dim).agg(F.sum("tokens").alias("tokens"))
+    rows = cut_lineage(have.join(_shares(cells, dim, target), dim).withColumnRenamed("goal", "weight"))
+    total = rows.agg(F.sum("tokens")).first()[0] or 1.0
+    return calibrate(rows, keep).select(dim, (F.col("weight") / F.lit(total)).alias("target"),
+                                        (F.col("tokens") * F.col("probability")).alias("goal"))
+
+
+def _rake_here(cells: pd.DataFrame, goals: dict[str, pd.DataFrame], tolerance: float, rounds: int) -> np.ndarray:
+    """The weights of bounded raking, for a table that was checked to be small."""
+    tokens = cells["tokens"].to_numpy(float)
+    weight, steps = tokens.copy(), []
+    for dim, goal in goals.items():
+        code, names = pd.factorize(cells[dim])
+        steps.append((code, goal.set_index(dim)["goal"].reindex(names).to_numpy(float)))
+    for _ in range(rounds):
+        for code, goal in steps:
+            have = np.bincount(code, np.minimum(tokens, weight), len(goal))
+            factor = np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)
+            weight = np.minimum(weight * factor[code], tokens * 1e100)
+        kept = np.minimum(tokens, weight)
+        if max(np.abs(np.bincount(code, kept, len(goal)) - goal).max(initial=0) for code, goal in steps) <= tolerance * tokens.sum():
+            break
+    return weight
+
+
+def rake_bounded(cells: DataFrame, targets: dict[str, Target], keep: float, tolerance: float = TOLERANCE,
+                 rounds: int = BOUNDED_ROUNDS, max_values: int = MAX_VALUES) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``cells`` with ``weight`` and ``probability``, raked under the bound that no cell gives more tokens than it has, so that
+    the expected sample itself, the share ``keep`` of all tokens, meets the goals; and the goals, ``(dim, target, goal)`` by dimension.
+
+    Where a category is too rare for its target at this ``keep``, its goal is all it has (see ``_allowed``). A pass scales the weights of
+    each category by what its capped cells leave to be met. Goals of single dimensions that no sample meets together stay off after
+    ``rounds`` passes: ``expected_shares`` tells. A table of many cells is raked in Spark, a small one on the driver, alike."""
+    cells = cut_lineage(cells)
+    goals = {dim: cut_lineage(_allowed(cells, dim, target, keep)) for dim, target in targets.items()}
+    chance = F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability")
+    if targets and 0 < cells.count() * len(cells.columns) <= max_values:
+        here = cells.toPandas()
+        here["weight"] = _rake_here(here, {dim: goal.toPandas() for dim, goal in goals.items()}, tolerance, rounds)
+        return cells.sparkSession.createDataFrame(here).select("*", chance), goals
+    fitted = cells.withColumn("weight", F.col("tokens"))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    kept = F.sum(F.least("tokens", "weight")).alias("have")
+    for _ in range(rounds if total else 0):
+        for dim, goal in goals.items():
+            sums = fitted.groupBy(dim).agg(kept).join(goal, dim)
+            factor = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
+            fitted = (fitted.join(sums.select(dim, factor.alias("factor")), dim)
+                      .withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.col("tokens") * 1e100)).drop("factor"))
+        fitted = cut_lineage(fitted)
+        off = [fitted.groupBy(dim).agg(kept).join(goal, dim).agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0]
+               for dim, goal in goals.items()]
+        if max(off, default=0.0) <= tolerance * total:
+            break
+    return fitted.select(*cells.columns, "weight", chance), goals
+
+
+def expected_shares(fitted: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """``(dim, category, target, expected)``: the share of the sample's tokens that each category should have and the
+    one it is expected to have, from cells with ``tokens`` and ``probability``."""
+    out = None
+    kept = F.sum(F.col("tokens") * F.col("probability"))
+    total = fitted.agg(F.sum("tokens"), kept).first()
+    for dim, target in targets.items():
+        rows = fitted.groupBy(dim).agg(kept.alias("kept")).join(_shares(fitted, dim, target), dim).select(
+            F.lit(dim).alias("dim"), F.col(dim).alias("category"), (F.col("goal") / F.lit(total[0] or 1.0)).alias("target"),
+            (F.col("kept") / F.lit(total[1] or 1.0)).alias("expected"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def draw(id_col: str, seed: int) -> Column:
     """A number in [0, 1) that only the id and the seed decide."""
     digest = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
@@ -81,17 +161,20 @@ def draw(id_col: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, Target], tokens: Column, keep: float,
-        id_col: str = "doc_id", seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+        id_col: str = "doc_id", seed: int = 0, rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
     """``docs`` with ``tokens``, ``probability`` and ``sampled``: every row, and whether it is in the sample.
 
     ``dims`` names the categories (source, language, topic) as expressions over ``docs``; their tokens are raked
     to ``targets`` and each row is drawn with its cell's probability by a hash of its id, so rows that repeat
     an id fare alike and a null id is drawn like any other. A null category is one of its own. Rows without tokens have probability 1: they weigh
-    nothing in any sum. Of an empty table nothing is drawn."""
+    nothing in any sum. Of an empty table nothing is drawn.
+
+    The raked weights meet the targets, but where a cell would have to give more than it has, its chance is 1 and the sample misses
+    them. With ``bounded`` the sample is raked itself (``rake_bounded``); ``rounds`` is for the other way."""
     names = {d: fresh(docs, f"cell_{d}") for d in dims}
     count, prob = fresh(docs, "tokens"), fresh(docs, "probability")
     cells = cell_table(docs, dims, tokens)
-    fitted = cut_lineage(calibrate(rake(cells, targets, rounds), keep))
+    fitted = cut_lineage(rake_bounded(cells, targets, keep)[0] if bounded else calibrate(rake(cells, targets, rounds), keep))
     rates = fitted.select(*[F.col(d).alias(names[d]) for d in dims], F.col("probability").alias(prob))
     marked = docs.withColumns({names[d]: category(c) for d, c in dims.items()} | {count: tokens.cast("long")})
     chance = F.when(F.coalesce(count, F.lit(0)) == 0, 1.0).otherwise(F.coalesce(prob, F.lit(1.0)))
@@ -100,7 +183,7 @@ def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, Target], to
                       (draw(id_col, seed) < chance).alias("sampled"))
 
 
-def _small(rates: DataFrame, max_values: int = 1_000_000) -> DataFrame:
+def _small(rates: DataFrame, max_values: int = MAX_VALUES) -> DataFrame:
     """Broadcast the cells where they are few: rows times columns are counted first."""
     return F.broadcast(rates) if rates.count() * len(rates.columns) <= max_values else rates
 
