@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from turnwatch.llm.rows import arrow_schema, part_of
 
 KEYS_DDL = "bucket int, part int, keys binary, many binary"
-FOUND_DDL = "part int, keys binary"
+FOUND_DDL, HOT_DDL = "part int, keys binary", "part int, keys binary, hot binary"
 NO_ID = -2**63
+#: Occurrences of a key in a part are counted up to here.
+MOST = 4095
 
 
 def parted(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -46,40 +48,61 @@ def slices(keys: np.ndarray, buckets: int):
         yield int(b), int(at[b]), int(at[b + 1])
 
 
-def key_rows(part: int, occurrences: np.ndarray, buckets: int) -> pa.Table:
-    """The distinct keys of a part, with a flag for those that occur more than once in it."""
+def rank_of(hashes: np.ndarray) -> np.ndarray:
+    """Trailing zeros of hashes, 15 at most: the greatest rank of d different hashes is about log2(d), whatever their copies."""
+    return np.minimum(np.bitwise_count((hashes & (~hashes + np.uint64(1))) - np.uint64(1)), 15).astype(np.uint16)
+
+
+def key_rows(part: int, occurrences: np.ndarray, buckets: int, ranks: np.ndarray | None = None) -> pa.Table:
+    """The distinct keys of a part; for each, in 16 bits, how often it occurs in it (4,095 stands for that and more)
+    and the greatest of its ``ranks``."""
     keys, n = np.unique(occurrences, return_counts=True)
+    many = np.minimum(n, MOST).astype(np.uint16) << np.uint16(4)
+    if ranks is not None and len(keys):
+        many |= np.maximum.reduceat(ranks[np.argsort(occurrences, kind="stable")], np.cumsum(n) - n)
     cut = list(slices(keys, buckets))
     return pa.table({
         "bucket": [b for b, _, _ in cut], "part": [part] * len(cut),
         "keys": [keys[s:e].tobytes() for _, s, e in cut],
-        "many": [(n[s:e] > 1).tobytes() for _, s, e in cut]}, schema=arrow_schema(KEYS_DDL))
+        "many": [many[s:e].tobytes() for _, s, e in cut]}, schema=arrow_schema(KEYS_DDL))
 
 
-def repeated_keys(keys: DataFrame) -> DataFrame:
+def repeated_keys(keys: DataFrame, hot: int | None = None) -> DataFrame:
     """From rows of ``key_rows``: ``(part, keys)``, the keys of each part that occur twice or more
-    in all parts together, sorted."""
+    in all parts together, sorted. With ``hot`` (below 4,095) also ``hot``: for each key, whether it occurs more often than that
+    with about as many different surroundings, as the ranks tell."""
+    ddl = FOUND_DDL if hot is None else HOT_DDL
+
     def find(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
         every = np.concatenate(lists)
-        many = np.frombuffer(b"".join(table["many"].to_pylist()), bool)
+        packed = np.frombuffer(b"".join(table["many"].to_pylist()), np.uint16)
+        n, ranks = (packed >> np.uint16(4)).astype(np.int64), packed & np.uint16(15)
         order = np.argsort(every, kind="stable")
         ranked = every[order]
         again = np.zeros(len(ranked), bool)
         same = ranked[1:] == ranked[:-1]
         again[1:] |= same
         again[:-1] |= same
-        flag = many.copy()
+        flag = n > 1
         flag[order] |= again
+        if hot is not None:
+            first = np.flatnonzero(np.append(True, ~same))
+            often = (np.add.reduceat(n[order], first) > hot) & (np.maximum.reduceat(ranks[order], first) >= hot.bit_length() - 1)
+            hottest = np.zeros(len(every), bool)
+            hottest[order] = np.repeat(often, np.diff(np.append(first, len(order))))
         out: dict[int, list] = {}
         ends = np.cumsum([len(x) for x in lists])
         for part, found, end in zip(table["part"].to_pylist(), lists, ends):
-            out.setdefault(part, []).append(found[flag[end - len(found):end]])
+            out.setdefault(part, []).append(np.flatnonzero(flag[end - len(found):end]) + end - len(found))
         rows = [(p, np.concatenate(x)) for p, x in out.items()]
-        rows = [(p, x.tobytes()) for p, x in rows if len(x)]
-        return pa.table({"part": [p for p, _ in rows], "keys": [x for _, x in rows]}, schema=arrow_schema(FOUND_DDL))
+        rows = [(p, every[x].tobytes(), x) for p, x in rows if len(x)]
+        columns = {"part": [r[0] for r in rows], "keys": [r[1] for r in rows]}
+        if hot is not None:
+            columns["hot"] = [hottest[r[2]].tobytes() for r in rows]
+        return pa.table(columns, schema=arrow_schema(ddl))
 
-    return keys.groupBy("bucket").applyInArrow(find, FOUND_DDL)
+    return keys.groupBy("bucket").applyInArrow(find, ddl)
 
 
 def known(table: pa.Table) -> np.ndarray:
@@ -88,6 +111,12 @@ def known(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
 
 
+def known_hot(table: pa.Table) -> np.ndarray:
+    """Those of the repeated keys that are hot, sorted."""
+    lists = [np.frombuffer(k, np.uint64)[np.frombuffer(h, bool)] for k, h in zip(table["keys"].to_pylist(), table["hot"].to_pylist())]
+    return np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
+
+
 def member(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     """Which values are among the sorted ones."""
     if not len(ranked):
