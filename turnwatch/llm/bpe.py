@@ -91,6 +91,26 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
 
 
+def token_ids(docs: DataFrame, rank_file: str, pattern: str, end: int, width: int = 2, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids)``, one row per row of ``docs``: token ids of ``width`` bytes each, little-endian, and ``end`` after the last.
+
+    A null or empty text has the end alone. ``end`` is an id that no token has; ids that do not fit ``width`` are an error."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    ddl = f"doc_id {kind}, ids binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        enc = encoding(rank_file, pattern)
+        if not enc.max_token_value < end < 1 << 8 * width:
+            raise ValueError("the end must be above all ids and fit the width")
+        for batch in batches:
+            ids = [np.asarray([*encode(enc, text.as_py() or ""), end], f"<u{width}").tobytes() for text in batch.column(1)]
+            yield arrow_batch({"doc_id": batch.column(0), "ids": ids}, schema)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
+
+
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``decoded`` bytes for rows of ``(doc_id, ids)``; null ids decode to nothing."""
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 
 from turnwatch.llm import (
     bpe, jaccard_join, language_id, line_dedup, mixing, substring_dedup, suffix_dedup, token_order, topk_search, vptree)
-from turnwatch.llm.rows import table
+from turnwatch.llm.rows import table, written
 from turnwatch.session import new_folder, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Further queries beside the one of each operator.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, into: dict = QUERIES):
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship(spark)
             return fn(spark, folder)
-        QUERIES[name] = run
+        into[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
@@ -154,6 +156,19 @@ def op9(spark, folder):
     return token_order.materialise(docs, token_order.byte_tokens("text"), new_folder(spark, "shards"), key=20240229)
 
 
+#: The end of a document and what fills its last sequence: above the 50,256 ids of the rank file.
+END_ID = 0xFFFF
+
+
+@query("op9_token_ids", into=MORE)
+def op9_ids(spark, folder):
+    """Every document's token ids written in training order: texts are encoded once, counted and written from a table."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = written(bpe.token_ids(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, END_ID), "ids")
+    return token_order.materialise(coded, F.col("ids"), new_folder(spark, "shards"), key=20240229, width=2,
+                                   pad=END_ID.to_bytes(2, "little"))
+
+
 @query("op10_substring_dedup")
 def op10(spark, folder):
     """Every document without the words of windows of twenty words that also start earlier."""
