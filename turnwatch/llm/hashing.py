@@ -1,7 +1,9 @@
 """Vectorised hashing of whole texts: bytes, words and windows of words, one batch at a time.
 
-A polynomial hash modulo 2^64 over table-mapped bytes comes from one running sum, so the hash of
-any span costs two look-ups. Two independent hashes (``seed`` 0 and 1) together make 128 bits.
+Words are hashed eight bytes at a time through a bijection of 64 bits, windows of words by joining the
+hashes of their halves; two seeds together make 128 bits. Spans of bytes take a polynomial hash modulo 2^64
+over table-mapped bytes, which comes from one running sum, so any span costs two look-ups; structured strings of
+many hundred bytes can agree in it, so it serves short spans only.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import xxhash
 
 SPACES = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, bool)
@@ -84,7 +87,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(raw)), self.count)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hash(byte_running(self.buf, seed), self.start, self.end, seed)
+        return word_hash(self.buf, self.start, self.end, seed)
 
     def windows(self, size: int) -> np.ndarray:
         """Words at which a window of ``size`` words of one document starts."""
@@ -106,6 +109,45 @@ def batches(texts, limit: int = 4_000_000):
         yield start, len(texts)
 
 
+#: Words above this many bytes are hashed one by one.
+LONG_WORD = 128
+_ODD = U64(0x9E3779B97F4A7C15)
+
+
+def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two things in a row from theirs; for either one given, a bijection of the other."""
+    return mix((left ^ (left >> U64(32))) * _ODD + right)
+
+
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each span of bytes ``[start, end)``; words of up to eight bytes never share one with each other."""
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) + U64((seed + 1) * 0xD1B54A32D192ED03 % 2**64))
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
+    at, todo = start.astype(np.int64), np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(todo):
+        left = size[todo] - done
+        lane = lanes[at[todo] + done] & (U64(2**64 - 1) >> (U64(64) - U64(8) * np.clip(left, 1, 8).astype(np.uint64)))
+        out[todo] = join_hash(out[todo], np.where(left > 0, lane, U64(0)))
+        done += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i]:end[i]].tobytes(), seed + 1)
+    return out
+
+
 def window_hash(word_hashes: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of the ``size`` words from each of ``at``."""
-    return span_hash(running(word_hashes, seed), at, at + size, seed)
+    """Hash of the ``size`` words from each of ``at``, out of hashes of 1, 2, 4 ... words."""
+    at = np.asarray(at, np.int64)
+    level, out, done, have = word_hashes, None, 0, 1
+    while True:
+        if size & have:
+            part = level[at + done]
+            out = part if out is None else join_hash(out, part)
+            done += have
+        have *= 2
+        if have > size:
+            return mix(out + U64(seed + size))
+        level = join_hash(level[:-(have // 2)], level[have // 2:]) if len(level) > have // 2 else level[:0]
