@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,3 +114,78 @@ def nearest(ids, points, k: int, every: int) -> dict[int, list[tuple]]:
         order = [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
         out[int(ids[q])] = [(int(ids[i]), float(d[i])) for i in order]
     return out
+
+
+def quality(text, window=5):
+    """Measures and the base verdict of one text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    where = {}
+    for i in range(len(words) - window + 1):
+        where.setdefault(tuple(words[i:i + window]), []).append(i)
+    again = {j for at in where.values() if len(at) > 1 for i in at for j in range(i, i + window)}
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
+    return (len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(again), failed)
+
+
+def collocations(rows, least, contained, first):
+    """``rows`` of (lang, text); plain counting of every phrase."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = []
+    for lang in sorted({l or "und" for l, t in rows}):
+        f, n = Counter(), 0
+        for l, t in rows:
+            if (l or "und") == lang:
+                for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(lower)):
+                    w = re.findall(r"[^\x20\x09]+", piece)
+                    n += len(w)
+                    f.update(tuple(w[i:i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+        found = [p for p in f if len(p) > 1 and f[p] >= least]
+        inside = {}
+        for p in found:
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    inside[p[i:i + k]] = max(inside.get(p[i:i + k], 0), f[p])
+        scored = []
+        for p in found:
+            if 100 * inside.get(p, 0) < contained * f[p]:
+                score, cut = min((2000000 * f[p] // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -f[p], " ".join(p).encode(), f[p[:cut]], f[p[cut:]]))
+        out += [(lang, r, p.decode(), -a, l, g, n, -s) for r, (s, a, p, l, g) in enumerate(sorted(scored)[:first], 1)]
+    return out
+
+
+def alignment(docs, first, second, byte_of, pieces):
+    """``first`` and ``second`` encode a text; ``byte_of`` and ``pieces`` give the bytes of an id."""
+    groups, count = {}, Counter()
+    for row, (i, text) in enumerate(docs):
+        a, b, out, ga, gb, da, db = [], [], [], [], [], b"", b""
+        if text:
+            a, b = first(text), second(text)
+            want = (" " + text).encode()
+            if b"".join(map(byte_of, a)) != want or b"".join(map(pieces, b)) != want:
+                a, b = [], []
+        a, b, n_a, n_b = list(a), list(b), len(a), len(b)
+        while a or b:
+            if len(da) <= len(db):
+                ga.append(a.pop(0))
+                da += byte_of(ga[-1])
+            else:
+                gb.append(b.pop(0))
+                db += pieces(gb[-1])
+            if len(da) == len(db):
+                out.append((ga, gb))
+                count[ga[-1], gb[-1]] += 1
+                ga, gb = [], []
+        groups[row] = (i, n_a, n_b, out)
+    best = {}
+    for (x, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    rows = []
+    for i, n_a, n_b, out in groups.values():
+        links = [(g[-1], h[-1]) for g, h in out]
+        text = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in out)
+        rows.append((i, n_a, n_b, len(out), len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links),
+                     digest(text.encode()) if out else ""))
+    return rows

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwatch.llm import (
-    bpe, jaccard_join, language_id, line_dedup, mixing, substring_dedup, suffix_dedup, token_order, topk_search, vptree)
+    alignment, bpe, collocations, jaccard_join, language_id, line_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, token_order,
+    topk_search, vptree)
 from turnwatch.llm.rows import table, written
 from turnwatch.session import new_folder, ship
 
@@ -174,3 +175,61 @@ def op10(spark, folder):
     """Every document without the words of windows of twenty words that also start earlier."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_alignment")
+def op11(spark, folder):
+    """Every document's tokens by two tokenizers, cut into groups where both end, and how common its links are."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+                           public_tokenizers.PATTERN)
+
+
+@query("op12_collocations", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, [w FOR w IN ws IF w <> ''] AS ws FROM (SELECT lang, string_split_regex(unnest(ps), '[\x20\x09]+') AS ws FROM d)),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM
+      (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) t(k) WHERE len(ws) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT lang, phrase, k, a, ws, unnest(range(1, k)) AS cut FROM c),
+scored AS (SELECT x.lang, x.phrase, x.k, x.a, x.ws, cut, l.f AS l, r.f AS r, ((2000000 * x.a::HUGEINT) // (l.f + r.f))::BIGINT AS score FROM cuts x
+           JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+           JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM
+          (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) t(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op12(spark, folder):
+    """The first two thousand collocations of each language."""
+    return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+def _rules_sql() -> str:
+    """The measures by plain windows; a document is kept where no rule fails, whatever their order."""
+    return r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
+w AS (SELECT doc_id, i, ws[i:i + 4] AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2, 3, 4]) AS j FROM twice) GROUP BY doc_id),
+m AS (SELECT d.doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+             (word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_symbols > n_words OR 100 * n_dup_lines > 60 * len(ls)
+              OR 100 * len([x FOR x IN ls IF regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')]) > 90 * len(ls)
+              OR 100 * len([x FOR x IN ls IF regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')]) > 30 * len(ls)
+              OR 100 * len([x FOR x IN ws IF regexp_matches(x, '\p{L}')]) < 50 * n_words
+              OR 100 * len(regexp_extract_all(t, '[A-Z]')) > 60 * word_chars) AS bad FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM b"""
+
+
+@query("op13_quality_rules", _rules_sql())
+def op13(spark, folder):
+    """Measures of every document and whether the rules keep it."""
+    judged = quality_rules.quality(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
