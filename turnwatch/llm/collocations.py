@@ -25,6 +25,8 @@ LEAST, CONTAINED, FIRST = 30, 80, 2000
 #: Bits of a filter of frequent phrases: 8 MB for any corpus. A wrong yes costs work, never a result.
 FILTER_BITS = 26
 BATCH_BYTES, BUCKET_BYTES = 2_000_000, 16_000_000
+#: Phrases whose counts a task holds before it hands them on.
+HELD = 200_000
 CHUNKS_DDL = "lang string, chunk binary, final boolean, n long"
 COUNTS_DDL = "bucket int, once binary, keys binary, counts binary"
 PHRASES_DDL = "lang string, phrase string, k int, n long"
@@ -227,18 +229,23 @@ def phrase_counts(chunks: DataFrame, filters: list, least: int) -> DataFrame:
     schema = arrow_schema(PHRASES_DDL)
     shared = chunks.sparkSession.sparkContext.broadcast(filters)
 
+    def rows_of(found: dict):
+        langs, phrases, ks, n = zip(*found.values())
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((langs, phrases, ks, n), schema)], schema=schema)
+
     def count(batches):
         known = shared.value
+        found: dict = {}  # by 128 bits, added up over the task and handed on when full
         for batch in batches:
             for parse, names, place, seeds, weight, opens in _parsed(batch):
                 words = np.zeros(len(names), np.int64)
                 np.add.at(words, place[opens], weight[opens])
-                rows = [(x, "", 0, int(n)) for x, n in zip(names, words)]
+                for name, n in zip(names, words.tolist()):
+                    found.setdefault(name, [name, "", 0, 0])[3] += n
+                second = word_hash(parse.buf, parse.start, parse.end, 1)
                 for k in range(1, LONGEST + 1):
                     at, grams = hopeful(parse, seeds, opens, known, k)
                     at = at[has(known[k - 1], grams[k - 1][at])]
-                    # Words of a batch are told apart by 128 bits.
-                    second = word_hash(parse.buf, parse.start, parse.end, 1)
                     more = second[at]
                     for j in range(1, k):
                         more = join_hash(more, second[at + j])
@@ -248,9 +255,18 @@ def phrase_counts(chunks: DataFrame, filters: list, least: int) -> DataFrame:
                         continue
                     head = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (then[1:] != then[:-1])))
                     total = np.add.reduceat(weight[at][order], head)
-                    rows += [(names[place[i]], parse.text(i, k).decode(), k, n)
-                             for i, n in zip(at[order[head]].tolist(), total.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    for key in zip(first[head].tolist(), then[head].tolist(), at[order[head]].tolist(), total.tolist()):
+                        row = found.get(key[:2])
+                        if row is None:
+                            i = key[2]
+                            found[key[:2]] = [names[place[i]], parse.text(i, k).decode(), k, key[3]]
+                        else:
+                            row[3] += key[3]
+                if len(found) > HELD:
+                    yield rows_of(found)
+                    found = {}
+        if found:
+            yield rows_of(found)
 
     return (chunks.mapInArrow(count, PHRASES_DDL).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
             .filter((F.col("n") >= least) | (F.col("k") == 0)))
