@@ -60,6 +60,49 @@ def rake(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) ->
     return fitted
 
 
+def _goals_here(cells: pd.DataFrame, dim: str, target: Target) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_shares`` for a small table: the code of each cell, the tokens of each category and its goal."""
+    code, names = pd.factorize(cells[dim])
+    have = np.bincount(code, cells["tokens"], len(names))
+    raw = np.array([float(target.get(n, 0.0)) for n in names]) if isinstance(target, dict) else have ** float(target)
+    return code, have, raw / (raw.sum() or 1.0) * have.sum()
+
+
+def _calibrated_here(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.ndarray:
+    """``calibrate`` for a small table."""
+    rate, scale, full = weight / tokens, 0.0, -1
+    while True:
+        capped = (rate * scale >= 1) & (rate > 0)
+        fixed, free = tokens[capped].sum(), weight[~capped].sum()
+        if capped.sum() == full or not free:
+            break
+        full, scale = capped.sum(), (keep * tokens.sum() - fixed) / free
+    return np.where(rate > 0, np.minimum(1.0, rate * scale) if free else 1.0, 0.0)
+
+
+def fit_small(cells: pd.DataFrame, targets: dict[str, Target], keep: float, rounds: int = ROUNDS) -> pd.DataFrame:
+    """``calibrate(rake(...))`` for a table that was checked to be small: no job but the one that made it."""
+    steps = [_goals_here(cells, dim, target) for dim, target in targets.items()]
+    tokens = cells["tokens"].to_numpy(float)
+    weight = tokens.copy()
+    for _ in range(rounds):
+        for code, _, goal in steps:
+            have = np.bincount(code, weight, len(goal))
+            weight = weight * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[code]
+    return cells.assign(weight=weight, probability=_calibrated_here(tokens, weight, keep))
+
+
+def fit_small_bounded(cells: pd.DataFrame, targets: dict[str, Target], keep: float) -> pd.DataFrame:
+    """``rake_bounded`` for a table that was checked to be small."""
+    goals = {}
+    for dim, target in targets.items():
+        code, have, goal = _goals_here(cells, dim, target)
+        names = pd.factorize(cells[dim])[1]
+        goals[dim] = pd.DataFrame({dim: names, "goal": have * _calibrated_here(have, goal, keep)})
+    weight = _rake_here(cells, goals, TOLERANCE, BOUNDED_ROUNDS)
+    return cells.assign(weight=weight, probability=np.minimum(1.0, weight / cells["tokens"].to_numpy(float)))
+
+
 def calibrate(fitted: DataFrame, keep: float) -> DataFrame:
     """``fitted`` with ``probability``: proportional to weight per token, 1 at most, such that the
     share ``keep`` of all tokens is expected to stay (or less, where cells of no weight leave less)."""
@@ -174,7 +217,13 @@ def mix(docs: DataFrame, dims: dict[str, Column], targets: dict[str, Target], to
     names = {d: fresh(docs, f"cell_{d}") for d in dims}
     count, prob = fresh(docs, "tokens"), fresh(docs, "probability")
     cells = cell_table(docs, dims, tokens)
-    fitted = cut_lineage(rake_bounded(cells, targets, keep)[0] if bounded else calibrate(rake(cells, targets, rounds), keep))
+    cells = cut_lineage(cells)
+    if targets and 0 < cells.count() * len(cells.columns) <= MAX_VALUES:
+        here = cells.toPandas()
+        here = fit_small_bounded(here, targets, keep) if bounded else fit_small(here, targets, keep, rounds)
+        fitted = cells.sparkSession.createDataFrame(here)
+    else:
+        fitted = cut_lineage(rake_bounded(cells, targets, keep)[0] if bounded else calibrate(rake(cells, targets, rounds), keep))
     rates = fitted.select(*[F.col(d).alias(names[d]) for d in dims], F.col("probability").alias(prob))
     marked = docs.withColumns({names[d]: category(c) for d, c in dims.items()} | {count: tokens.cast("long")})
     chance = F.when(F.coalesce(count, F.lit(0)) == 0, 1.0).otherwise(F.coalesce(prob, F.lit(1.0)))
