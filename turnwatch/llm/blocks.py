@@ -30,8 +30,13 @@ def meet(queries: DataFrame, items: DataFrame, query_blocks: int, item_blocks: i
     return left.join(right.hint("shuffle_hash"), ["ib", "qb"])
 
 
+def query_row(block: int, rows: int) -> list[int]:
+    """A number for each row of a query block: rows that repeat an id are queries of their own."""
+    return [block << 32 | i for i in range(rows)]
+
+
 def best(partial: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """The ``k`` first rows of each query by ``order``, with their rank from 1. Each query has at
+    """The ``k`` first rows of each ``query_row`` by ``order``, with their rank from 1. Each query has at
     most ``k`` partial rows per item block."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(*order))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k)

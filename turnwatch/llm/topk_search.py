@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.blocks import best, block_count, block_of, finite, meet
+from turnwatch.llm.blocks import best, block_count, block_of, finite, meet, query_row
 from turnwatch.llm.rows import arrow_batch, arrow_schema
 
 #: Rows of a block of items and of a block of queries, and queries scored together.
@@ -31,6 +31,8 @@ def _pack(rows: DataFrame, blocks: int, key: str) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def pack(group, table):
+        # The same order whenever the block is packed.
+        table = table.take(pa.array(sorted(range(len(table)), key=list(zip(*(table[c].to_pylist() for c in ("id", "terms", "weights")))).__getitem__)))
         terms = table["terms"].combine_chunks()
         n = np.asarray(terms.value_lengths())
         t = np.asarray(terms.flatten(), np.int32)
@@ -86,10 +88,10 @@ def topk_search(queries: DataFrame, items: DataFrame, k: int, item_block: int =
     ``(id, terms, weights)`` with distinct terms; a missing term counts as zero, and so an empty row scores zero everywhere.
 
     Every query meets every item, block by block. Fewer than ``k`` items give fewer rows; an empty
-    side gives none. Rows that repeat an id are items of their own. Sums must fit a 64-bit integer."""
+    side gives none. Rows that repeat an id are items, and queries, of their own. Sums must fit a 64-bit integer."""
     items_n, queries_n = items.count(), queries.count()
     ib, qb = block_count(items_n, item_block), block_count(queries_n, query_block)
-    ddl = "query_id long, item_id long, score long"
+    ddl = "query_row long, query_id long, item_id long, score long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -102,13 +104,15 @@ def topk_search(queries: DataFrame, items: DataFrame, k: int, item_block: int =
                     count = min(TILE, len(own) - first)
                     scores = _accumulate(get["ib_terms"], get["ib_rows"], get["ib_weights"], get["qb_terms"],
                                          get["qb_rows"], get["qb_weights"], len(ids), first, count)
-                    q, i, s = [], [], []
+                    q, i, s, rows = [], [], [], []
+                    numbers = query_row(r["qb"], len(own))
                     for j in range(count):
                         pick = select(scores[j], ids, own[first + j], k)
                         q += [own[first + j]] * len(pick)
+                        rows += [numbers[first + j]] * len(pick)
                         i.append(ids[pick])
                         s.append(scores[j][pick])
-                    yield arrow_batch({"query_id": q, "item_id": np.concatenate(i), "score": np.concatenate(s)}, schema)
+                    yield arrow_batch({"query_row": rows, "query_id": q, "item_id": np.concatenate(i), "score": np.concatenate(s)}, schema)
 
     pairs = meet(_pack(queries, qb, "qb"), _pack(items, ib, "ib"), qb, ib)
     partial = pairs.mapInArrow(run, ddl)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.blocks import best, block_count, block_of, finite, meet
+from turnwatch.llm.blocks import best, block_count, block_of, finite, meet, query_row
 from turnwatch.llm.rows import arrow_batch, arrow_schema
 
 SHARD, QUERY_BLOCK, LEAF = 8192, 2048, 64
@@ -103,7 +103,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(table["id"], np.int64)
-    return ids, np.asarray(table["vec"].combine_chunks().flatten(), float).reshape(len(ids), -1)
+    points = np.asarray(table["vec"].combine_chunks().flatten(), float).reshape(len(ids), -1)
+    # The same order whenever a block is built.
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], points[i].tobytes()))
+    return ids[order], points[order]
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, factor: float = FACTOR, shard: int = SHARD,
@@ -113,7 +116,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, factor: float = FACTOR
 
     Both sides are rows of ``(id, dim, vec)`` from ``usable``; vectors of other lengths than the query's
     are no candidates. Each shard of items is a tree, built once as a row of its own; every query
-    block searches every tree. Fewer items give fewer rows; an empty side gives none."""
+    block searches every tree. Fewer items give fewer rows; an empty side gives none. Rows that
+    repeat an id are items, and queries, of their own."""
     if factor < 1:
         raise ValueError("factor below 1")
     ib, qb = block_count(items.count(), shard), block_count(queries.count(), query_block)
@@ -135,7 +139,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, factor: float = FACTOR
 
     trees = items.withColumn("ib", block_of("id", ib)).groupBy("ib", "dim").applyInArrow(build, tree_ddl)
     blocks = queries.withColumn("qb", block_of("id", qb)).groupBy("qb", "dim").applyInArrow(pack, block_ddl)
-    ddl = "query_id long, item_id long, score double"
+    ddl = "query_row long, query_id long, item_id long, score double"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -147,7 +151,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, factor: float = FACTOR
                 own = np.frombuffer(r["q_ids"], np.int64)
                 i, d = tree.search(np.frombuffer(r["q_points"]).reshape(-1, dim), own, k, factor, leaf)
                 real = np.isfinite(d)
-                yield arrow_batch({"query_id": np.broadcast_to(own[:, None], i.shape)[real], "item_id": i[real],
+                rows = np.array(query_row(r["qb"], len(own)), np.int64)
+                yield arrow_batch({"query_row": np.broadcast_to(rows[:, None], i.shape)[real],
+                                   "query_id": np.broadcast_to(own[:, None], i.shape)[real], "item_id": i[real],
                                    "score": d[real]}, schema)
 
     pairs = meet(blocks, trees, qb, ib).filter("dim = q_dim")
