@@ -141,8 +141,8 @@ def entries(docs: DataFrame, id_col: str, text_col: str, representatives: DataFr
     prefix has too, with its place in the set's rare-first order; and, without a token, a row with the fine ranges of
     each set that has such a shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    source = parted(docs, id_col, text_col, parts)
-    chosen = representatives.select(part_of("doc", parts).alias("part"), "doc")
+    source = parted(docs, id_col, text_col, parts, by_id=True)
+    chosen = representatives.select(part_of(["doc"], parts).alias("part"), "doc")
 
     def sets_of(rows, wanted):
         _, ids, texts = part_rows(rows)
@@ -293,7 +293,7 @@ class Join:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  percent: int = PERCENT, parts: int | None = None, block: int = BLOCK):
         self.docs, self.id_col, self.text_col, self.words = docs, id_col, text_col, words
-        self.percent, self.block, self.parts = percent, block, parts or parts_of(docs.sparkSession)
+        self.percent, self.block, self.parts = percent, block, parts or parts_of(docs, text_col)
         rows = written(summaries(docs, id_col, text_col, words), "summaries")
         self.sizes = rows.filter("slice IS NULL").select("doc", "n", "h1", "h2")
         full = self.sizes.filter("n > 0 AND doc IS NOT NULL")

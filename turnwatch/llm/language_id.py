@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.rows import arrow_batch, arrow_schema, fresh
+from turnwatch.llm.rows import arrow_batch, arrow_schema, fresh, tidy
 
 #: The model is fitted on about this many labelled rows, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -177,6 +177,8 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         scorer = Scorer(shared.value)
         for texts in series:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+        del scorer
+        tidy()
 
     found = docs.withColumn(out, find(F.col(text_col)))
     return found.select(*docs.columns, F.col(out)["lang"].alias("lang_pred"), F.col(out)["score"].alias("score"))

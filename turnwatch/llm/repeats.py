@@ -1,6 +1,6 @@
 """Which hashed keys occur more than once in a corpus, found without moving a row per occurrence.
 
-Documents are dealt to parts by a hash of their id. A part sums up its keys, so that a key crosses
+Documents are dealt to parts by a hash of their id and text. A part sums up its keys, so that a key crosses
 the shuffle once per part at most, however often it occurs; keys travel as sorted arrays, dealt to
 buckets by their high bits. A bucket tells each part which of its keys occur anywhere else.
 """
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwatch.llm.rows import arrow_schema, part_of
+from turnwatch.llm.rows import arrow_schema, part_of, tidy
 
 KEYS_DDL = "bucket int, part int, keys binary, many binary"
 FOUND_DDL, HOT_DDL = "part int, keys binary", "part int, keys binary, hot binary"
@@ -21,16 +21,17 @@ NO_ID = -2**63
 MOST = 4095
 
 
-def parted(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """``(part, id, text)``. Ids are integers; every step groups this frame by ``part``, so the
-    planner shuffles the texts once and reuses that exchange."""
-    return docs.select(part_of(id_col, parts).alias("part"), F.col(id_col).cast("long").alias("id"),
+def parted(docs: DataFrame, id_col: str, text_col: str, parts: int, by_id: bool = False) -> DataFrame:
+    """``(part, id, text)``. A part is chosen by id and text, so that rows of one id (or none) do not meet
+    in one; ``by_id`` chooses by the id alone. Ids are integers; every step groups this frame by ``part``, so the planner shuffles the texts once and reuses that exchange."""
+    return docs.select(part_of([id_col] if by_id else [id_col, text_col], parts).alias("part"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).alias("text"))
 
 
 def part_rows(table: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     """Ids as given, ids as numbers (a null one before all others) and texts as bytes (a null one
     empty) of a part, by id and text: the same order whenever the part is read."""
+    tidy()
     rows = sorted(zip(table["id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist()),
                   key=lambda r: (NO_ID if r[0] is None else r[0], r[1] or b""))
     ids = [r[0] for r in rows]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +35,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def parts_of(spark: SparkSession) -> int:
-    """How many key ranges to deal work to: twice the session's shuffle partitions, and some more
-    where those are few, so that the arrays of a range stay small."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 64
+#: Bytes of text of a part, which a task holds as a whole.
+PART_BYTES = 3_000_000
+
+
+def parts_of(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> int:
+    """How many parts to deal texts and keys to: one for every ``part_bytes`` of text, so that a part does not
+    grow with the data, and no fewer than give the cluster's tasks some each."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 64
+    return max(least, math.ceil(size / part_bytes))
+
+
+def part_of(columns: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
-def part_of(column: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+def tidy() -> None:
+    """Give back what freed arrays and tables held: a Python worker lives on for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -12,7 +12,7 @@ from turnwatch.llm.repeats import (
 from turnwatch.llm.rows import arrow_schema, parts_of
 
 SIZE = 20
-SEED = 10
+SEED = 5
 #: Bytes of texts hashed together.
 BATCH_BYTES = 1_000_000
 WINDOWS_DDL = "bucket int, part int, own boolean, h1 binary, h2 binary, doc binary, at binary, row binary"
@@ -82,7 +82,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text that is null, empty or shorter than a window loses nothing. A null id stands before all
     others. Rows that repeat an id and a text stand at the same places: neither comes later. Ids are
     integers; other columns of ``docs`` are not read."""
-    parts = parts or parts_of(docs.sparkSession)
+    parts = parts or parts_of(docs, text_col)
     source = parted(docs, id_col, text_col, parts)
     levels = lengths(seed, size)
     steps = levels[:-1]

@@ -157,7 +157,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents of their own, so a repeated row of ``size`` bytes or more is removed. Ids are integers; other columns are not read."""
     if size % step or not 0 < gram <= size:
         raise ValueError("size must be a multiple of step and no less than gram")
-    parts = parts or parts_of(docs.sparkSession)
+    parts = parts or parts_of(docs, text_col)
     source = parted(docs, id_col, text_col, parts)
 
     def count(key, table):
