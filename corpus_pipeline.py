@@ -56,13 +56,25 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+#: The columns of ``documents`` that stages work on.
+CORE = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def _shipped(stage):
-    """The stage, with the package handed to the Python workers and their batches kept small."""
+    """The stage, with the package handed to the Python workers and their batches kept small. Further columns
+    travel packed in one, so that none of them meets a name that an operator adds."""
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
+        extra = [c for c in docs.columns if c.lower() not in CORE]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        core = [c for c in docs.columns if c not in extra]
+        out = stage(spark, docs.select(*core, F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_extra")), sf_dir)
+        if "_extra" not in out.columns:
+            return out
+        return out.select(*[F.col(f"_extra.`{c}`") if c in extra else F.col(c) for c in docs.columns])
     return run_stage
 
 
