@@ -102,5 +102,5 @@ def test_pipeline_stages(spark, small, docs, tmp_path):
 
 
 def test_registered():
-    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{n}" for n in range(1, 14))
     assert corpus_pipeline.QUERIES["pipeline"] is corpus_pipeline.run and 4 <= len(corpus_pipeline.STAGES) <= 5
