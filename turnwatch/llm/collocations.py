@@ -24,9 +24,7 @@ LONGEST, OVERLAP, EVERY = 4, 3, 12
 LEAST, CONTAINED, FIRST = 30, 80, 2000
 #: Bits of a filter of frequent phrases: 8 MB for any corpus. A wrong yes costs work, never a result.
 FILTER_BITS = 26
-BATCH_BYTES, BUCKET_BYTES = 2_000_000, 16_000_000
-#: Phrases whose counts a task holds before it hands them on.
-HELD = 200_000
+BATCH_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
 CHUNKS_DDL = "lang string, chunk binary, final boolean, n long"
 COUNTS_DDL = "bucket int, once binary, keys binary, counts binary"
 PHRASES_DDL = "lang string, phrase string, k int, n long"
@@ -54,7 +52,12 @@ class Parse:
         self.run = np.ones(len(piece), np.int8)
         for k in range(1, LONGEST):
             self.run[:-k][piece[k:] == piece[:-k]] = k + 1
-        self.piece = piece
+        # One line feed or space between two words, whatever stood there.
+        keep = ~gap[1:]
+        keep[self.end] = True
+        self.buf[self.end] = np.where(np.diff(piece, append=-1) != 0, 10, 32)
+        place = np.cumsum(keep) - 1
+        self.buf, self.start, self.end = self.buf[keep], place[self.start], place[self.end]
         self.hash = word_hash(self.buf, self.start, self.end)
 
     def grams(self, seed: np.ndarray | None = None) -> list[np.ndarray]:
@@ -67,8 +70,12 @@ class Parse:
             out.append(nxt)
         return out
 
-    def text(self, i: int, k: int) -> bytes:
-        return b" ".join(self.buf[self.start[j]:self.end[j]].tobytes() for j in range(i, i + k))
+    def phrases(self, at: np.ndarray, k: int) -> pa.Array:
+        """The ``k`` words from each of ``at``, joined by one space."""
+        first, size = self.start[at], self.end[at + k - 1] - self.start[at]
+        ends = np.append(0, np.cumsum(size))
+        data = self.buf[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def border(parse: Parse, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +160,19 @@ def dictionary(docs: DataFrame, lang: Column, text_col: str, every: int = EVERY)
     return rows.groupBy("lang", "chunk", "final").agg(F.sum("n").alias("n"))
 
 
+def _joined(batches):
+    """Batches of chunks put together to about ``BATCH_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _parsed(batch):
     """Parses of the chunks of a batch: the parse, names and places of languages, weight and chunk of each
     word, and the words that start phrases (those before the overlap)."""
@@ -192,7 +212,7 @@ def frequent(chunks: DataFrame, filters: list, k: int, least: int, buckets: int)
 
     def count(batches):
         known = [None] * (k - 2) + shared.value if k > 1 else []
-        for batch in batches:
+        for batch in _joined(batches):
             for parse, _, _, seeds, weight, opens in _parsed(batch):
                 at, grams = hopeful(parse, seeds, opens, known, k)
                 keys, _, n = groups(grams[k - 1][at], weight[at])
@@ -229,44 +249,32 @@ def phrase_counts(chunks: DataFrame, filters: list, least: int) -> DataFrame:
     schema = arrow_schema(PHRASES_DDL)
     shared = chunks.sparkSession.sparkContext.broadcast(filters)
 
-    def rows_of(found: dict):
-        langs, phrases, ks, n = zip(*found.values())
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((langs, phrases, ks, n), schema)], schema=schema)
-
     def count(batches):
         known = shared.value
-        found: dict = {}  # by 128 bits, added up over the task and handed on when full
-        for batch in batches:
+        for batch in _joined(batches):
             for parse, names, place, seeds, weight, opens in _parsed(batch):
+                langs = pa.array(names, pa.string())
                 words = np.zeros(len(names), np.int64)
                 np.add.at(words, place[opens], weight[opens])
-                for name, n in zip(names, words.tolist()):
-                    found.setdefault(name, [name, "", 0, 0])[3] += n
+                none = pa.array([""] * len(names), pa.string())
+                yield pa.RecordBatch.from_arrays([langs, none, pa.array(np.zeros(len(names), np.int32)), pa.array(words)], schema=schema)
                 second = word_hash(parse.buf, parse.start, parse.end, 1)
                 for k in range(1, LONGEST + 1):
                     at, grams = hopeful(parse, seeds, opens, known, k)
                     at = at[has(known[k - 1], grams[k - 1][at])]
+                    if not len(at):
+                        continue
+                    # Phrases of a batch are told apart by 128 bits.
                     more = second[at]
                     for j in range(1, k):
                         more = join_hash(more, second[at + j])
                     order = np.lexsort((more, grams[k - 1][at]))
                     first, then = grams[k - 1][at][order], more[order]
-                    if not len(order):
-                        continue
                     head = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (then[1:] != then[:-1])))
                     total = np.add.reduceat(weight[at][order], head)
-                    for key in zip(first[head].tolist(), then[head].tolist(), at[order[head]].tolist(), total.tolist()):
-                        row = found.get(key[:2])
-                        if row is None:
-                            i = key[2]
-                            found[key[:2]] = [names[place[i]], parse.text(i, k).decode(), k, key[3]]
-                        else:
-                            row[3] += key[3]
-                if len(found) > HELD:
-                    yield rows_of(found)
-                    found = {}
-        if found:
-            yield rows_of(found)
+                    pick = at[order[head]]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(place[pick])), parse.phrases(pick, k),
+                                                      pa.array(np.full(len(pick), k, np.int32)), pa.array(total)], schema=schema)
 
     return (chunks.mapInArrow(count, PHRASES_DDL).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
             .filter((F.col("n") >= least) | (F.col("k") == 0)))
