@@ -32,6 +32,7 @@ class TraceLayout:
         self.key, self.order = key, order
         self.segment_rows = segment_rows
         self.long_keys, self.long_rows = long_keys, long_rows
+        self._carried: dict[str, Column] = {}
 
     @classmethod
     def of(cls, df: DataFrame, key: str | list[str], order: str | list[str],
@@ -112,9 +113,12 @@ class TraceLayout:
     # -- temporal formulas -----------------------------------------------------------
 
     def evaluate(self, df: DataFrame, formulas: dict[str, Formula], props: dict[str, Column],
-                 snapshot: bool = False) -> DataFrame:
+                 snapshot: bool = False, carried: dict[str, Column] | None = None) -> DataFrame:
         """Add one boolean column per formula. ``snapshot`` adds one per sub-formula,
-        named ``sub_<i>`` in the order of ``snapshot_labels``."""
+        named ``sub_<i>`` in the order of ``snapshot_labels``. ``carried`` gives, by label, what a temporal
+        sub-formula brings along from steps before the first row of a trace (null: nothing); its columns
+        are the same in all rows of a trace."""
+        self._carried = carried or {}
         levels = shared_levels(list(formulas.values()))
         slots: dict[str, str] = {}
         named = []
@@ -135,6 +139,11 @@ class TraceLayout:
                 result[f"sub_{i}"] = boolean_column(node, slots, props)
         return out.select(*df.columns, *[c.alias(n) for n, c in result.items()])
 
+    def _or_before(self, value: Column, node: Formula, start: bool) -> Column:
+        """What a node has before anything in the trace settles it: the carried value, or its start."""
+        before = [self._carried[node.label]] if node.label in self._carried else []
+        return F.coalesce(value, *before, F.lit(start))
+
     def _run_whole(self, df: DataFrame, named) -> DataFrame:
         along = self._along()
         frame = along.rowsBetween(Window.unboundedPreceding, 0)
@@ -142,10 +151,11 @@ class TraceLayout:
             cols = []
             for name, node, inputs in step:
                 if node.op in ("Y", "Z"):
-                    value = F.lag(inputs[0], 1, before_first(node)).over(along)
+                    value, start = F.lag(inputs[0], 1).over(along), before_first(node)
                 else:
                     change, start = settled(node, inputs)
-                    value = F.coalesce(F.last(change, ignorenulls=True).over(frame), F.lit(start))
+                    value = F.last(change, ignorenulls=True).over(frame)
+                value = self._or_before(value, node, start)
                 cols.append(value.alias(name))
             df = df.select("*", *cols)
         return df
@@ -154,23 +164,23 @@ class TraceLayout:
         local = self._within()
         frame = local.rowsBetween(Window.unboundedPreceding, 0)
         position = F.struct(*self.order)
-        summaries, carries, local_cols = {}, {}, []
+        summaries, carries, starts, local_cols = {}, {}, {}, []
         for name, node, inputs in step:
             if node.op in ("Y", "Z"):
                 local_cols.append(F.lag(inputs[0], 1).over(local).alias(name))
                 summaries[f"__s{name}"] = F.max_by(inputs[0], position)
-                carries[f"__c{name}"] = lambda w, n=name, d=before_first(node): F.coalesce(
-                    F.lag(f"__s{n}", 1).over(w), F.lit(d))
+                starts[name] = node, before_first(node)
+                carries[f"__c{name}"] = lambda w, n=name: F.lag(f"__s{n}", 1).over(w)
             else:
                 change, start = settled(node, inputs)
                 local_cols.append(F.last(change, ignorenulls=True).over(frame).alias(name))
                 summaries[f"__s{name}"] = F.max_by(change, F.when(change.isNotNull(), position))
-                carries[f"__c{name}"] = lambda w, n=name, d=start: F.coalesce(
-                    F.last(f"__s{n}", ignorenulls=True).over(
-                        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(d))
+                starts[name] = node, start
+                carries[f"__c{name}"] = lambda w, n=name: F.last(f"__s{n}", ignorenulls=True).over(
+                    w.rowsBetween(Window.unboundedPreceding, -1))
         rows = self._fold(df.select("*", *local_cols), summaries, carries)
         for name, _, _ in step:
-            rows = rows.withColumn(name, F.coalesce(F.col(name), F.col(f"__c{name}")))
+            rows = rows.withColumn(name, self._or_before(F.coalesce(F.col(name), F.col(f"__c{name}")), *starts[name]))
         return cut_lineage(rows.drop(*carries))
 
 
