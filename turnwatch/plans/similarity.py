@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -286,6 +288,41 @@ def view_scores(messages: DataFrame, refs: DataFrame,
     return messages.mapInArrow(scan, f"{messages._jdf.schema().toDDL()}, view_max array<double>")
 
 
+def view_scores_by(messages: DataFrame, refs: DataFrame, group: str = "prop",
+                   broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """``view_scores`` against each group of ``refs(<group>, id, embedding)`` by itself: a row per message and group."""
+    names = refs.select(group).distinct().orderBy(group).toArrow()[group]  # one per proposition
+    kind = refs.schema[group].dataType.simpleString()
+    rows, width = refs.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if not rows or rows * max(1, width or 1) > broadcast_values:
+        parts = [view_scores(messages, refs.filter(F.col(group) == F.lit(n.as_py())), broadcast_values)
+                 .withColumn(group, F.lit(n.as_py()).cast(kind)) for n in names]
+        empty = messages.limit(0).withColumns({"view_max": F.lit(None).cast("array<double>"), group: F.lit(None).cast(kind)})
+        return reduce(DataFrame.unionByName, parts, empty)
+    table = refs.select(group, "embedding").toArrow().combine_chunks()  # size checked above
+    matrices = []
+    for name in names:
+        vectors = table.filter(pc.equal(table[group], name))["embedding"].combine_chunks()
+        matrices.append((name, units(np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1))))
+    shared = messages.sparkSession.sparkContext.broadcast(matrices)
+    at = messages.columns.index("views")
+
+    def scan(batches):
+        for batch in batches:
+            views = batch.column(at)
+            view_rows, _ = _unpack_views(views)
+            offsets = pa.array(views.offsets.to_numpy() - views.offsets[0].as_py(), pa.int32())
+            for name, matrix in shared.value:
+                step = max(1, CELLS // len(matrix))
+                best = np.concatenate([np.zeros(0)] + [(np.rint(view_rows[i:i + step] @ matrix.T * SCALE) / SCALE).max(axis=1)
+                                                       for i in range(0, len(view_rows), step)])
+                scores = pa.ListArray.from_arrays(offsets, pa.array(best, pa.float64()))
+                own = pa.array([name.as_py()] * batch.num_rows, name.type)
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores, own], names=[*batch.schema.names, "view_max", group])
+
+    return messages.mapInArrow(scan, f"{messages._jdf.schema().toDDL()}, view_max array<double>, {group} {kind}")
+
+
 # -- comparisons inside a group -------------------------------------------------------
 
 class Block:
