@@ -69,7 +69,7 @@ def test_collocations(spark, messy, nothing, every):
 def test_chunks_count_each_phrase_once():
     """Phrases that start before the overlap of their chunk are those of the text, whatever the borders."""
     text = ("a b c d a b c d e f, " * 30 + "g " * 50).encode()
-    whole = collocations.Parse([text])
+    whole = collocations.Parse.of_texts([text])
     for every in (1, 2, 5, 50):
         begin, end, final = collocations.border(whole, every)
         seen = []
@@ -83,7 +83,7 @@ def test_full_filter_changes_nothing(spark, messy, monkeypatch):
     """A filter that says yes to everything costs work only."""
     docs = messy.select("lang", "text")
     want = plain(collocations.collocations(docs, least=3, first=50).collect())
-    monkeypatch.setattr(collocations, "frequent", lambda *a: np.full(1 << collocations.FILTER_BITS - 6, 2**64 - 1, np.uint64))
+    monkeypatch.setattr(collocations, "frequent", lambda chunks, filters, lengths, *a: [np.full(1 << collocations.FILTER_BITS - 6, 2**64 - 1, np.uint64)] * len(lengths))
     assert want and plain(collocations.collocations(docs, least=3, first=50).collect()) == want
 
 

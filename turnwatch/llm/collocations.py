@@ -26,7 +26,7 @@ LEAST, CONTAINED, FIRST = 30, 80, 2000
 FILTER_BITS = 26
 BATCH_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
 CHUNKS_DDL = "lang string, chunk binary, final boolean, n long"
-COUNTS_DDL = "bucket int, once binary, keys binary, counts binary"
+COUNTS_DDL = "k int, bucket int, once binary, keys binary, counts binary"
 PHRASES_DDL = "lang string, phrase string, k int, n long"
 # Breaks become line feeds, tabs spaces, A-Z lower case.
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -36,35 +36,47 @@ U64 = np.uint64
 
 class Parse:
     """Words of texts that were joined by NUL-free borders: ``first[t]:first[t + 1]`` are those of text ``t``.
-    ``run`` tells how many words from each word on belong to the same piece, up to ``LONGEST``."""
-
-    def __init__(self, raw: list[bytes]):
-        self.buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-        self.buf = _TABLE[self.buf]
+    ``run`` tells how many words from each word on belong to the same piece, up to ``LONGEST``. Between two words
+    ``buf`` has one line feed or space, whatever stood there, and a line feed behind each text."""
+
+    def __init__(self, buf: np.ndarray, end: np.ndarray, first: np.ndarray):
+        self.buf, self.end, self.first = buf, end, first
+        self.start = np.append(0, end[:-1] + 1) if len(end) else end
+        broken = buf[end] == 10
+        self.run = np.ones(len(end), np.int8)
+        same = np.ones(len(end), bool)
+        for k in range(1, LONGEST):
+            same = same[:-1] & ~broken[k - 1:-1]
+            self.run[:len(same)][same] = k + 1
+        self.hash = word_hash(buf, self.start, end)
+
+    @classmethod
+    def of_texts(cls, raw: list[bytes]) -> Parse:
+        """The words of raw texts in UTF-8."""
+        buf = _TABLE[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
         ends = np.cumsum([len(r) + 1 for r in raw])
-        gap = np.ones(len(self.buf) + 1, bool)
-        gap[1:] = (self.buf == 10) | (self.buf == 32)
+        gap = np.ones(len(buf) + 1, bool)
+        gap[1:] = (buf == 10) | (buf == 32)
         turn = np.flatnonzero(gap[1:] != gap[:-1])
-        self.start, self.end = turn[::2], turn[1::2]
-        self.first = np.searchsorted(self.start, np.append(0, ends))
-        breaks = np.append(0, np.cumsum(self.buf == 10))
-        piece = breaks[self.start]
-        self.run = np.ones(len(piece), np.int8)
-        for k in range(1, LONGEST):
-            self.run[:-k][piece[k:] == piece[:-k]] = k + 1
-        # One line feed or space between two words, whatever stood there.
+        start, end = turn[::2], turn[1::2]
+        first = np.searchsorted(start, np.append(0, ends))
+        piece = np.append(0, np.cumsum(buf == 10))[start]
         keep = ~gap[1:]
-        keep[self.end] = True
-        self.buf[self.end] = np.where(np.diff(piece, append=-1) != 0, 10, 32)
-        place = np.cumsum(keep) - 1
-        self.buf, self.start, self.end = self.buf[keep], place[self.start], place[self.end]
-        self.hash = word_hash(self.buf, self.start, self.end)
-
-    def grams(self, seed: np.ndarray | None = None) -> list[np.ndarray]:
-        """Hashes of the phrases of 1 to ``LONGEST`` words from each word on (meaningless beyond its run)."""
-        one = self.hash if seed is None else join_hash(seed, self.hash)
+        keep[end] = True
+        buf[end] = np.where(np.diff(piece, append=-1) != 0, 10, 32)
+        return cls(buf[keep], (np.cumsum(keep) - 1)[end], first)
+
+    @classmethod
+    def of_chunks(cls, data: np.ndarray, offsets: np.ndarray) -> Parse:
+        """The words of chunks that lie one behind the other, as ``dictionary`` cut them."""
+        end = np.flatnonzero((data == 10) | (data == 32))
+        return cls(data, end, np.searchsorted(end, offsets))
+
+    def grams(self, seed: np.ndarray, longest: int = LONGEST) -> list[np.ndarray]:
+        """Hashes of the phrases of 1 to ``longest`` words from each word on (meaningless beyond its run)."""
+        one = join_hash(seed, self.hash)
         out = [one]
-        for k in range(1, LONGEST):
+        for k in range(1, longest):
             nxt = np.zeros(len(one), np.uint64)
             nxt[:len(one) - k] = join_hash(out[-1][:len(one) - k], self.hash[k:])
             out.append(nxt)
@@ -103,21 +115,18 @@ def groups(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct values, the place of one of each and the sum of its weights."""
     if not len(values):
         return values, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ranked = values[order]
     head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     return ranked[head], order[head], np.add.reduceat(weights[order], head)
 
 
-def lang_seeds(langs: list) -> tuple[list, np.ndarray, np.ndarray]:
-    """Distinct languages, a hash of each and the language of each row as a place in them."""
-    names = list(dict.fromkeys(langs))
-    place = {x: i for i, x in enumerate(names)}
+def lang_seeds(names: list[str]) -> np.ndarray:
+    """A hash of each language."""
     raw = [x.encode() for x in names]
     ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    size = np.array([len(r) for r in raw], np.int64)
     buf = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
-    return names, word_hash(buf, ends - size, ends, 5), np.array([place[x] for x in langs], np.int64)
+    return word_hash(buf, ends - np.array([len(r) for r in raw], np.int64), ends, 5)
 
 
 def _cut(sizes: list[int]):
@@ -138,18 +147,16 @@ def dictionary(docs: DataFrame, lang: Column, text_col: str, every: int = EVERY)
 
     def run(batches):
         for batch in batches:
-            texts, langs = batch.column(1), batch.column(0).to_pylist()
-            sizes = [len(x) if x is not None else 0 for x in texts.cast(pa.binary()).to_pylist()]
-            for a, b in _cut(sizes):
-                raw = [(t or "").encode() for t in texts.slice(a, b - a).to_pylist()]
-                parse = Parse(raw)
+            texts, langs = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], batch.column(0).to_pylist()
+            for a, b in _cut([len(t) for t in texts]):
+                parse = Parse.of_texts(texts[a:b])
                 begin, end, final = border(parse, every)
                 left, right = parse.start[begin], parse.end[end - 1]
                 text = np.searchsorted(parse.first, begin, side="right") - 1
                 found: dict = {}
                 data = parse.buf.tobytes()
                 for t, s, e, f in zip(text.tolist(), left.tolist(), right.tolist(), final.tolist()):
-                    key = (langs[a + t], data[s:e], f)
+                    key = (langs[a + t], data[s:e] + b"\n", f)
                     found[key] = found.get(key, 0) + 1
                 if found:
                     names, chunks, ends = zip(*found)
@@ -176,15 +183,19 @@ def _joined(batches):
 def _parsed(batch):
     """Parses of the chunks of a batch: the parse, names and places of languages, weight and chunk of each
     word, and the words that start phrases (those before the overlap)."""
-    chunks, langs = batch.column("chunk").to_pylist(), batch.column("lang").to_pylist()
+    chunks, langs = batch.column("chunk"), batch.column("lang").dictionary_encode()
     final, n = batch.column("final").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
-    for a, b in _cut([len(c) for c in chunks]):
-        parse = Parse(chunks[a:b])
+    names, place = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+    seeds = lang_seeds(names)
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset:chunks.offset + len(chunks) + 1].astype(np.int64)
+    data = np.frombuffer(chunks.buffers()[2], np.uint8)
+    for a, b in _cut(np.diff(offsets).tolist()):
+        parse = Parse.of_chunks(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
         count = np.diff(parse.first)
-        names, seeds, place = lang_seeds(langs[a:b])
         stop = np.where(final[a:b], parse.first[1:], parse.first[1:] - OVERLAP)
         opens = np.arange(len(parse.start)) < np.repeat(stop, count)
-        yield parse, names, np.repeat(place, count), np.repeat(seeds[place], count), np.repeat(n[a:b], count), opens
+        where = np.repeat(place[a:b], count)
+        yield parse, names, where, seeds[where], np.repeat(n[a:b], count), opens
 
 
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -193,37 +204,40 @@ def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
-def hopeful(parse: Parse, seeds: np.ndarray, opens: np.ndarray, filters: list, k: int) -> tuple[np.ndarray, list]:
-    """Words at which a phrase of ``k`` words starts whose two phrases of ``k - 1`` words may be frequent."""
-    grams = parse.grams(seeds)
+def hopeful(parse: Parse, grams: list[np.ndarray], opens: np.ndarray, filters: list, k: int) -> np.ndarray:
+    """Words at which a phrase of ``k`` words starts whose shorter phrases may all be frequent: those of ``k - 1`` words,
+    or of the longest length that has a filter."""
     at = np.flatnonzero(opens & (parse.run >= k))
-    if k > 1:
-        at = at[has(filters[k - 2], grams[k - 2][at])]
-        # The hash of a phrase starts from its language, so the second part is hashed from its own first word.
-        at = at[has(filters[k - 2], grams[k - 2][at + 1])]
-    return at, grams
+    known = min(k - 1, len(filters))
+    # The hash of a phrase starts from its language, so each part is hashed from its own first word.
+    for i in range(k - known + 1 if known else 0):
+        at = at[has(filters[known - 1], grams[known - 1][at + i])]
+    return at
 
 
-def frequent(chunks: DataFrame, filters: list, k: int, least: int, buckets: int) -> np.ndarray:
-    """The filter of phrases of ``k`` words that occur ``least`` times or more, by 64-bit hashes: a bit for each. Counts are
-    summed up per batch, travel as sorted arrays and meet in a bucket of their own."""
+def frequent(chunks: DataFrame, filters: list, lengths: list[int], least: int, buckets: int) -> list[np.ndarray]:
+    """A filter for each of ``lengths`` of the phrases of so many words that occur ``least`` times or more: a bit for each, by
+    64-bit hashes. Counts are summed up per batch, travel as sorted arrays and meet in a bucket of their own."""
     schema = arrow_schema(COUNTS_DDL)
+    held = len(filters)
     shared = chunks.sparkSession.sparkContext.broadcast(filters[-1:])
 
     def count(batches):
-        known = [None] * (k - 2) + shared.value if k > 1 else []
+        known = [None] * (held - 1) + shared.value if held else []
         for batch in _joined(batches):
             for parse, _, _, seeds, weight, opens in _parsed(batch):
-                at, grams = hopeful(parse, seeds, opens, known, k)
-                keys, _, n = groups(grams[k - 1][at], weight[at])
-                rows = [[], [], [], []]
-                for b, s, e in slices(keys, buckets):
-                    one = n[s:e] == 1
-                    for column, value in zip(rows, (b, keys[s:e][one].tobytes(), keys[s:e][~one].tobytes(), n[s:e][~one].tobytes())):
-                        column.append(value)
+                grams = parse.grams(seeds, lengths[-1])
+                rows = [[], [], [], [], []]
+                for k in lengths:
+                    at = hopeful(parse, grams, opens, known, k)
+                    keys, _, n = groups(grams[k - 1][at], weight[at])
+                    for b, s, e in slices(keys, buckets):
+                        one = n[s:e] == 1
+                        for column, value in zip(rows, (k, b, keys[s:e][one].tobytes(), keys[s:e][~one].tobytes(), n[s:e][~one].tobytes())):
+                            column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
-    slots = "slot int, word long"
+    slots = "k int, slot int, word long"
     slot_schema = arrow_schema(slots)
 
     def add(table: pa.Table) -> pa.Table:
@@ -234,12 +248,17 @@ def frequent(chunks: DataFrame, filters: list, k: int, least: int, buckets: int)
         slot, place, _ = groups(at >> U64(6), np.ones(len(at), np.int64))
         bits = U64(1) << (at & U64(63))
         words = np.bitwise_or.reduceat(bits, place) if len(place) else bits
-        return pa.table({"slot": slot.astype(np.int32), "word": words.view(np.int64)}, schema=slot_schema)
-
-    counted = chunks.mapInArrow(count, COUNTS_DDL).groupBy("bucket").applyInArrow(add, slots)
-    found = counted.groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    out[found["slot"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+        k = np.full(len(slot), table["k"][0].as_py(), np.int32)
+        return pa.table({"k": k, "slot": slot.astype(np.int32), "word": words.view(np.int64)}, schema=slot_schema)
+
+    counted = chunks.mapInArrow(count, COUNTS_DDL).groupBy("k", "bucket").applyInArrow(add, slots)
+    found = counted.groupBy("k", "slot").agg(F.bit_or("word").alias("word")).toArrow()
+    length, slot, word = (found[c].to_numpy() for c in ("k", "slot", "word"))
+    out = []
+    for k in lengths:
+        bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+        bits[slot[length == k]] = word[length == k].view(np.uint64)
+        out.append(bits)
     return out
 
 
@@ -259,8 +278,9 @@ def phrase_counts(chunks: DataFrame, filters: list, least: int) -> DataFrame:
                 none = pa.array([""] * len(names), pa.string())
                 yield pa.RecordBatch.from_arrays([langs, none, pa.array(np.zeros(len(names), np.int32)), pa.array(words)], schema=schema)
                 second = word_hash(parse.buf, parse.start, parse.end, 1)
+                grams = parse.grams(seeds)
                 for k in range(1, LONGEST + 1):
-                    at, grams = hopeful(parse, seeds, opens, known, k)
+                    at = hopeful(parse, grams, opens, known, k)
                     at = at[has(known[k - 1], grams[k - 1][at])]
                     if not len(at):
                         continue
@@ -303,8 +323,9 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     size = chunks.agg(F.coalesce(F.sum(F.length("chunk")), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(size / BUCKET_BYTES))
     filters: list[np.ndarray] = []
-    for k in range(1, LONGEST + 1):
-        filters.append(frequent(chunks, filters, k, least, buckets))
+    # Few phrases are left once their pairs of words are known, so the longer ones take one pass together.
+    for lengths in ([1], [2], list(range(3, LONGEST + 1))):
+        filters += frequent(chunks, filters, lengths, least, buckets)
     counts = written(phrase_counts(chunks, filters, least), "phrases")
 
     found = counts.filter("k >= 2").select("lang", "phrase", "k", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
