@@ -9,9 +9,10 @@ from turnwatch.functions.prompts import (
     judge_fields, judge_prompt as prompt_column)
 from turnwatch.functions.vectors import cosine as cosine_column
 from turnwatch.operators import grounding as G
+from turnwatch.operators import judging
 from turnwatch.operators.monitor import role_filter
 from turnwatch.plans.similarity import search
-from turnwatch.session import cut_lineage, spread
+from turnwatch.session import cut_lineage, new_folder, spread
 from workload.registry import documents, query, table
 from workload.temporal import conversations, region_propositions
 
@@ -309,6 +310,57 @@ def batch_judge(spark, sf):
     return G.batch_judge(prompts(spark, sf), length_judge).select("conv_id", "turn", "prop_id", "match", "confidence")
 
 
+ONE_TRY = judging.Pool(tries=1, pause=0.0)
+
+
+@query("judge_pool", f"""SELECT conv_id, turn, prop_id, length(prompt) >= 900 AS match, CASE WHEN length(prompt) BETWEEN 700 AND 899 THEN 'ERROR'
+ WHEN length(prompt) >= 900 THEN 'MATCH' ELSE 'NO MATCH' END AS verdict FROM ({PROMPT_SQL})""")
+def judge_pool(spark, sf):
+    """Half of the conversations first; the second run asks only what the table of answers lacks."""
+    rows, answers = prompts(spark, sf), new_folder(spark, "answers")
+    judging.judge_pool(rows.filter("conv_id % 2 = 0"), length_judge, answers, pool=ONE_TRY)
+    return judging.judge_pool(rows, length_judge, answers, pool=ONE_TRY).select("conv_id", "turn", "prop_id", "match", "verdict")
+
+
+@query("judge_answers", f"""SELECT sha256(chr(10) || prompt) AS digest, 1 AS times FROM ({PROMPT_SQL})
+ WHERE length(prompt) NOT BETWEEN 700 AND 899 GROUP BY prompt""")
+def judge_answers(spark, sf):
+    """What two runs leave in the table of answers: each answered prompt once."""
+    rows, answers = prompts(spark, sf), new_folder(spark, "answers")
+    judging.answered(rows.filter("conv_id % 2 = 0"), length_judge, answers, pool=ONE_TRY)
+    judging.answered(rows, length_judge, answers, pool=ONE_TRY)
+    return spark.read.parquet(answers).groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
+
+
+def even_judge(prompt: str) -> str:
+    return '{"match": %s}' % str(len(prompt) % 2 == 0).lower()
+
+
+_SHOWN = {"description": "'about ' || prop", "examples": "block", "message": "text", "role": "upper(side)"}
+
+
+@query("judge_few_shot", f"""WITH a AS (SELECT item_id%4 AS prop, item_id%3<>0 AS pos, item_id%5 AS cat, text,
+ row_number() OVER (PARTITION BY item_id%4, item_id%3<>0, item_id%5 ORDER BY item_id) AS nth FROM benchmark),
+ t AS (SELECT *, row_number() OVER (PARTITION BY prop, pos ORDER BY nth, cat) AS turn FROM a),
+ e AS (SELECT *, row_number() OVER (PARTITION BY prop ORDER BY pos DESC, turn) AS i FROM t WHERE turn<=5),
+ b AS (SELECT prop, who, string_agg('Example ' || i || ':' || chr(10) || 'Label: ' || CASE WHEN pos THEN 'MATCH' ELSE 'NO_MATCH' END || chr(10)
+ || who || ' MESSAGE: ' || text, chr(10) || chr(10) ORDER BY i) AS block FROM e, (VALUES ('USER'), ('ASSISTANT')) r(who) GROUP BY prop, who),
+ c AS (SELECT conv_id, turn, prop, CASE WHEN side='assistant' THEN {_template_sql(ASSISTANT_TEMPLATE, _SHOWN)}
+ ELSE {_template_sql(USER_TEMPLATE, _SHOWN)} END AS prompt FROM (SELECT conv_id, turn, lower(trim(coalesce(role, 'user'))) AS side,
+ coalesce(text, '') AS text, conv_id%4 AS prop, CASE WHEN side='assistant' THEN 'ASSISTANT' ELSE 'USER' END AS who
+ FROM conversations) JOIN b USING (prop, who))
+ SELECT conv_id, turn, prop, md5(prompt) AS prompt, CASE WHEN length(prompt)%2=0 THEN 'MATCH' ELSE 'NO MATCH' END AS verdict FROM c""")
+def judge_few_shot(spark, sf):
+    """Prompts that show ten examples, and what the judge makes of them."""
+    anchors = table(spark, sf, "benchmark").select(
+        (F.col("item_id") % 4).alias("prop"), (F.col("item_id") % 3 != 0).alias("is_positive"),
+        (F.col("item_id") % 5).alias("category_idx"), F.col("item_id").alias("idx"), "text")
+    pairs = table(spark, sf, "conversations").withColumn("prop", F.col("conv_id") % 4) \
+        .withColumn("description", F.concat(F.lit("about "), F.col("prop").cast("string")))
+    out = judging.judge_pool(judging.few_shot_prompts(pairs, anchors), even_judge, pool=ONE_TRY)
+    return out.select("conv_id", "turn", "prop", F.md5("prompt").alias("prompt"), "verdict")
+
+
 @query("few_shot_round_robin", """WITH a AS (SELECT lang AS prop, source >= 'src5' AS is_positive,
  source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nth FROM documents),
  t AS (SELECT *, row_number() OVER (PARTITION BY prop, is_positive ORDER BY nth, source) AS turn FROM a)
