@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plain_refine import one_pass
 from turnwatch.operators import curate as C
 from turnwatch.plans.similarity import SCALE, units
 
@@ -132,7 +133,7 @@ def test_refinement_fits_and_stays_in_its_cone(spark):
     examples = spark.createDataFrame(
         [(i, ((1 if i % 2 else -1) * centre + rng.normal(scale=.6, size=4)).tolist(), i % 2) for i in range(60)],
         "id long, vec array<double>, label int")
-    data = examples.withColumn("fold", F.lit(0))
+    seen = sorted(examples.collect())
     old = {r.anchor_id: np.array(r.embedding) for r in anchors.collect()}
     out = C.anchor_refine(anchors, examples, epochs=6, folds=3, rate=0.05, k=8, min_similarity=0.85).collect()
     new = {r.anchor_id: np.array(r.embedding) for r in out}
@@ -142,25 +143,29 @@ def test_refinement_fits_and_stays_in_its_cone(spark):
     assert min(cos) >= 0.85 - 1e-6
 
     def loss(table):
-        _, tally = C._pass(data, {-1: np.stack([table[i] for i in order])}, None, labels, 8, 0.05)
-        return tally[-1][2] / tally[-1][0]
+        _, tally = one_pass(np.array([r.vec for r in seen]), [r.label for r in seen], [0] * len(seen),
+                            np.stack([table[i] for i in order]), labels, -1, 8, 0.05)
+        return tally[2] / tally[0]
     assert loss(new) < loss(old)
 
 
 def test_gradient_matches_differences(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(6, 3))
-    labels = np.array([1.0, 1, 1, 0, 0, 0])
-    examples = spark.createDataFrame([(rng.normal(size=3).tolist(), i % 2, 0) for i in range(12)],
-                                     "vec array<double>, label int, fold int")
-    runs = {-1: a}
-    grads, _ = C._pass(examples, runs, None, labels, 6, 0.5)
+    examples = spark.createDataFrame([(i, rng.normal(size=3).tolist(), i % 2, 0) for i in range(12)],
+                                     "key long, vec array<double>, label int, fold int")
+
+    def sums(x):
+        rows = spark.createDataFrame([(-1, i, i < 3, i, v.tolist()) for i, v in enumerate(x)],
+                                     "run int, key long, is_positive boolean, idx long, embedding array<double>")
+        return rows, C.soft_vote_sums(examples, rows, 6, 0.5)
+    grads = {r["key"]: r["gradient"] for r in C.loss_gradient(*sums(a)).collect()}
     for i, j in [(0, 0), (3, 2)]:
         up, down = a.copy(), a.copy()
-        up[i, j] += 1e-5
-        down[i, j] -= 1e-5
-        lo = [C._pass(examples, {-1: x}, None, labels, 6, 0.5)[1][-1][2] for x in (down, up)]
-        assert abs((lo[1] - lo[0]) / 2e-5 - grads[-1][i, j]) < 1e-4
+        up[i, j] += 1e-4
+        down[i, j] -= 1e-4
+        lo = [sums(x)[1].filter("key = -1").first()["v"][2] for x in (down, up)]
+        assert abs((lo[1] - lo[0]) / 2e-4 - grads[i][j]) < 1e-4
 
 
 def test_few_shot_sample_takes_leaders_first(spark):

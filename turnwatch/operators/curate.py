@@ -13,7 +13,7 @@ from turnwatch.functions.vectors import cosine, dot, exact_unit
 from turnwatch.operators.grounding import knn_vote
 from turnwatch.plans.layout import SEGMENT_ROWS, ranked
 from turnwatch.plans.similarity import (
-    BLOCK_ROWS, BROADCAST_VALUES, SCALE, compare, search, units)
+    BLOCK_ROWS, CELLS, SCALE, compare, search, units)
 from turnwatch.session import broadcast_if_small, cut_lineage, fits
 
 
@@ -504,17 +504,6 @@ def few_shot_sample(items: DataFrame, clusters: DataFrame, n: int = 100, seed: i
 
 # -- refinement of anchor vectors -----------------------------------------------------------------------
 
-class _Adam:
-    def __init__(self, shape, rate):
-        self.m, self.v, self.t, self.rate = np.zeros(shape), np.zeros(shape), 0, rate
-
-    def move(self, grad, rate):
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * grad
-        self.v = 0.999 * self.v + 0.001 * grad ** 2
-        return rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
-
-
 def _pull_back(new: np.ndarray, old: np.ndarray, minimum: float) -> np.ndarray:
     """Blend vectors that left the cone around their original back to its edge."""
     def cos(x):
@@ -528,100 +517,158 @@ def _pull_back(new: np.ndarray, old: np.ndarray, minimum: float) -> np.ndarray:
     return np.where(out[:, None], hi[:, None] * old + (1 - hi)[:, None] * new, new)
 
 
-def _pass(examples: DataFrame, runs: dict[int, np.ndarray], ids, labels, k: int, temp: float):
-    """One Spark job over the examples for several runs at once: gradient sums per
-    (run, anchor), added up per task and then across tasks, and train / held-out counts.
-    Run f trains on every fold but f; run -1 trains on all."""
-    shared = examples.sparkSession.sparkContext.broadcast((runs, labels))
+def _rows(column) -> np.ndarray:
+    return np.stack(column.to_list()).astype(np.float64)
+
+
+def soft_vote_sums(examples: DataFrame, anchors: DataFrame, k: int, temp: float, **kw) -> DataFrame:
+    """One pass of several runs over labelled examples: what the gradient of the soft vote's loss needs.
+    ``examples(key long, vec, label 0/1, fold)``, ``anchors(run int, key long, is_positive, idx, embedding)``.
+    Run f trains on every fold but f; run -1 trains on all.
+
+    Gives ``(run, key, v)``. For an anchor ``v`` holds the sum of d q and, as its last value, of d cos over
+    the training examples q that have it among their ``k`` nearest, d being the loss's slope in that cosine.
+    Key -1 counts examples, right answers and loss, for training and then for held-out examples.
+
+    Anchors are searched like any library, in blocks when they are many; a task adds up every few
+    thousand examples before anything is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    library = anchors.select(F.col("run").alias("prop"), "is_positive", "idx", F.col("key").alias("anchor_id"), "embedding")
+    found = search(examples.select(F.col("key").alias("msg_id"), F.array("vec").alias("views")), library, k, floor=False, **kw)
+    rows = found.select(F.col("msg_id").alias("key"), F.col("prop").alias("run"), "top_sim", "top_pos", "top_id") \
+        .join(examples, "key").select("run", "vec", "label", "fold", "top_sim", "top_pos", "top_id")
+
+    def add_up(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            step = max(1, CELLS // (len(pdf["top_id"].iloc[0]) * len(pdf["vec"].iloc[0]) or 1))
+            for lo in range(0, len(pdf), step):
+                yield from add_part(pdf.iloc[lo:lo + step])
+
+    def add_part(pdf):
+        q, s = units(_rows(pdf["vec"])), _rows(pdf["top_sim"])
+        hit, ids = _rows(pdf["top_pos"]), np.stack(pdf["top_id"].to_list())
+        y, run = pdf["label"].to_numpy(float), pdf["run"].to_numpy(np.int64)
+        w = np.exp((s - s[:, :1]) / temp)
+        w /= w.sum(1, keepdims=True)
+        raw = (w * hit).sum(1)
+        score = np.clip(raw, 1e-7, 1 - 1e-7)
+        loss = -y * np.log(score + 1e-10) - (1 - y) * np.log(1 - score + 1e-10)
+        right = (score > 0.5) == (y == 1)
+        train = pdf["fold"].to_numpy(np.int64) != run
+        for r in np.unique(run):
+            tally = [f(at & (run == r)) for at in (train, ~train)
+                     for f in (np.sum, lambda m: right[m].sum(), lambda m: loss[m].sum())]
+            yield pd.DataFrame({"run": [r], "key": [-1], "vals": [np.array(tally, np.float64)]})
+        inside = (raw > 1e-7) & (raw < 1 - 1e-7) & train
+        slope = np.where(inside, -y / (score + 1e-10) + (1 - y) / (1 - score + 1e-10), 0.0)
+        d = slope[:, None] * w * (hit - raw[:, None]) / temp
+        row, col = np.nonzero(d)
+        if not len(row):
+            return
+        d, owner = d[row, col], np.stack([run[row], ids[row, col]], axis=1)
+        order = np.lexsort((owner[:, 1], owner[:, 0]))
+        owner = owner[order]
+        first = np.flatnonzero(np.append(True, (np.diff(owner, axis=0) != 0).any(axis=1)))
+        parts = np.column_stack([d[:, None] * q[row], d * s[row, col]])[order]
+        yield pd.DataFrame({"run": owner[first, 0], "key": owner[first, 1], "vals": list(np.add.reduceat(parts, first, axis=0))})
+
+    parts = rows.mapInPandas(add_up, "run int, key long, vals array<double>")
+    return parts.groupBy("run", "key").agg(Summarizer.sum(array_to_vector("vals")).alias("v")).select(
+        "run", "key", vector_to_array("v").alias("v"))
+
+
+def _gradient(vec: np.ndarray, sums) -> np.ndarray:
+    """Gradient of the summed loss at ``vec``: d cos / d anchor = (q - cos * a) / |anchor|."""
+    size = np.linalg.norm(vec, axis=1, keepdims=True) + 1e-10
+    both = np.stack([np.zeros(vec.shape[1] + 1) if v is None else np.asarray(v, np.float64) for v in sums])
+    return (both[:, :-1] - both[:, -1:] * (vec / size)) / size
+
+
+def loss_gradient(anchors: DataFrame, sums: DataFrame) -> DataFrame:
+    """``(run, key, gradient)`` of the loss summed over the training examples, for ``anchors(run, key, embedding)``
+    and their ``soft_vote_sums``; anchors that are nobody's neighbour have a gradient of zeros."""
+    def work(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[["run", "key"]].assign(gradient=list(_gradient(_rows(pdf["embedding"]), pdf["v"])))
+
+    return anchors.select("run", "key", "embedding").join(sums, ["run", "key"], "left").mapInPandas(
+        work, "run int, key long, gradient array<double>")
+
+
+_STATE = ("run int, key long, is_positive boolean, idx long, start array<double>, embedding array<double>, "
+          "mean array<double>, spread array<double>")
+
 
-    def scan(batches):
-        vectors, marks = shared.value
-        grads = {r: np.zeros_like(a) for r, a in vectors.items()}
-        tally = {r: np.zeros(6) for r in vectors}
+def _step(seen: DataFrame, n_train: dict[int, int], epoch: int, rate: float, reg: float, minimum: float) -> DataFrame:
+    """The anchors after one Adam step from ``seen``, the state joined with its sums."""
+    def move(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            q = units(np.stack(pdf["vec"].to_list()).astype(np.float64))
-            y, fold = pdf["label"].to_numpy(float), pdf["fold"].to_numpy()
-            for run, anchors in vectors.items():
-                size = np.linalg.norm(anchors, axis=1) + 1e-10
-                a = anchors / size[:, None]
-                sims = q @ a.T
-                n = min(k, len(a))
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-                s = np.take_along_axis(sims, top, 1)
-                w = np.exp((s - s[:, :1]) / temp)
-                w /= w.sum(1, keepdims=True)
-                hit = marks[top]
-                raw = (w * hit).sum(1)
-                score = np.clip(raw, 1e-7, 1 - 1e-7)
-                loss = -y * np.log(score + 1e-10) - (1 - y) * np.log(1 - score + 1e-10)
-                right = (score > 0.5) == (y == 1)
-                train = fold != run
-                for at, mask in ((0, train), (3, ~train)):
-                    tally[run][at:at + 3] += mask.sum(), right[mask].sum(), loss[mask].sum()
-                inside = (raw > 1e-7) & (raw < 1 - 1e-7) & train
-                d_score = np.where(inside, -y / (score + 1e-10) + (1 - y) / (1 - score + 1e-10), 0.0)
-                d_sim = d_score[:, None] * w * (hit - raw[:, None]) / temp
-                # d cos / d anchor = (q - cos * a) / |anchor|
-                full = np.zeros_like(sims)
-                np.put_along_axis(full, top, d_sim, 1)
-                grads[run] += (full.T @ q - (full * sims).sum(0)[:, None] * a) / size[:, None]
-        for run, g in grads.items():
-            used = np.flatnonzero(np.abs(g).sum(1))
-            yield pd.DataFrame({"run": run, "anchor": used, "vals": [g[i] for i in used]})
-            yield pd.DataFrame({"run": [run], "anchor": [-1], "vals": [tally[run]]})
+            now, start = _rows(pdf["embedding"]), _rows(pdf["start"])
+            share = pdf["run"].map(lambda r: max(1, n_train[r])).to_numpy(float)[:, None]
+            grad = _gradient(now, pdf["v"]) / share + 2 * reg * (now - start)
+            mean = 0.9 * _rows(pdf["mean"]) + 0.1 * grad
+            spread = 0.999 * _rows(pdf["spread"]) + 0.001 * grad ** 2
+            change = (mean / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(spread / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+            yield pdf.drop(columns="v").assign(embedding=list(_pull_back(now - rate * change, start, minimum)),
+                                               mean=list(mean), spread=list(spread))
 
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    parts = examples.select("vec", "label", "fold").mapInPandas(scan, "run int, anchor long, vals array<double>")
-    wide = parts.withColumn("v", array_to_vector("vals"))
-    sums = wide.groupBy("run", "anchor").agg(Summarizer.sum(F.col("v")).alias("v")).select(
-        "run", "anchor", vector_to_array("v").alias("v"))
-    grads = {r: np.zeros_like(a) for r, a in runs.items()}
-    tally = {}
-    for row in sums.toLocalIterator():  # one row per anchor and run: bounded with the anchors
-        if row["anchor"] < 0:
-            tally[row["run"]] = np.array(row["v"])
-        else:
-            grads[row["run"]][row["anchor"]] = row["v"]
-    return grads, tally
+    return seen.mapInPandas(move, _STATE)
 
 
 def anchor_refine(anchors: DataFrame, examples: DataFrame, epochs: int = 10, folds: int = 5,
                   rate: float = 0.001, reg: float = 0.01, temperature: float = 0.05, k: int = 20,
-                  min_similarity: float = 0.85, patience: int = 5, seed: int = 42) -> DataFrame:
-    """Move anchor vectors so that the soft vote fits labelled examples. The examples stay in
-    Spark and are scored once per epoch for all folds together; the anchors, checked to be
-    few, get the step. The number of epochs is the one with the best mean held-out accuracy.
-
-    ``anchors(anchor_id, is_positive, embedding)``, ``examples(id, vec, label 0/1)``."""
-    width = anchors.select(F.size("embedding")).first()[0]
-    if not fits(anchors, BROADCAST_VALUES // width):
-        raise ValueError("too many anchors for one refinement; refine per proposition")
-    table = anchors.orderBy(F.desc("is_positive"), "anchor_id").toPandas()
-    start = np.stack(table["embedding"].to_list()).astype(np.float64)
-    ids, labels = table["anchor_id"].to_numpy(), table["is_positive"].to_numpy(float)
-    data = cut_lineage(stratified_folds(examples, folds, seed).select("vec", "label", "fold"))
-
-    def train(run_ids, epochs_to_run, held_out):
-        vec = {r: start.copy() for r in run_ids}
-        adam = {r: _Adam(start.shape, rate) for r in run_ids}
-        history = {r: [] for r in run_ids}
-        best = {r: (0.0, 0) for r in run_ids}  # accuracy, epochs without gain
-        live = set(run_ids)
-        grads, tally = _pass(data, vec, ids, labels, k, temperature)
+                  min_similarity: float = 0.85, patience: int = 5, seed: int = 42, **kw) -> DataFrame:
+    """Move anchor vectors so that the soft vote fits labelled examples. The number of epochs is the one
+    with the best mean held-out accuracy.
+
+    ``anchors(anchor_id, is_positive, embedding)``, ``examples(id, vec, label 0/1)``. Rows with equal ids are
+    anchors of their own. Examples without a vector or label take no part. Without examples the anchors stay
+    as they are; without anchors the result is empty.
+
+    Anchors of all folds and their optimiser state are one table, a row per (run, anchor). An epoch is one
+    pass over the examples, whose sums are joined to that table and written by its one checkpoint; the step is a
+    projection of what was written. Only six counts per run reach the driver. ``kw`` goes to ``search``."""
+    table = cut_lineage(anchors.select(
+        F.monotonically_increasing_id().alias("key"), "anchor_id", "is_positive",
+        F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
+    known = examples.filter(F.col("vec").isNotNull() & F.col("label").isNotNull())
+    data = cut_lineage(stratified_folds(known, folds, seed).select(
+        F.monotonically_increasing_id().alias("key"), "vec", "label", "fold"))
+    per_fold = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(per_fold.values())
+    n_train = {r: total - per_fold.get(r, 0) for r in range(-1, folds)}
+
+    def look(state):
+        sums = soft_vote_sums(data, state, k, temperature, **kw)
+        seen = cut_lineage(state.join(sums, ["run", "key"], "full"))
+        tally = {r["run"]: r["v"] for r in seen.filter(F.col("key") == -1).select("run", "v").collect()}
+        return seen.filter(F.col("key") >= 0), tally
+
+    def train(runs, epochs_to_run, held_out):
+        zeros = F.transform("embedding", lambda x: F.lit(0.0))
+        state = table.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs]))).select(
+            "run", "key", "is_positive", F.col("anchor_id").cast("long").alias("idx"),
+            F.col("embedding").alias("start"), "embedding", zeros.alias("mean"), zeros.alias("spread"))
+        history = {r: [] for r in runs}
+        best = {r: (0.0, 0) for r in runs}  # accuracy, epochs without gain
+        live = set(runs)
+        seen, _ = look(state)
         for epoch in range(epochs_to_run):
-            step = rate * 0.1 + (rate - rate * 0.1) * (1 + math.cos(math.pi * epoch / epochs_to_run)) / 2
-            for r in live:
-                grad = grads[r] / max(1.0, tally[r][0]) + 2 * reg * (vec[r] - start)
-                vec[r] = _pull_back(vec[r] - adam[r].move(grad, step), start, min_similarity)
+            now = rate * 0.1 + (rate - rate * 0.1) * (1 + math.cos(math.pi * epoch / epochs_to_run)) / 2
+            state = _step(seen.filter(F.col("run").isin(sorted(live))), n_train, epoch, now, reg, min_similarity)
             if not held_out and epoch == epochs_to_run - 1:
                 break
-            grads, tally = _pass(data, {r: vec[r] for r in live}, ids, labels, k, temperature)
+            seen, tally = look(state)
             if held_out:
-                for r in list(live):
-                    acc = tally[r][4] / max(1.0, tally[r][3])
+                for r in sorted(live):
+                    counts = tally.get(r, [0.0] * 6)
+                    acc = counts[4] / max(1.0, counts[3])
                     history[r].append(acc)
                     gain = acc > best[r][0]
                     best[r] = (acc, 0) if gain else (best[r][0], best[r][1] + 1)
@@ -629,13 +676,13 @@ def anchor_refine(anchors: DataFrame, examples: DataFrame, epochs: int = 10, fol
                         live.discard(r)
                 if not live:
                     break
-        return vec, history
+        return state, history
 
     _, history = train(list(range(folds)), epochs, True)
     shortest = min(len(h) for h in history.values())
     means = [sum(h[e] for h in history.values()) / folds for e in range(shortest)]
     chosen = max(range(shortest), key=lambda e: means[e]) + 1
     final, _ = train([-1], chosen, False)
-    rows = [(int(i), bool(p), [float(x) for x in v], chosen) for i, p, v in zip(ids, labels, final[-1])]
-    return anchors.sparkSession.createDataFrame(
-        rows, "anchor_id long, is_positive boolean, embedding array<double>, epochs int")
+    moved = cut_lineage(final.select("key", "embedding"))
+    return table.select("key", "anchor_id", "is_positive").join(moved, "key").select(
+        F.col("anchor_id").cast("long").alias("anchor_id"), "is_positive", "embedding", F.lit(chosen).alias("epochs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnwatch.functions.vectors import norm
 from turnwatch.operators import curate as C
 from turnwatch.operators import evaluate as E
 from workload.evaluation import D_SQL, V_SQL, _cos, document_items, knn_scores, vector_items
@@ -126,16 +127,35 @@ def labelled_pool(spark, sf):
         F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
 
 
-@query("mmr_quotas", """WITH s AS (SELECT label AS prop, CASE WHEN embedding[1]>0 THEN 'right' ELSE 'left' END AS category, count(*) AS n,
- min(vec_id) AS first FROM embeddings GROUP BY ALL), t AS (SELECT *, n <= 45//count(*) OVER w AS whole, sum(n) OVER w AS total FROM s WINDOW w AS (PARTITION BY prop)),
- u AS (SELECT *, 45-sum(CASE WHEN whole THEN n ELSE 0 END) OVER w AS rest, greatest(1,count(nullif(NOT whole, false)) OVER w) AS k,
- row_number() OVER (PARTITION BY prop ORDER BY whole, n DESC, first) AS place FROM t WINDOW w AS (PARTITION BY prop))
- SELECT prop, category, n, CASE WHEN total<=45 OR whole THEN n ELSE rest//k + CASE WHEN place <= rest%k THEN 1 ELSE 0 END END::INT AS quota FROM u""")
+def _quota_sql(n: int) -> str:
+    return f"""s AS (SELECT label AS prop, CASE WHEN embedding[1]>0 THEN 'right' ELSE 'left' END AS category, count(*) AS n,
+ min(vec_id) AS first FROM embeddings GROUP BY ALL), t AS (SELECT *, n <= {n}//count(*) OVER w AS whole, sum(n) OVER w AS total FROM s WINDOW w AS (PARTITION BY prop)),
+ u AS (SELECT *, {n}-sum(CASE WHEN whole THEN n ELSE 0 END) OVER w AS rest, greatest(1,count(nullif(NOT whole, false)) OVER w) AS k,
+ row_number() OVER (PARTITION BY prop ORDER BY whole, n DESC, first) AS place FROM t WINDOW w AS (PARTITION BY prop)),
+ quotas AS (SELECT prop, category, n, CASE WHEN total<={n} OR whole THEN n ELSE rest//k + CASE WHEN place <= rest%k THEN 1 ELSE 0 END END::INT AS quota FROM u)"""
+
+
+@query("mmr_quotas", f"WITH {_quota_sql(45)} SELECT * FROM quotas")
 def mmr_quotas(spark, sf):
     return C.balanced_quotas(labelled_pool(spark, sf), 45)
 
 
-@query("mmr_balanced")
+# One row per group and step carries the picks so far; every step scores what is left of the group.
+MMR_SQL = """near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v,y.v),9) AS s FROM cand x JOIN cand y ON x.grp=y.grp),
+ walk AS (SELECT grp, quota, 1 AS step, [list(id ORDER BY rel DESC, id)[1]] AS picks FROM cand WHERE n > quota AND quota > 0 GROUP BY grp, quota
+ UNION ALL SELECT grp, quota, step+1, list_append(any_value(picks), list(id ORDER BY score DESC, id)[1]) FROM (
+  SELECT w.grp, w.quota, w.step, c.id, any_value(w.picks) AS picks, any_value(lam)*any_value(c.rel) - (1-any_value(lam))*max(s) AS score
+  FROM (SELECT *, CASE WHEN quota <= 2 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE + (0.2::DOUBLE-0.8::DOUBLE)*(step-1)/(quota-2) END AS lam FROM walk WHERE step < quota) w
+  JOIN cand c ON c.grp=w.grp AND NOT list_contains(w.picks, c.id) JOIN near ON a=c.id AND list_contains(w.picks, b)
+  GROUP BY w.grp, w.quota, w.step, c.id) GROUP BY grp, quota, step),
+ picked AS (SELECT grp, unnest(picks) AS id, generate_subscripts(picks,1)-1 AS pick FROM walk WHERE step=quota UNION ALL
+ SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id)-1 FROM cand WHERE n <= quota)"""
+
+
+@query("mmr_balanced", f"""WITH RECURSIVE {_quota_sql(15)}, cand AS MATERIALIZED (SELECT [prop::VARCHAR, q.category] AS grp, quota, n, e.vec_id AS id,
+ e.embedding::DOUBLE[] AS v, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]),9) AS rel
+ FROM embeddings e JOIN embeddings p ON p.vec_id=e.label JOIN quotas q ON prop=e.label AND category=CASE WHEN e.embedding[1]>0 THEN 'right' ELSE 'left' END),
+ {MMR_SQL} SELECT grp[1]::INT AS prop, grp[2] AS category, id, pick::INT AS pick FROM picked""")
 def mmr_balanced(spark, sf):
     return C.mmr_balanced(labelled_pool(spark, sf), propositions(spark, sf), 15)
 
@@ -264,6 +284,27 @@ def anchor_refine(spark, sf):
     return out.select("anchor_id", "is_positive", "epochs", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
+@query("refine_gradient", """WITH e AS (SELECT vec_id AS id, (label<5)::INT AS y, embedding::DOUBLE[] AS v, sqrt(list_dot_product(v,v)) AS size FROM embeddings),
+ p AS (SELECT x.id AS q, a.id AS a, x.y, a.y AS hit, round(list_cosine_similarity(x.v,a.v),9) AS s FROM e x, e a),
+ n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, hit DESC, a) <= 20),
+ x AS (SELECT *, exp((s - max(s) OVER (PARTITION BY q))/0.5::DOUBLE) AS x FROM n),
+ w AS (SELECT *, x/sum(x) OVER (PARTITION BY q) AS w FROM x), r AS (SELECT *, sum(w*hit) OVER (PARTITION BY q) AS raw FROM w),
+ d AS (SELECT *, CASE WHEN y=1 THEN -1/(raw+1e-10::DOUBLE) ELSE 1/(1-raw+1e-10::DOUBLE) END * w * (hit-raw)/0.5::DOUBLE AS d FROM r
+  WHERE raw > 1e-7::DOUBLE AND raw < 1-1e-7::DOUBLE),
+ g AS (SELECT d.a, i, sum(d.d * (q.v[i]/q.size - d.s*b.v[i]/b.size))/any_value(b.size) AS g
+  FROM d JOIN e q ON q.id=d.q JOIN e b ON b.id=d.a, range(1, 1 + (SELECT max(len(v)) FROM e)) t(i) GROUP BY d.a, i)
+ SELECT id AS anchor_id, round(coalesce(any_value(g) FILTER (i=1), 0), 6) + 0 AS first, round(coalesce(sqrt(sum(g*g)), 0), 6) AS steep
+ FROM e LEFT JOIN g ON a=id GROUP BY id""")
+def refine_gradient(spark, sf):
+    """The gradient that the first step of a refinement on all examples takes."""
+    examples = binary_items(spark, sf).select(F.col("id").alias("key"), "vec", "label", F.lit(0).alias("fold"))
+    anchors = binary_items(spark, sf).select(F.lit(-1).alias("run"), F.col("id").alias("key"), (F.col("label") == 1).alias("is_positive"),
+                                             F.col("id").alias("idx"), F.col("vec").alias("embedding"))
+    grads = C.loss_gradient(anchors, C.soft_vote_sums(examples, anchors, 20, 0.5))
+    return grads.select(F.col("key").alias("anchor_id"), (F.round(F.col("gradient")[0], 6) + 0.0).alias("first"),
+                        F.round(norm(F.col("gradient")), 6).alias("steep"))
+
+
 @query("diversity_gain", f"""WITH {V_SQL},
  a AS (SELECT a.label, sum({_cos('a.v','b.v')})*2 AS s FROM v a JOIN v b ON a.label=b.label AND a.id<b.id GROUP BY a.label),
  n AS (SELECT label, count(*) AS n FROM v GROUP BY label)
