@@ -143,6 +143,26 @@ def test_missing_and_null_judgments_are_false(spark):
     assert all(r.passed for r in out.collect())
 
 
+def test_violations_say_how_they_were_grounded(spark):
+    labelled, layout = judged(spark, [(0, "p", True), (1, "q", True)], "uau")
+    policies = [M.Policy("x", "guard", "H(P(p) -> !q)")]
+    rows = [(1, 0, "p", True, 0.9, "asks", "llm"), (1, 1, "q", False, 0.8, "vague", "nli"), (1, 1, "q", True, 0.6, "clear", "nli"),
+            (1, 1, "q", True, 0.7, None, "cosine"), (1, 1, "p", None, None, "no answer", "llm"), (1, 1, "other", True, 1.0, "", "llm")]
+    judgments = spark.createDataFrame(rows, "conv_id long, turn long, prop_id string, match boolean, confidence double, "
+                                            "reasoning string, method string")
+    out = M.monitor(labelled, policies, layout, history=True)
+    got = M.violations(out, policies, layout, ["p", "q"], judgments).orderBy("turn").collect()
+    at_one = [("p", False, None, "no answer", "llm"), ("q", True, 0.7, None, "cosine")]
+    assert [tuple(d) for d in got[0].grounding_details] == at_one and not got[0].was_already_violated
+    assert [(d.prop_id, d.method) for d in got[1].grounding_details] == [("_violation_history", "monitor_note")]
+    kept = M.message_records(out, policies, layout, ["p", "q"], judgments).orderBy("turn").collect()
+    assert [r.blocked for r in kept] == [False, True, True]
+    assert kept[0].violation_info is None and [tuple(v) for v in kept[1].violation_info] == [("x", "guard", "H(P(p) -> !q)")]
+    assert [r.grounding_details and len(r.grounding_details) for r in kept] == [1, 2, None]
+    none = M.violations(out, policies, layout, ["p", "q"], judgments.limit(0)).orderBy("turn").collect()
+    assert [len(r.grounding_details) for r in none] == [0, 1]
+
+
 def test_violation_is_noted_as_carried(spark):
     labelled, layout = judged(spark, [(0, "p", True), (1, "q", True)], "uauu")
     policies = [M.Policy("x", "guard", "H(P(p) -> !q)")]

@@ -105,6 +105,36 @@ def label_matrix(messages: DataFrame, judgments: DataFrame, prop_ids: list[str])
         *messages.columns, *[F.coalesce(F.col(p), F.lit(False)).alias(p) for p in prop_ids])
 
 
+# Fixed names of the entries of grounding details, and of the entry that tells of an earlier violation.
+DETAIL = ["prop_id", "match", "confidence", "reasoning", "method"]
+HISTORY_PROP, HISTORY_METHOD = "_violation_history", "monitor_note"
+
+
+def grounding_details(judgments: DataFrame, layout: TraceLayout, prop_ids: list[str]) -> DataFrame:
+    """One row per judged message: how each proposition was decided, in the order of ``prop_ids``.
+
+    ``judgments(*key, *order, prop_id, match, confidence, reasoning, method)``. A proposition judged twice
+    shows the judgment that counts in ``label_matrix``: a match before none, then the higher confidence; a judgment
+    without an answer counts as no match. Judgments of other propositions are left out, their messages stay
+    with an empty list."""
+    best = [F.max(F.when(F.col("prop_id") == p, F.struct(
+        F.coalesce("match", F.lit(False)).alias("match"), F.col("confidence").cast("double").alias("confidence"),
+        "reasoning", "method"))).alias(f"d{i}") for i, p in enumerate(prop_ids)]
+    entries = [F.when(F.col(f"d{i}").isNotNull(), F.struct(F.lit(p).alias("prop_id"), *[
+        F.col(f"d{i}.{c}").alias(c) for c in DETAIL[1:]])) for i, p in enumerate(prop_ids)]
+    at = [*layout.key, *layout.order]
+    return judgments.groupBy(*at).agg(*best).select(*at, F.array_compact(F.array(*entries)).alias("grounding_details"))
+
+
+def lexical_judgments(messages: DataFrame, tests: dict[str, tuple[str, Column]], layout: TraceLayout) -> DataFrame:
+    """The judgments behind ``lexical_labels``: propositions of the message's role, with full confidence."""
+    rows = F.array(*[F.when(F.col("role") == role, F.struct(F.lit(p).alias("prop_id"), F.coalesce(cond, F.lit(False)).alias("match")))
+                     for p, (role, cond) in tests.items()])
+    size = F.concat(F.coalesce(F.length("text"), F.lit(0)).cast("string"), F.lit(" characters"))
+    return messages.select(*layout.key, *layout.order, F.explode(F.array_compact(rows)).alias("j"), size.alias("reasoning")).select(
+        *layout.key, *layout.order, "j.*", F.lit(1.0).alias("confidence"), "reasoning", F.lit("lexical").alias("method"))
+
+
 def lexical_labels(messages: DataFrame, tests: dict[str, tuple[str, Column]]) -> DataFrame:
     """Ground propositions by column tests: ``prop -> (role, condition)``. A proposition
     of another role is false at that step, never carried over."""
@@ -162,19 +192,48 @@ HISTORY_NOTE = "already violated at an earlier step; the verdict is carried, not
 
 
 def violations(monitored: DataFrame, policies: list[Policy], layout: TraceLayout,
-               labels: list[str]) -> DataFrame:
-    """One row per false policy per step; needs ``monitor(..., history=True)``."""
+               labels: list[str], judgments: DataFrame | None = None) -> DataFrame:
+    """One row per false policy per step; needs ``monitor(..., history=True)``.
+
+    With ``judgments`` (see ``grounding_details``) each row also says how its step was grounded; a carried
+    violation says so first. Judgments meet the violated steps only, after the verdicts."""
     labeling = F.create_map(*[x for p in labels for x in (F.lit(p), F.col(p))])
     entries = F.array(*[F.struct(
         F.lit(p.policy_id).alias("policy_id"), F.lit(p.name).alias("policy_name"),
         F.lit(p.text).alias("formula_str"), F.col(f"ok_{p.policy_id}").alias("ok"),
         F.col(f"was_{p.policy_id}").alias("was_already_violated")) for p in policies])
     note = F.when(F.col("v.was_already_violated"), F.lit(HISTORY_NOTE))
-    return (monitored.withColumn("labeling", labeling)
+    rows = (monitored.withColumn("labeling", labeling)
             .withColumn("v", F.explode(F.filter(entries, lambda e: ~e["ok"])))
             .select(*layout.key, *layout.order, "v.policy_id", "v.policy_name",
                     "v.formula_str", "v.was_already_violated", "labeling",
                     note.alias("history_note")))
+    if judgments is None:
+        return rows
+    details = grounding_details(judgments, layout, labels)
+    kind = details.schema["grounding_details"].dataType
+    carried = F.array(F.struct(F.lit(HISTORY_PROP).alias("prop_id"), F.lit(False).alias("match"), F.lit(1.0).alias("confidence"),
+                               F.lit(HISTORY_NOTE).alias("reasoning"), F.lit(HISTORY_METHOD).alias("method")))
+    none = F.array().cast(kind)
+    found = F.coalesce("grounding_details", none)
+    return rows.join(details, [*layout.key, *layout.order], "left").withColumn(
+        "grounding_details", F.concat(F.when(F.col("was_already_violated"), carried).otherwise(none), found))
+
+
+def message_records(monitored: DataFrame, policies: list[Policy], layout: TraceLayout, labels: list[str],
+                    judgments: DataFrame) -> DataFrame:
+    """What is stored of a message: its verdicts, the violated policies with their formulas (null if none) and
+    how its propositions were grounded (null if nothing was judged)."""
+    entries = F.array(*[F.when(~F.col(f"ok_{p.policy_id}"), F.struct(
+        F.lit(p.policy_id).alias("policy_id"), F.lit(p.name).alias("policy_name"),
+        F.lit(p.text).alias("formula_str"))) for p in policies])
+    info = F.array_compact(entries)
+    rows = monitored.withColumn("__info", F.when(F.size(info) > 0, info))
+    details = grounding_details(judgments, layout, labels)
+    return rows.join(details, [*layout.key, *layout.order], "left").select(
+        *layout.key, *layout.order, "role", "text", (~F.col("passed")).alias("blocked"), "per_policy",
+        first_violated_policy(policies).alias("policy_id"), F.col("__info").alias("violation_info"),
+        F.when(F.size("grounding_details") > 0, F.col("grounding_details")).alias("grounding_details"))
 
 
 def first_violations(monitored: DataFrame, policies: list[Policy],

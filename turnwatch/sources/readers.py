@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwatch.functions.text import json_list, strip
-from turnwatch.plans.layout import SEGMENT_ROWS, TraceLayout
+from turnwatch.plans.layout import SEGMENT_ROWS, TraceLayout, ranked
 
 # Fixed words of the labelled text format.
 LABEL_WORDS = {"MATCH": "MATCH", "WARNING": "MATCH", "NO MATCH": "NO MATCH", "CLEAN": "NO MATCH"}
@@ -28,8 +28,13 @@ def propositions_scan(raw: DataFrame) -> DataFrame:
         json_list(F.col("few_shot_negative")).alias("few_shot_negative"))
 
 
-def policies_scan(raw: DataFrame, enabled_only: bool = False) -> DataFrame:
+def policies_scan(raw: DataFrame, enabled_only: bool = False, ranks: bool = False) -> DataFrame:
+    """Policies in the order they were made; with ``ranks`` their place in it is a column, which outlives
+    a shuffle or a written table."""
     out = raw.filter("enabled") if enabled_only else raw
+    if ranks:
+        rows = ranked(out.withColumn("__one", F.lit(1)), ["__one"], ["created_at", "policy_id"], "rank")
+        return rows.withColumn("rank", F.col("rank").cast("int")).drop("__one")
     return out.orderBy("created_at", "policy_id")
 
 

@@ -142,6 +142,13 @@ def policies_enabled(spark, sf):
         "policy_id", "name", "formula_str")
 
 
+@query("policies_ranked", f"""WITH {PART_SQL} SELECT policy_id, name, (row_number() OVER (ORDER BY created_at, policy_id) - 1)::INT AS rank
+ FROM pol WHERE enabled""")
+def policies_ranked(spark, sf):
+    """The enabled policies with their place in the list."""
+    return readers.policies_scan(part_policies(spark, sf), enabled_only=True, ranks=True).select("policy_id", "name", "rank")
+
+
 @query("policy_refs", f"""WITH {PART_SQL} SELECT policy_id, prop_id,
  prop_id IN (SELECT prop_id FROM props) AS known FROM refs""")
 def policy_refs(spark, sf):
@@ -352,6 +359,30 @@ def violations(spark, sf):
         F.col("labeling")["p_long"].alias("p_long"), F.col("labeling")["q_brief"].alias("q_brief"))
 
 
+# How each proposition of the message's role was decided, as text in the order of the tests.
+DETAIL_SQL = """g AS (SELECT conv_id, turn, CASE role
+ WHEN 'user' THEN concat('p_long=',p_long::INT,' p_short=',p_short::INT,' p_multi=',p_multi::INT)
+ WHEN 'assistant' THEN concat('q_brief=',q_brief::INT,' q_long=',q_long::INT,' q_multi=',q_multi::INT) ELSE '' END AS decided,
+ CASE WHEN role IN ('user','assistant') THEN 3 ELSE 0 END AS n, coalesce(length(text), 0) || ' characters' AS reason FROM m)"""
+
+
+def decided(details):
+    return F.array_join(F.transform(F.filter(details, lambda d: d["method"] == "lexical"), lambda d: F.concat(
+        d["prop_id"], F.lit("="), d["match"].cast("int").cast("string"))), " ")
+
+
+@query("violation_details", f"""WITH {V_SQL}, {LONG_SQL}, {DETAIL_SQL} SELECT conv_id, turn, policy_id, was AS carried, decided,
+ n + was::INT AS entries, reason FROM l JOIN g USING (conv_id, turn) WHERE NOT ok""")
+def violation_details(spark, sf):
+    out, layout = monitored(spark, sf, history=True)
+    judged = M.lexical_judgments(table(spark, sf, "conversations"), lexical_tests(), layout)
+    rows = M.violations(out, POLICIES, layout, list(lexical_tests()), judged)
+    details = F.col("grounding_details")
+    return rows.select("conv_id", "turn", "policy_id", (F.get(details, F.lit(0))["method"] == M.HISTORY_METHOD).alias("carried"),
+                       decided(details).alias("decided"), F.size(details).alias("entries"),
+                       F.element_at(details, -1)["reasoning"].alias("reason"))
+
+
 @query("first_violation", f"""WITH {V_SQL}, {LONG_SQL} SELECT conv_id, policy_id, min(turn) AS turn
  FROM l WHERE NOT ok GROUP BY ALL""")
 def first_violation(spark, sf):
@@ -455,6 +486,20 @@ def verdict_sink(spark, sf):
         "conv_id", "turn", "blocked", "policy_id", F.col("per_policy")["b"].alias("ok_b"))
 
 
+@query("message_record_sink", f"""WITH {V_SQL}, {DETAIL_SQL} SELECT conv_id, turn, NOT passed AS blocked,
+ nullif(concat_ws(',', CASE WHEN NOT ok_a THEN 'a' END, CASE WHEN NOT ok_b THEN 'b' END, CASE WHEN NOT ok_c THEN 'c' END), '') AS violated,
+ nullif(decided, '') AS decided FROM vv JOIN g USING (conv_id, turn)""")
+def message_record_sink(spark, sf):
+    """Messages stored with violations and grounding details, read back."""
+    out, layout = monitored(spark, sf)
+    judged = M.lexical_judgments(table(spark, sf, "conversations"), lexical_tests(), layout)
+    path = new_folder(spark, "messages")
+    sinks.write_verdicts(M.message_records(out, POLICIES, layout, list(lexical_tests()), judged), path)
+    return spark.read.parquet(path).select(
+        "conv_id", "turn", "blocked", F.array_join("violation_info.policy_id", ",").alias("violated"),
+        decided(F.col("grounding_details")).alias("decided"))
+
+
 @query("experiment_json_sink", f"""{REPLAY_SQL} SELECT conv_id, want AS expected_violation,
  act AS actual_violation, want=act AS success FROM o""")
 def experiment_json_sink(spark, sf):
