@@ -196,3 +196,52 @@ def test_both_ways_use_one_unit_length(spark):
     df = spark.createDataFrame(rows, "id long, pos long, g int, vec array<double>, relevance double, quota int, cluster int")
     one, many = (sorted(map(tuple, C.diverse_picks(df, ["g"], task_rows=n).collect())) for n in (1000, 1))
     assert one == many
+
+
+def plain_kmeans(ids, v, k, rounds):
+    seeds = [min(ids)]
+    while len(seeds) < k:
+        near = {i: min(round(sum((a - b) ** 2 for a, b in zip(v[i], v[j])), 9) for j in seeds) for i in ids}
+        far = max(ids, key=lambda i: (near[i], -i))
+        if near[far] == 0:
+            break
+        seeds.append(far)
+    centres = [np.array(v[i], float) for i in seeds]
+    for step in range(rounds + 1):
+        own = {i: min(range(len(centres)), key=lambda c: (round(float(((v[i] - centres[c]) ** 2).sum()), 9), c)) for i in ids}
+        if step < rounds:
+            centres = [np.mean([v[i] for i in ids if own[i] == c], axis=0) if c in own.values() else old
+                       for c, old in enumerate(centres)]
+    return own
+
+
+@pytest.mark.parametrize("task_rows", [4096, 5])
+def test_grouped_kmeans(pool, task_rows):
+    """Two groups with their own k, a third of the rows copies of one vector, a row without a vector."""
+    vec, items = pool
+    want = {}
+    for g, k in (("a", 4), ("b", 3)):
+        want |= plain_kmeans(groups()[g], vec, k, 3)
+    rows = items.withColumn("k", F.when(F.col("g") == "a", 4).otherwise(3))
+    empty = rows.limit(1).withColumns({"id": F.lit(999).cast("long"), "vec": F.lit(None).cast("array<double>")})
+    got = C.grouped_kmeans(rows.unionByName(empty), ["g"], 3, task_rows).collect()
+    assert {r["id"]: r["cluster"] for r in got} == want and len(got) == ROWS
+    copies = rows.filter("id % 3 = 0 and id < 40")  # one vector only
+    assert {r["cluster"] for r in C.grouped_kmeans(copies, ["g"], 3, task_rows).collect()} == {0}
+    assert C.grouped_kmeans(rows.limit(0), ["g"], 3, task_rows).count() == 0
+
+
+def test_selection_for_many_propositions(spark, pool):
+    """The large-group way picks what tasks pick, and caps hold for each proposition's clusters."""
+    vec, items = pool
+    rows = items.select(F.col("g").alias("prop"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("category"), "id", "pos", "vec")
+    props = spark.createDataFrame([("a", vec[1].tolist()), ("b", vec[2].tolist())], "prop string, prop_vec array<double>")
+    one, many = (sorted(map(tuple, C.mmr_clusters(rows, props, 8, cap=2, rounds=2, task_rows=n).collect())) for n in (4096, 5))
+    assert one == many and len(one) == 16
+    shaped = C.grouped_kmeans(rows.withColumn("k", F.lit(4)), ["prop"], 2).select("prop", "id", "cluster").collect()
+    cluster = {r["id"]: r["cluster"] for r in shaped}
+    for p in "ab":
+        used = [cluster[i] for q, i, _ in one if q == p]
+        sizes = [cluster[i] for i in groups()[p]]
+        room = sum(min(2, sizes.count(c)) for c in set(sizes))  # picks that the caps allow
+        assert sum(max(0, used.count(c) - 2) for c in set(used)) == max(0, 8 - room)

@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from turnwatch.functions.vectors import cosine, dot, exact_unit
+from turnwatch.functions.vectors import bind, cosine, dot, exact_unit
 from turnwatch.operators.grounding import knn_vote
 from turnwatch.plans.layout import SEGMENT_ROWS, ranked
 from turnwatch.plans.similarity import (
@@ -251,13 +252,16 @@ def _lambda(step: int, quota: int, base: float, anneal: bool) -> float:
 def diverse_picks(pool: DataFrame, group: list[str], base: float = 0.5, anneal: bool = True,
                   cap: int | None = None, task_rows: int = BLOCK_ROWS) -> DataFrame:
     """Maximal marginal relevance in every group at once. ``pool(*group, id, pos, vec,
-    relevance, quota, cluster)``; with ``cap`` no cluster gives more than that many picks
-    while another has candidates.
+    relevance, quota, cluster)``; with ``cap``, or a column of that name for a cap of each group, no
+    cluster gives more than that many picks while another has candidates.
 
     A group that fits a task is picked there; a larger one stays spread over the cluster
     and takes one Spark round per pick."""
     types = {f.name: f.dataType.simpleString() for f in pool.schema}
     fields = ", ".join(f"{g} {types[g]}" for g in group)
+    if cap is not None:
+        pool = pool.withColumn("cap", F.lit(cap))
+    capped = "cap" in pool.columns
     sizes = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     sized = pool.withColumn("relevance", F.round("relevance", 9)).join(broadcast_if_small(sizes), group)
 
@@ -278,8 +282,8 @@ def diverse_picks(pool: DataFrame, group: list[str], base: float = 0.5, anneal:
             else:
                 lam = _lambda(step - 1, quota, base, anneal)
                 score = lam * rel - (1 - lam) * near
-                if cap is not None:
-                    full = np.array([used.get(c, 0) >= cap for c in cluster])
+                if capped:
+                    full = np.array([used.get(c, 0) >= pdf["cap"].iloc[0] for c in cluster])
                     score = np.where(full, -np.inf, score)
             score = np.where(free, score, -np.inf)
             at = int(score.argmax()) if np.isfinite(score.max()) else int(free.argmax())
@@ -299,12 +303,13 @@ def diverse_picks(pool: DataFrame, group: list[str], base: float = 0.5, anneal:
     out = out.unionByName(ranked(whole.select(*group, "id", "pos"), group, ["pos"], "pick")
                           .select(*group, "id", F.col("pick").cast("int").alias("pick")))
     return out.unionByName(_pick_rounds(
-        large.filter(F.col("__n") > F.col("quota")), group, base, anneal, cap))
+        large.filter(F.col("__n") > F.col("quota")), group, base, anneal, capped))
 
 
-def _pick_rounds(pool: DataFrame, group: list[str], base: float, anneal: bool, cap: int | None) -> DataFrame:
+def _pick_rounds(pool: DataFrame, group: list[str], base: float, anneal: bool, capped: bool) -> DataFrame:
+    limit = ["cap"] if capped else []
     state = cut_lineage(pool.select(
-        *group, "id", "pos", exact_unit(F.col("vec")).alias("u"), "relevance", "quota", "cluster",
+        *group, "id", "pos", exact_unit(F.col("vec")).alias("u"), "relevance", "quota", "cluster", *limit,
         F.lit(None).cast("double").alias("near"), F.lit(0).alias("used"),
         F.lit(None).cast("int").alias("pick")))
     rounds = state.agg(F.max("quota")).first()[0] or 0
@@ -315,7 +320,7 @@ def _pick_rounds(pool: DataFrame, group: list[str], base: float, anneal: bool, c
             lam = F.when(F.col("quota") > 2, high + (low - high) * F.lit(step - 1) / (F.col("quota") - 2)) \
                 .otherwise(base)
         score = F.col("relevance") if step == 0 else lam * F.col("relevance") - (1 - lam) * F.col("near")
-        allowed = F.lit(True) if cap is None or step == 0 else F.col("used") < cap
+        allowed = F.lit(True) if not capped or step == 0 else F.col("used") < F.col("cap")
         best = state.filter(F.col("pick").isNull() & (F.col("quota") > step)).groupBy(*group).agg(
             F.max_by(F.struct("id", "u", "cluster"),
                      F.struct(allowed, F.when(allowed, score), -F.col("pos"))).alias("b"))
@@ -324,7 +329,7 @@ def _pick_rounds(pool: DataFrame, group: list[str], base: float, anneal: bool, c
         joined = state.join(broadcast_if_small(best, 50_000), group, "left")
         sim = F.round(dot(F.col("u"), F.col("bu")), 9)
         state = cut_lineage(joined.select(
-            *group, "id", "pos", "u", "relevance", "quota", "cluster",
+            *group, "id", "pos", "u", "relevance", "quota", "cluster", *limit,
             F.greatest("near", sim).alias("near"),
             (F.col("used") + F.coalesce((F.col("bc") == F.col("cluster")).cast("int"), F.lit(0))).alias("used"),
             F.when(F.col("bid") == F.col("id"), F.lit(step)).otherwise(F.col("pick")).alias("pick")))
@@ -351,19 +356,118 @@ def kmeans(items: DataFrame, k: int, seed: int = 42, max_iter: int = 100) -> Dat
     return model.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
 
 
+def _distances(vec: Column, centres: Column) -> Column:
+    """Squared distances to every centre, to nine decimals so that ties are the same everywhere."""
+    def squared(c):
+        apart = F.zip_with(vec, c, lambda x, y: x.cast("double") - y)
+        return F.round(F.aggregate(apart, F.lit(0.0), lambda acc, x: acc + x * x), 9)
+    return F.transform(centres, squared)
+
+
+def _farthest_first(items: DataFrame, group: list[str], most: int) -> DataFrame:
+    """``(*group, k, centres)``: the item of lowest id, then always the one farthest from the seeds so far
+    (ties to the lower id). A round is one aggregate of all groups; only the seeds are written."""
+    of = [*group, "k"]
+    first = items.groupBy(*of).agg(F.min_by("vec", "id").alias("vec"))
+    seeds = cut_lineage(first.select(*of, F.array(F.transform("vec", lambda x: x.cast("double"))).alias("centres")))
+    for _ in range(1, most):
+        met = items.join(broadcast_if_small(seeds), of).filter(F.size("centres") < F.col("k"))
+        far = met.select(*group, "id", "vec", F.array_min(_distances(F.col("vec"), F.col("centres"))).alias("d")).filter("d > 0")
+        best = far.groupBy(*group).agg(F.max_by("vec", F.struct("d", -F.col("id"))).alias("next"))
+        added = F.when(F.col("next").isNull(), F.col("centres")).otherwise(
+            F.concat("centres", F.array(F.transform("next", lambda x: x.cast("double")))))
+        seeds = cut_lineage(seeds.join(best, group, "left").select(*of, added.alias("centres")))
+    return seeds
+
+
+def _settle_clusters(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    """The clusters of one group that fits a task, by the same steps."""
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    v = np.stack(pdf["vec"].to_list()).astype(np.float64)
+
+    def away(centre):
+        return np.rint(((v - centre) ** 2).sum(axis=1) * SCALE) / SCALE
+    centres, near = [v[0]], away(v[0])
+    while len(centres) < pdf["k"].iloc[0] and near.max() > 0:
+        centres.append(v[near.argmax()])
+        near = np.minimum(near, away(centres[-1]))
+    centres = np.array(centres)
+    for _ in range(rounds):
+        cluster = np.stack([away(c) for c in centres]).argmin(axis=0)
+        new = np.array([v[cluster == i].mean(axis=0) if (cluster == i).any() else c for i, c in enumerate(centres)])
+        moved = np.abs(new - centres).max() > 1e-9
+        centres = new
+        if not moved:
+            break
+    return pdf.assign(cluster=np.stack([away(c) for c in centres]).argmin(axis=0))
+
+
+def grouped_kmeans(items: DataFrame, group: list[str], rounds: int = 20, task_rows: int = BLOCK_ROWS) -> DataFrame:
+    """k-means in every group at once: ``items(*group, id, vec, k)`` with ``cluster`` added; ``k`` is the same in
+    all rows of a group and ids are told apart. Seeds are chosen farthest first, so the result depends on the
+    rows alone; a group with fewer distinct vectors than ``k`` has as many clusters as those.
+
+    A group that fits a task is clustered there. For larger ones each of at most ``rounds`` Lloyd steps is one
+    aggregate of all of them keyed by (group, cluster), combined before the shuffle; the steps end when no centre
+    moves. A cluster that loses its items keeps its centre. Rows without a vector are left out."""
+    items = items.filter(F.col("vec").isNotNull())
+    sizes = items.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    sized = items.join(broadcast_if_small(sizes), group)
+    small = sized.filter(F.col("__n") <= task_rows).select(*items.columns)
+    schema = StructType([*small.schema.fields, StructField("cluster", IntegerType())])
+    out = small.groupBy(*group).applyInPandas(lambda pdf: _settle_clusters(pdf, rounds), schema)
+    large = sized.filter(F.col("__n") > task_rows).select(*items.columns)
+    return out if large.isEmpty() else out.unionByName(_cluster_rounds(cut_lineage(large), group, rounds))
+
+
+def _cluster_rounds(items: DataFrame, group: list[str], rounds: int) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    of = [*group, "k"]
+    centres = _farthest_first(items, group, items.agg(F.max("k")).first()[0])
+
+    def assigned(now):
+        d = _distances(F.col("vec"), F.col("centres"))
+        near = bind(d, lambda x: F.array_position(x, F.array_min(x)) - 1).cast("int")
+        return items.join(broadcast_if_small(now.select(*of, "centres")), of).withColumn("cluster", near)
+
+    for _ in range(rounds):
+        means = assigned(centres).groupBy(*group, "cluster").agg(
+            Summarizer.mean(array_to_vector(F.transform("vec", lambda x: x.cast("double")))).alias("m"))
+        lists = means.groupBy(*group).agg(F.map_from_entries(F.collect_list(  # at most k entries
+            F.struct("cluster", vector_to_array("m").alias("m")))).alias("by"))
+        new = F.transform("centres", lambda c, i: F.coalesce(F.col("by")[i], c))
+        moved = F.exists(F.zip_with("centres", new, lambda a, b: F.exists(
+            F.zip_with(a, b, lambda x, y: F.abs(x - y) > 1e-9), lambda far: far)), lambda far: far)
+        centres = cut_lineage(centres.join(lists, group).select(*of, new.alias("centres"), moved.alias("moved")))
+        if centres.filter("moved").isEmpty():
+            break
+        centres = centres.drop("moved")
+    return assigned(centres).select(*items.columns, "cluster")
+
+
+def mmr_clusters(pool: DataFrame, propositions: DataFrame, target_n: int, base: float = 0.5, anneal: bool = True,
+                 cap: int | None = None, rounds: int = 20, task_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Cluster-capped selection for every proposition at once: ``pool(prop, category, id, pos, vec)``,
+    ``propositions(prop, prop_vec)``. A pool of at most ``target_n`` items is taken whole."""
+    shape = pool.groupBy("prop").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("category").alias("c"))
+    k = F.least(F.col("n") - 1, F.greatest(F.lit(4), 2 * F.col("c")))
+    most = F.lit(cap) if cap is not None else F.greatest(F.lit(3), F.floor(F.lit(target_n) / F.col("k")) * 2)
+    shape = shape.withColumn("k", F.greatest(F.lit(1), k).cast("int")).select("prop", "n", "k", most.cast("int").alias("cap"))
+    rows = (pool.join(broadcast_if_small(shape), "prop")
+            .join(broadcast_if_small(propositions.select("prop", "prop_vec")), "prop")
+            .withColumn("relevance", cosine(F.col("vec"), F.col("prop_vec"))).drop("prop_vec")
+            .withColumn("quota", F.lit(target_n)))
+    small = rows.filter(F.col("n") <= target_n).withColumn("cluster", F.lit(0))
+    large = cut_lineage(grouped_kmeans(rows.filter(F.col("n") > target_n), ["prop"], rounds, task_rows))  # read several times
+    return diverse_picks(large.unionByName(small).drop("n", "k"), ["prop"], base, anneal, None, task_rows)
+
+
 def mmr_cluster(pool: DataFrame, prop_vec: list[float], target_n: int, base: float = 0.5,
                 anneal: bool = True, cap: int | None = None, task_rows: int = BLOCK_ROWS) -> DataFrame:
     """Cluster-capped selection from one proposition's pool ``(id, pos, vec, category)``."""
-    shape = pool.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("category").alias("c")).first()
-    if shape["n"] <= target_n:
-        return ranked(pool.select("id", "pos").withColumn("one", F.lit(1)), ["one"], ["pos"], "pick") \
-            .select("id", F.col("pick").cast("int").alias("pick"))
-    k = min(shape["n"] - 1, max(4, 2 * shape["c"]))
-    cap = cap or max(3, target_n // k * 2)
-    target = F.array(*[F.lit(float(x)) for x in prop_vec])
-    rows = (kmeans(pool, k).withColumn("relevance", cosine(F.col("vec"), target))
-            .withColumn("quota", F.lit(target_n)).withColumn("one", F.lit(1)))
-    return diverse_picks(rows, ["one"], base, anneal, cap, task_rows).drop("one")
+    one = pool.sparkSession.createDataFrame([(0, [float(x) for x in prop_vec])], "prop int, prop_vec array<double>")
+    return mmr_clusters(pool.withColumn("prop", F.lit(0)), one, target_n, base, anneal, cap, task_rows=task_rows).drop("prop")
 
 
 # -- boundary and mining -------------------------------------------------------------------------

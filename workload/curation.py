@@ -141,10 +141,12 @@ def mmr_quotas(spark, sf):
 
 
 # One row per group and step carries the picks so far; every step scores what is left of the group.
-MMR_SQL = """near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v,y.v),9) AS s FROM cand x JOIN cand y ON x.grp=y.grp),
+MMR_SQL = """near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v,y.v),9) AS s, x.cl=y.cl AS same
+ FROM cand x JOIN cand y ON x.grp=y.grp),
  walk AS (SELECT grp, quota, 1 AS step, [list(id ORDER BY rel DESC, id)[1]] AS picks FROM cand WHERE n > quota AND quota > 0 GROUP BY grp, quota
- UNION ALL SELECT grp, quota, step+1, list_append(any_value(picks), list(id ORDER BY score DESC, id)[1]) FROM (
-  SELECT w.grp, w.quota, w.step, c.id, any_value(w.picks) AS picks, any_value(lam)*any_value(c.rel) - (1-any_value(lam))*max(s) AS score
+ UNION ALL SELECT grp, quota, step+1, list_append(any_value(picks), list(id ORDER BY open DESC, CASE WHEN open THEN score END DESC, id)[1]) FROM (
+  SELECT w.grp, w.quota, w.step, c.id, any_value(w.picks) AS picks, any_value(lam)*any_value(c.rel) - (1-any_value(lam))*max(s) AS score,
+   count(nullif(same,false)) < any_value(c.cap) AS open
   FROM (SELECT *, CASE WHEN quota <= 2 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE + (0.2::DOUBLE-0.8::DOUBLE)*(step-1)/(quota-2) END AS lam FROM walk WHERE step < quota) w
   JOIN cand c ON c.grp=w.grp AND NOT list_contains(w.picks, c.id) JOIN near ON a=c.id AND list_contains(w.picks, b)
   GROUP BY w.grp, w.quota, w.step, c.id) GROUP BY grp, quota, step),
@@ -152,7 +154,7 @@ MMR_SQL = """near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, round(list_cosin
  SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id)-1 FROM cand WHERE n <= quota)"""
 
 
-@query("mmr_balanced", f"""WITH RECURSIVE {_quota_sql(15)}, cand AS MATERIALIZED (SELECT [prop::VARCHAR, q.category] AS grp, quota, n, e.vec_id AS id,
+@query("mmr_balanced", f"""WITH RECURSIVE {_quota_sql(15)}, cand AS MATERIALIZED (SELECT [prop::VARCHAR, q.category] AS grp, quota, n, 0 AS cl, n AS cap, e.vec_id AS id,
  e.embedding::DOUBLE[] AS v, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]),9) AS rel
  FROM embeddings e JOIN embeddings p ON p.vec_id=e.label JOIN quotas q ON prop=e.label AND category=CASE WHEN e.embedding[1]>0 THEN 'right' ELSE 'left' END),
  {MMR_SQL} SELECT grp[1]::INT AS prop, grp[2] AS category, id, pick::INT AS pick FROM picked""")
@@ -160,6 +162,43 @@ def mmr_balanced(spark, sf):
     return C.mmr_balanced(labelled_pool(spark, sf), propositions(spark, sf), 15)
 
 
+# Farthest-first seeds by recursion, then the Lloyd steps one after the other.
+def _kmeans_sql(rounds: int) -> str:
+    """``k{rounds}(grp, id, cl)`` from ``item(grp, id, v, k)``."""
+    steps = ["""far AS MATERIALIZED (SELECT x.grp, x.id AS a, y.id AS b, round(list_distance(x.v,y.v)**2, 9) AS d FROM item x JOIN item y ON x.grp=y.grp),
+ seed AS (SELECT grp, k, [min(id)] AS ids FROM item GROUP BY grp, k UNION ALL
+  SELECT grp, k, list_append(any_value(ids), list(a ORDER BY d DESC, a)[1]) FROM (
+   SELECT s.grp, s.k, a, any_value(ids) AS ids, min(d) AS d FROM seed s JOIN far f ON f.grp=s.grp AND list_contains(s.ids, f.b)
+   WHERE len(s.ids) < s.k GROUP BY s.grp, s.k, a HAVING min(d) > 0) GROUP BY grp, k),
+ c0 AS MATERIALIZED (SELECT s.grp, list_position(ids, id)-1 AS cl, v FROM (SELECT grp, arg_max(ids, len(ids)) AS ids FROM seed GROUP BY grp) s
+  JOIN item i ON i.grp=s.grp AND list_contains(ids, id))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""k{i} AS MATERIALIZED (SELECT i.grp, i.id, any_value(i.v) AS v, list(c.cl ORDER BY round(list_distance(i.v,c.v)**2, 9), c.cl)[1] AS cl
+ FROM item i JOIN c{i} c ON c.grp=i.grp GROUP BY i.grp, i.id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.grp, c.cl, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT grp, cl, list(x ORDER BY j) AS v
+ FROM (SELECT grp, cl, j, avg(v[j]) AS x FROM k{i}, range(1, 1 + (SELECT max(len(v)) FROM item)) t(j) GROUP BY grp, cl, j) GROUP BY grp, cl) m
+ ON m.grp=c.grp AND m.cl=c.cl)""")
+    return ", ".join(steps)
+
+
+@query("grouped_kmeans", f"""WITH RECURSIVE item AS MATERIALIZED (SELECT label AS grp, vec_id AS id, embedding::DOUBLE[] AS v, 3 + label % 3 AS k
+ FROM embeddings), {_kmeans_sql(3)} SELECT grp AS label, id, cl::INT AS cluster FROM k3""")
+def grouped_kmeans(spark, sf):
+    items = vector_items(spark, sf).select("label", "id", "vec", (3 + F.col("label") % 3).alias("k"))
+    return C.grouped_kmeans(items, ["label"], rounds=3).select("label", "id", "cluster")
+
+
+@query("mmr_clusters", f"""WITH RECURSIVE size AS (SELECT label, count(*) AS n, least(count(*)-1, greatest(4, 2*count(DISTINCT embedding[1]>0))) AS k
+ FROM embeddings GROUP BY label), item AS MATERIALIZED (SELECT label AS grp, vec_id AS id, embedding::DOUBLE[] AS v, k FROM embeddings JOIN size USING (label)
+ WHERE n > 12), {_kmeans_sql(3)}, cand AS MATERIALIZED (SELECT e.label AS grp, 12 AS quota, n, coalesce(k3.cl, 0) AS cl, greatest(3, 12//k*2) AS cap, e.vec_id AS id,
+ e.embedding::DOUBLE[] AS v, round(list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]),9) AS rel
+ FROM embeddings e JOIN embeddings p ON p.vec_id=e.label JOIN size ON size.label=e.label LEFT JOIN k3 ON k3.id=e.vec_id),
+ {MMR_SQL} SELECT grp::INT AS prop, id, pick::INT AS pick FROM picked""")
+def mmr_clusters(spark, sf):
+    return C.mmr_clusters(labelled_pool(spark, sf), propositions(spark, sf), 12, rounds=3)
+
+
 @query("mmr_cluster")
 def mmr_cluster(spark, sf):
     pool = table(spark, sf, "embeddings").select(
