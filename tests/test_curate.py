@@ -245,3 +245,13 @@ def test_selection_for_many_propositions(spark, pool):
         sizes = [cluster[i] for i in groups()[p]]
         room = sum(min(2, sizes.count(c)) for c in set(sizes))  # picks that the caps allow
         assert sum(max(0, used.count(c) - 2) for c in set(used)) == max(0, 8 - room)
+
+
+def test_weak_zones_of_two_blobs(spark):
+    """Two far apart blobs of low-margin items; one holds negatives only, the other more positives."""
+    blobs = [(i, int(i >= 6 and i != 11), [float(i % 3), 0.0] if i < 6 else [50.0 + i % 2, 50.0], 0.1) for i in range(12)]
+    low = spark.createDataFrame(blobs, "id long, label int, vec array<float>, margin double")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "id long, text string")
+    got = sorted((r["size"], r["n_pos"], r["n_neg"], r["add"], tuple(r["texts"])) for r in C.weak_zones(low, texts, 3).collect())
+    assert got == [(6, 0, 3, "positive", ("t0", "t1", "t2")), (6, 3, 0, "negative", ("t6", "t7", "t8"))]
+    assert C.weak_zones(low.limit(0), texts).count() == 0

@@ -348,14 +348,6 @@ def mmr_balanced(pool: DataFrame, propositions: DataFrame, target_n: int, base:
     return diverse_picks(rows, ["prop", "category"], base, anneal, task_rows=task_rows)
 
 
-def kmeans(items: DataFrame, k: int, seed: int = 42, max_iter: int = 100) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    data = items.withColumn("features", array_to_vector(F.transform("vec", lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
-    return model.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
-
-
 def _distances(vec: Column, centres: Column) -> Column:
     """Squared distances to every centre, to nine decimals so that ties are the same everywhere."""
     def squared(c):
@@ -504,7 +496,9 @@ def low_margin(items: DataFrame, share: float = 0.25, min_class: int = 10, min_h
 
 def weak_zones(low: DataFrame, texts: DataFrame, per_zone: int = 6) -> DataFrame:
     """Clusters of low-margin items: size, the first examples and the class to add."""
-    return zone_report(kmeans(low, min(5, max(2, low.count() // 5)), max_iter=300), texts, per_zone)
+    low = cut_lineage(low)
+    whole = low.withColumns({"__g": F.lit(0), "k": F.lit(min(5, max(2, low.count() // 5)))})
+    return zone_report(grouped_kmeans(whole.select("__g", "id", "label", "vec", "k"), ["__g"], rounds=300), texts, per_zone)
 
 
 def zone_report(zones: DataFrame, texts: DataFrame, per_zone: int = 6) -> DataFrame:
