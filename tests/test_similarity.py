@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwatch.functions.vectors import cosine
 from turnwatch.operators import evaluate as E
 from turnwatch.operators import grounding as G
+from turnwatch.plans import similarity as S
 from turnwatch.plans.similarity import nearest, search, view_scores
 
 
@@ -136,3 +137,48 @@ def test_thousands_of_small_propositions(spark):
     one = search(messages, library, 1)
     key = ["msg_id", "prop", "top_sim", "top_id", "pool"]
     assert many.count() == 24_000 and many.select(key).exceptAll(one.select(key)).count() == 0
+
+
+def test_strips_give_what_whole_rows_of_similarities_give():
+    rng = np.random.default_rng(3)
+    for floor, skip, positives, views in ((True, True, 1500, 2), (False, True, 3000, 1), (True, False, 2, 3), (False, False, 0, 1)):
+        n, m = 3000, 90
+        vectors = rng.normal(size=(n, 8)).astype(np.float32)
+        vectors[1000:1400] = vectors[:400]                       # exact ties
+        ids = rng.integers(0, 60, n)
+        anchors = S.Anchors(ids, np.arange(n) < positives, ids, np.arange(n), vectors)
+        counts = np.where(np.arange(m) % 7 == 3, 0, views)       # some messages without a view
+        rows = S.units(np.vstack([vectors[:20], rng.normal(size=(counts.sum() - 20, 8))]).astype(float))
+        args = (np.arange(m), rows, np.cumsum(counts) - counts, anchors, 9, floor, skip)
+        whole, strips = ([np.concatenate([np.asarray(part[i]) for part in way(*args)]) for i in range(2, 10)]
+                         for way in (S._best_at_once, S._best_by_strips))
+        for i, (a, b) in enumerate(zip(whole, strips)):
+            if i < 2:
+                a, b = np.where(whole[2], a, 0), np.where(strips[2], b, 0)
+            assert np.array_equal(a, b, equal_nan=a.dtype.kind == "f"), i
+
+
+def test_many_anchors_never_become_whole_rows(monkeypatch):
+    monkeypatch.setattr(S, "_best_at_once", None)
+    vectors = np.eye(4, dtype=np.float32)[np.arange(2000) % 4]
+    anchors = S.Anchors(np.arange(2000), np.ones(2000, bool), np.arange(2000), np.arange(2000), vectors)
+    found = list(S.best_k(np.array([7]), np.eye(4)[:1], np.array([0]), anchors, 3, True, False))
+    assert [x.tolist() for x in (found[0][2][0], found[0][3][0])] == [[1.0, 1.0, 1.0], [0, 4, 8]]
+
+
+def test_blocks_hold_whole_propositions():
+    placed, blocks, together = S._homes([(p, n) for p, n in enumerate((40, 30, 50, 250, 20, 20))], 100)
+    assert placed == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (3, 2, 3), (4, 5, 1), (5, 5, 1)] and blocks == 6 and together == 2
+
+
+def test_own_propositions_in_blocks_without_a_merge(spark):
+    rng = np.random.default_rng(5)
+    library = spark.createDataFrame([(i % 4, i % 3 > 0, i, i, rng.normal(size=6).tolist()) for i in range(200)],
+                                    "prop int, is_positive boolean, idx long, anchor_id long, embedding array<float>")
+    messages = spark.createDataFrame([(i, [rng.normal(size=6).tolist()], i % 5) for i in range(60)],
+                                     "msg_id long, views array<array<float>>, prop int")
+    for frame in (messages, messages.drop("prop")):
+        plain = sorted(map(str, S.search(frame, library, 4, skip_same=True).collect()))
+        for rows in (60, 20):  # whole propositions, and propositions over three blocks
+            got = S.search(frame, library, 4, skip_same=True, broadcast_values=0, block_rows=rows).collect()
+            assert sorted(map(str, got)) == plain
