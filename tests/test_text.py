@@ -10,6 +10,7 @@ from turnwatch.functions import prompts as P
 from turnwatch.functions import text as T
 from turnwatch.operators import grounding as G
 from turnwatch.operators import monitor as M
+from turnwatch.operators.extraction import letters
 from turnwatch.plans.layout import TraceLayout
 from turnwatch.session import new_folder
 from turnwatch.sources import readers, sinks
@@ -178,3 +179,14 @@ def test_bad_policy_sets_are_refused(spark):
         M.monitor(labelled, [M.Policy(str(i), "n", "p") for i in range(51)], layout)
     with pytest.raises(ValueError):
         M.monitor(labelled, [M.Policy("a", "n", "p & " * 300 + "p")], layout)
+
+
+def test_letters_of_arrays_are_counted_as_one_text_at_a_time(spark, monkeypatch):
+    from turnwatch.functions import vectors as V
+    monkeypatch.setattr(V, "_COUNTED", 7)
+    rows = [(0, ["Abc a\u0130K\u212a", None, "", "zz top"]), (1, None), (2, []), (3, ["\u00e9 xyz" * 5]), (4, [None])]
+    texts = spark.createDataFrame(rows, "i int, t array<string>")
+    got = texts.select("i", F.transform("t", V.letter_histogram).alias("a"), V.letter_histograms(F.col("t")).alias("b")).collect()
+    assert len(got) == 5 and all(r["a"] == r["b"] for r in got)
+    plan = texts.select(letters(F.col("t")))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
