@@ -206,16 +206,17 @@ def class_similarity_histogram(items: DataFrame, bins: int = 40, **kw) -> tuple[
     width = 2.0 / bins
     flat = items.select("id", "vec", "is_pos", F.lit(0).alias("g"), F.col("id").alias("pos"))
 
-    def kinds(rows, others):
-        xp, yp = rows["is_pos"].astype(bool)[:, None], others["is_pos"].astype(bool)[None, :]
-        before = rows["id"][:, None] < others["id"][None, :]
-        return {"pp": xp & yp & before, "pn": xp & ~yp, "nn": ~xp & ~yp & before}
+    def of(kind, rows, others, sims):
+        """The similarities of a kind's pairs; only those are looked at."""
+        x, y = (side["is_pos"].astype(bool) == (want == "p") for side, want in zip((rows, others), kind))
+        part = sims[np.ix_(x, y)]
+        return part.ravel() if kind == "pn" else part[rows["id"][x][:, None] < others["id"][y][None, :]]
 
     def look(rows, others, sims):
         out = []
-        cell = np.clip(np.floor((sims + 1) / width).astype(int), 0, bins - 1)
-        for kind, mask in kinds(rows, others).items():
-            s, b = sims[mask], cell[mask]
+        for kind in ("pp", "pn", "nn"):
+            s = of(kind, rows, others, sims)
+            b = np.clip(np.floor((s + 1) / width).astype(int), 0, bins - 1)
             n = np.bincount(b, minlength=bins)
             part = pd.DataFrame({"kind": kind, "bin": np.arange(bins), "n": n,
                                  "s": np.bincount(b, s, bins), "s2": np.bincount(b, s * s, bins)})
@@ -232,8 +233,8 @@ def class_similarity_histogram(items: DataFrame, bins: int = 40, **kw) -> tuple[
     edge = mean - max(0.0, pp["s2"] / pp["n"] - mean * mean) ** 0.5 if pp else 0.0
 
     def above(rows, others, sims):
-        mask = kinds(rows, others)["pn"]
-        return pd.DataFrame({"n": [int(mask.sum())], "hit": [int((sims[mask] > edge).sum())]})
+        s = of("pn", rows, others, sims)
+        return pd.DataFrame({"n": [len(s)], "hit": [int((s > edge).sum())]})
 
     share = compare(flat, ["g"], above, "n long, hit long", **kw).agg(
         (F.sum("hit") / F.sum("n")).alias("overlap"))
