@@ -182,3 +182,20 @@ def test_own_propositions_in_blocks_without_a_merge(spark):
         for rows in (60, 20):  # whole propositions, and propositions over three blocks
             got = S.search(frame, library, 4, skip_same=True, broadcast_values=0, block_rows=rows).collect()
             assert sorted(map(str, got)) == plain
+
+
+def test_block_pairs_fill_the_cores():
+    """Few anchor blocks still make work for every core, and a pair stays bounded however many messages there are."""
+    blocks = S._message_blocks(100_000, 100_000, 300_000, 64, 20, 187_500, 3, 1, 12)
+    assert blocks * 3 >= 24
+    for n in (600_000, 6_000_000):
+        blocks = S._message_blocks(n, 2 * n, 2 * n, 64, 20, 187_500, 12 * n // 600_000, 1, 12)
+        assert 2 * n * 2 * n / (blocks * (12 * n // 600_000)) <= S.PAIR_CELLS * 1.01
+    assert S._message_blocks(40, 40, 40, 8, 3, 1000, 1, 1, 12) == 1
+
+
+def test_own_anchors_in_a_strip():
+    ids = np.array([5, 7, 5, 9, 2, 5])
+    anchors = S.Anchors(ids, ids > 0, ids, ids, np.ones((6, 2)))
+    rows, cols = S._own_anchors(np.array([5, 1, 9]), anchors, 1, 6)
+    assert sorted(zip(rows.tolist(), cols.tolist())) == [(0, 1), (0, 4), (2, 2)]
