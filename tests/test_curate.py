@@ -255,3 +255,27 @@ def test_weak_zones_of_two_blobs(spark):
     got = sorted((r["size"], r["n_pos"], r["n_neg"], r["add"], tuple(r["texts"])) for r in C.weak_zones(low, texts, 3).collect())
     assert got == [(6, 0, 3, "positive", ("t0", "t1", "t2")), (6, 3, 0, "negative", ("t6", "t7", "t8"))]
     assert C.weak_zones(low.limit(0), texts).count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_least_hit_is_where_rounding_hits(inclusive):
+    hit = np.greater_equal if inclusive else np.greater
+    for threshold in (0.995, 0.6, 0.0, -0.25):
+        least = C._least_hit(threshold, inclusive)
+        assert hit(np.rint(least * SCALE) / SCALE, threshold)
+        assert not hit(np.rint(np.nextafter(least, -3) * SCALE) / SCALE, threshold)
+
+
+def test_large_groups_meet_seeds_only(spark, monkeypatch):
+    """No round compares all pairs of a large group, and vectors that share an id are told apart as in a small one."""
+    rng = np.random.default_rng(4)
+    vec = rng.normal(size=(60, 3)).round(2)
+    items = spark.createDataFrame([(i // 2, i // 2, "a", v.tolist()) for i, v in enumerate(vec)], "id long, pos long, g string, vec array<double>")
+    want = sorted((r.id, r.leader) for r in C.leader_clusters(items.repartition(1), ["g"], 0.8).collect())
+    monkeypatch.setattr(C, "compare", None)
+    got = C.leader_clusters(items, ["g"], 0.8, block_rows=16).collect()
+    assert len(got) == len(want) and {r.id for r in got} == {i for i, _ in want}
+    u = units(vec.copy())
+    seeds = {r.leader for r in got}
+    assert all(max(u[2 * r.id + j] @ u[2 * r.leader + i] for i in (0, 1) for j in (0, 1)) >= 0.8 - 1e-9 for r in got)
+    assert {r.id for r in C.greedy_dedup(items, ["g"], 0.8, inclusive=True, block_rows=16).collect()} == seeds
