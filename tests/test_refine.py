@@ -70,3 +70,14 @@ def test_odd_rows(spark):
     still = {r["anchor_id"]: r["embedding"] for r in C.anchor_refine(a, x.limit(0), **opts).collect()}
     assert all(np.allclose(still[i], anchors[i]) for i in range(6))
     assert C.anchor_refine(a.limit(0), x, **opts).count() == 0
+
+
+def test_equal_starts_are_searched_once(spark, monkeypatch):
+    """All runs start from the same anchors, so the first look searches one copy of them; later ones only the runs that train."""
+    anchors, labels, q, y = data(seed=9, n=30, count=8)
+    a, x = frames(spark, anchors, labels, q, y)
+    seen, plain = [], C.search
+    monkeypatch.setattr(C, "search", lambda messages, library, *args, **kw: (
+        seen.append(library.select("prop").distinct().count()), plain(messages, library, *args, **kw))[1])
+    C.anchor_refine(a, x, epochs=2, folds=3, rate=0.05, temperature=0.3, k=4)
+    assert seen[0] == 1 and seen[1:3] == [3, 3] and set(seen[3:]) <= {1} and len(seen) <= 4
