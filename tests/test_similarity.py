@@ -199,3 +199,20 @@ def test_own_anchors_in_a_strip():
     anchors = S.Anchors(ids, ids > 0, ids, ids, np.ones((6, 2)))
     rows, cols = S._own_anchors(np.array([5, 1, 9]), anchors, 1, 6)
     assert sorted(zip(rows.tolist(), cols.tolist())) == [(0, 1), (0, 4), (2, 2)]
+
+
+def test_messages_of_one_partition_are_dealt_over_tasks(spark, monkeypatch):
+    """A table in one row group is one task's work unless the search deals it; the rows stay the same."""
+    rng = np.random.default_rng(8)
+    library = spark.createDataFrame([(i % 2, i % 3 > 0, i, i, rng.normal(size=5).tolist()) for i in range(120)],
+                                    "prop int, is_positive boolean, idx long, anchor_id long, embedding array<float>")
+    messages = spark.createDataFrame([(i, [rng.normal(size=5).tolist()] * (i % 3)) for i in range(90)],
+                                     "msg_id long, views array<array<float>>").coalesce(1)
+    plain = S.search(messages, library, 4, skip_same=True)
+    assert plain.rdd.getNumPartitions() == 1  # a small library is not worth it
+    monkeypatch.setattr(S, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(S, "PAIR_CELLS", 1000)
+    dealt = S.search(messages, library, 4, skip_same=True)
+    assert dealt.rdd.getNumPartitions() == 11
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    assert S.search(messages.limit(0), library, 4).count() == 0
