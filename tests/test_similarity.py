@@ -216,3 +216,15 @@ def test_messages_of_one_partition_are_dealt_over_tasks(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 11
     assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
     assert S.search(messages.limit(0), library, 4).count() == 0
+
+
+def test_votes_work_out_each_list_of_voters_once(spark):
+    """The lists of a message are columns; looking a voter up does not make them again."""
+    entry = "array<struct<order_by:double,rank:int,sim:double,is_positive:boolean,anchor_id:long,voter_key:long>>"
+    voters = spark.createDataFrame(
+        [(1, "x", [0.9, 0.8], [True, False], [4, 5], [4, 5], [(-0.5, 1, 0.8, False, 5, 5), (-0.4, 0, 0.9, True, 4, 7)])],
+        f"msg_id long, prop string, top_sim array<double>, top_pos array<boolean>, top_id array<long>, top_key array<long>, nli_top {entry}")
+    for frame in (G.voter_overlap(voters), G.score_all_modes(voters), G.hybrid_vote(voters)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 4
+    assert sorted(tuple(r)[2:] for r in G.voter_overlap(voters).collect()) == [
+        (4, True, True, False, False), (5, False, True, True, True), (7, True, False, True, False)]
