@@ -215,6 +215,23 @@ def plain_kmeans(ids, v, k, rounds):
     return own
 
 
+def test_kmeans_steps_of_large_groups(pool, monkeypatch):
+    """Many steps of large groups take one job each; joined centres, for groups beyond counting, give the same."""
+    vec, items = pool
+    rows = items.withColumn("k", F.when(F.col("g") == "a", 4).otherwise(3))
+    want = {}
+    for g, k in (("a", 4), ("b", 3)):
+        want |= plain_kmeans(groups()[g], vec, k, 6)
+    steps = []
+    shared = C._adder
+    monkeypatch.setattr(C, "_adder", lambda now: steps.append(len(now)) or shared(now))
+    for values in (C.CENTRE_VALUES, 0):
+        monkeypatch.setattr(C, "CENTRE_VALUES", values)
+        got = C.grouped_kmeans(rows, ["g"], 6, 5).collect()
+        assert {r["id"]: r["cluster"] for r in got} == want
+    assert 1 <= len(steps) <= 6 and set(steps) == {2}
+
+
 @pytest.mark.parametrize("task_rows", [4096, 5])
 def test_grouped_kmeans(pool, task_rows):
     """Two groups with their own k, a third of the rows copies of one vector, a row without a vector."""
