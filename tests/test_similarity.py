@@ -228,3 +228,61 @@ def test_votes_work_out_each_list_of_voters_once(spark):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 4
     assert sorted(tuple(r)[2:] for r in G.voter_overlap(voters).collect()) == [
         (4, True, True, False, False), (5, False, True, True, True), (7, True, False, True, False)]
+
+
+def ring(spark, n, props, seed=11, width=8):
+    """Every vector is a positive of one proposition and a negative of the next."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(size=(n, width)).astype(np.float32)
+    vectors[n // 2:n // 2 + 200] = vectors[:200]  # exact ties
+    rows = [((i + s) % props, s == 0, i, i, vectors[i].tolist()) for i in range(n) for s in (0, 1)]
+    return vectors, spark.createDataFrame(rows, "prop int, is_positive boolean, idx long, anchor_id long, embedding array<float>")
+
+
+def test_classes_with_the_same_anchors_are_compared_once(spark):
+    """One product for both propositions that hold a set of anchors, and the lists of plain rows of similarities."""
+    vectors, library = ring(spark, 4000, 4)
+    table = S.by_proposition(library.withColumn("voter_key", F.col("anchor_id")).toArrow())
+    parts = S.sections(list(table.values()))
+    assert len(parts) == 4 and sorted(len(p.users) for p in parts) == [2, 2, 2, 2]
+    m = 70
+    for floor, views in ((True, 2), (False, 1), (True, 3)):
+        counts = np.where(np.arange(m) % 9 == 4, 0, 1 + np.arange(m) % views)  # ragged, some without a view
+        rows = S.units(np.vstack([vectors[:30], np.random.default_rng(2).normal(size=(counts.sum() - 30, 8))]).astype(float))
+        args = np.arange(m), rows, np.cumsum(counts) - counts
+        got = {}
+        for prop, part in S.best_lists(*args, S.Library(table), 9, floor, True):
+            got.setdefault(prop, []).append(part)
+        for prop, anchors in table.items():
+            whole, shared = ([np.concatenate([np.asarray(part[i]) for part in way]) for i in range(2, 10)]
+                             for way in (list(S._best_at_once(*args, anchors, 9, floor, True)), got[prop]))
+            for i, (a, b) in enumerate(zip(whole, shared)):
+                if i < 2:
+                    a, b = np.where(whole[2], a, 0), np.where(shared[2], b, 0)
+                assert np.array_equal(a, b, equal_nan=a.dtype.kind == "f"), (prop, i)
+
+
+def test_what_counts_as_zero_keeps_its_order_in_shared_classes(spark):
+    """A positive that is met after the negatives still comes first where both count as zero."""
+    rows = [((c + s) % 3, s == 0, 2000 * c + i, 2000 * c + i, [-1.0, float(i % 7 == 3)]) for c in range(3) for i in range(1500) for s in (0, 1)]
+    library = spark.createDataFrame(rows, "prop int, is_positive boolean, idx long, anchor_id long, embedding array<float>")
+    table = S.by_proposition(library.withColumn("voter_key", F.col("anchor_id")).toArrow())
+    args = np.array([7, 8]), np.array([[1.0, 0.0], [0.0, 0.0]]), np.array([0, 1])
+    for prop, found in S.best_lists(*args, S.Library(table), 5, True, False):
+        plain = next(S._best_at_once(*args, table[prop], 5, True, False))
+        assert np.array_equal(found[3], plain[3]) and np.array_equal(found[2], plain[2])
+
+
+def test_propositions_that_share_anchors_come_in_one_block(spark):
+    """They are told by sums over their anchors; the lists do not depend on it."""
+    vectors, library = ring(spark, 3000, 6)
+    sizes, classes = S._class_sizes(library, True)
+    assert sizes == [(p, 1000) for p in range(6)] and all(len(c) == 2 for c in classes.values())
+    placed, blocks, together = S._homes(sizes, 2000, classes)
+    assert blocks == 2 and together == 3   # four classes of 500 hold three propositions
+    assert S._homes(sizes, 2000)[1] == 3
+    messages = spark.createDataFrame([(i, [v.tolist(), v[::-1].tolist()]) for i, v in enumerate(vectors[:40])],
+                                     "msg_id long, views array<array<float>>")
+    plain = sorted(map(str, S.search(messages, library, 6, skip_same=True).collect()))
+    got = S.search(messages, library, 6, skip_same=True, broadcast_values=0, block_rows=2000).collect()
+    assert sorted(map(str, got)) == plain
