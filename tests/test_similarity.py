@@ -286,3 +286,18 @@ def test_propositions_that_share_anchors_come_in_one_block(spark):
     plain = sorted(map(str, S.search(messages, library, 6, skip_same=True).collect()))
     got = S.search(messages, library, 6, skip_same=True, broadcast_values=0, block_rows=2000).collect()
     assert sorted(map(str, got)) == plain
+
+
+def test_adversarial_rank_searches_once(spark):
+    """The ranking reads its rows several times; the search behind them runs once."""
+    from turnwatch.operators import curate as C
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    kind = "msg_id long, prop int, top_pos array<boolean>, max_pos double, max_neg double"
+    found = spark.createDataFrame([(i, i % 2, [True, i % 3 == 0], 0.5, 0.1) for i in range(50)], kind).mapInArrow(count, kind)
+    ranks = C.adversarial_rank(found).collect()
+    assert seen.value == 50 and sorted(r["rank"] for r in ranks) == sorted(2 * list(range(25)))
