@@ -144,7 +144,8 @@ def stream_pairs(messages: DataFrame, propositions: DataFrame) -> DataFrame:
 
 
 def stream_ground(messages: DataFrame, library: DataFrame, k: int = 20) -> DataFrame:
-    """Nearest-anchor vote for every message of a stream ``(msg_id, views)``."""
+    """Nearest-anchor vote for every message of a stream ``(msg_id, views)``. A library too large for a broadcast needs
+    ``ordered.ground_to_sink``, which votes on a micro-batch at a time."""
     return knn_vote(search(messages, library, k), k)
 
 

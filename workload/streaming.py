@@ -15,8 +15,8 @@ from workload.temporal import LONG_SQL, POLICIES, V_SQL, lexical_tests, region_p
 
 
 def stream_of(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of files: a pattern finds either, a plain path must be a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def conversation_stream(spark, sf):
@@ -87,7 +87,9 @@ def stream_pairs(spark, sf):
  SELECT msg_id, prop, pos_in_k, round(score,6) AS score FROM knn""")
 def stream_ground(spark, sf):
     messages = stream_of(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), F.array("embedding", F.reverse("embedding")).alias("views"))
-    return drain(spark, S.stream_ground(messages, vector_library(spark, sf)), "votes").select(
+    out = new_folder(spark, "votes")
+    O.ground_to_sink(messages, vector_library(spark, sf), out, new_folder(spark, "votes-state"))
+    return O.read_committed(spark, out, "votes", "msg_id long, prop int, score double, pos_in_k int, batch long").select(
         "msg_id", "prop", "pos_in_k", F.round("score", 6).alias("score"))
 
 
