@@ -296,3 +296,14 @@ def test_large_groups_meet_seeds_only(spark, monkeypatch):
     seeds = {r.leader for r in got}
     assert all(max(u[2 * r.id + j] @ u[2 * r.leader + i] for i in (0, 1) for j in (0, 1)) >= 0.8 - 1e-9 for r in got)
     assert {r.id for r in C.greedy_dedup(items, ["g"], 0.8, inclusive=True, block_rows=16).collect()} == seeds
+
+
+def test_rounds_keep_the_size_of_their_plan(spark, monkeypatch):
+    """Every round joins what the last one left; the size that the optimizer sees must not grow with the rounds."""
+    items = spark.range(300).select(F.lit(1).alias("g"), "id", F.col("id").alias("pos"), F.transform(
+        F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i * 1.7).cast("float")).alias("vec"))
+    sizes, plain = [], C._next_turns
+    monkeypatch.setattr(C, "_next_turns", lambda open_, *args: (
+        sizes.append(open_._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()), plain(open_, *args))[1])
+    assert C.greedy_dedup(items, ["g"], 0.9999, block_rows=48).count() > 100
+    assert len(sizes) >= 4 and max(sizes) < 64
